@@ -1,0 +1,37 @@
+"""Compare a query with its DuckDB SQL on the generated tables."""
+
+import datetime
+import decimal
+
+import duckdb
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def duck(sql, sf_dir):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    cur = con.execute(sql)
+    names = [d[0] for d in cur.description]
+    return [dict(zip(names, r)) for r in cur.fetchall()]
+
+
+def plain(x):
+    if isinstance(x, float):
+        return round(x, 6)
+    if isinstance(x, decimal.Decimal):
+        return float(x)
+    if isinstance(x, datetime.datetime):
+        return x.replace(tzinfo=None)
+    if isinstance(x, (list, tuple)):
+        return tuple(plain(y) for y in x)
+    return x
+
+
+def same(df, rows):
+    got = sorted((tuple(sorted((k, repr(plain(v))) for k, v in r.asDict().items())) for r in df.collect()))
+    want = sorted((tuple(sorted((k, repr(plain(v))) for k, v in r.items())) for r in rows))
+    assert len(got) == len(want), (len(got), len(want))
+    for g, w in zip(got, want):
+        assert g == w, (g, w)
