@@ -1,0 +1,98 @@
+import hashlib
+import re
+import time
+
+import pyarrow.parquet as pq
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import sparkseries.llm.pii as m
+
+
+def plain(text):
+    out = [("email", x.start(), x.end()) for x in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", x.start(), x.end()) for x in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in x.group().split("."))]
+    for x in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", x.group())
+        if 13 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0:
+            out.append(("card", x.start(), x.end()))
+    out += [("phone", x.start(), x.end()) for x in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", x.group())) <= 15]
+    return out
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.text("ab.@-+ (1205)%é", max_size=40) | st.text("0123456789 -.", max_size=40) | st.text(max_size=40))
+def test_base_spans(text):
+    assert m.base_spans(text) == plain(text)
+
+
+def test_generated_documents(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    texts = {r["doc_id"]: r["text"] for r in pq.read_table(path).to_pylist()}
+    got = m.find_personal_data(spark.read.parquet(path)).collect()
+    assert len(got) == len(texts)
+    keys = found = 0
+    for r in got:
+        text, want = texts[r.doc_id], plain(texts[r.doc_id])
+        listed = ",".join("%s:%d:%d" % w for w in want)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for x, _, _ in want) for k in m.KINDS[:4])
+        spans = [tuple(s.split(":")) for s in r.spans.split(",") if s]
+        assert {"%s:%d:%d" % w for w in want} <= set(r.spans.split(","))
+        for x in re.finditer(r'token = "([0-9a-f]{40})"', text):
+            keys += 1
+            found += ("secret", str(x.start(1)), str(x.end(1))) in spans
+        extra = [s for s in spans if s[0] != "secret" and tuple([s[0], int(s[1]), int(s[2])]) not in want]
+        assert not extra, (extra, [text[int(s[1]) : int(s[2])] for s in extra])
+    assert keys and found == keys
+
+
+def test_held_out_accuracy():
+    field = m.default_field()
+    right = said = there = 0
+    for text, gold in m.training_rows(seed=99, copies=6):
+        base = m.base_spans(text)
+        got = set(m.added_spans(text, base, field)) | set(base)
+        right += len(got & set(gold))
+        said += len(got)
+        there += len(gold)
+    assert right / said > 0.95 and right / there > 0.95, (right, said, there)
+
+
+def test_decoding_is_optimal():
+    import itertools
+    import random
+
+    r = random.Random(3)
+    for _ in range(60):
+        n = r.randint(1, 6)
+        field = m.SemiMarkovField({}, chain=r.uniform(-1, 1))
+        spans = [(i, j, [r.uniform(-2, 2) for _ in m.KINDS]) for i in range(n) for j in range(i + 1, n + 1) if r.random() < 0.6]
+
+        def value(chosen):
+            chosen = sorted(chosen)
+            if any(a[1] > b[0] for a, b in zip(chosen, chosen[1:])):
+                return None
+            return sum(max(c[2]) for c in chosen) + field.chain * sum(a[1] == b[0] for a, b in zip(chosen, chosen[1:]))
+
+        best = max(v for k in range(4) for c in itertools.combinations(spans, k) if (v := value(c)) is not None)
+        got = field.decode(n, spans)
+        table = {(i, j): s for i, j, s in spans}
+        mine = value([(i, j, table[i, j]) for i, j, _ in got])
+        assert mine is not None and (len(got) > 3 or abs(mine - best) < 1e-9)
+
+
+def test_long_runs_are_linear():
+    field = m.default_field()
+    for text in ("a" * 200_000, "1" * 200_000, "+1" * 50_000, "1." * 50_000, "@" * 100_000, "a@" * 50_000, "1 " * 20_000):
+        t = time.time()
+        m.find_spans(text, field)
+        assert time.time() - t < 20, text[:4]
+
+
+def test_odd_rows(spark):
+    df = spark.createDataFrame([(None, None, "q"), (1, "", "q"), (1, "x@y.zz call (123) 456-7890", "q")], "doc_id long, text string, spans string")
+    got = sorted(m.find_personal_data(df).collect(), key=lambda r: r.spans)
+    assert [r.spans for r in got] == ["", "", "email:0:6,phone:12:26"]
+    assert m.find_personal_data(df.limit(0)).count() == 0
+    assert m.redact("x@y.zz!", m.default_field()) == "[email]!" and m.redact(None, m.default_field()) is None
