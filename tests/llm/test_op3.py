@@ -13,9 +13,11 @@ def brute(docs, items, t=0.8):
         if i is not None and n:
             united.setdefault(i, set()).update((min(5, n), s) for s in m.shingles(x, min(5, n)))
     out = set()
+    sizes = {n for want in united.values() for n, _ in want}
     for d, x in docs:
+        own = {(n, s) for n in sizes for s in m.shingles(x, n)}
         for i, want in united.items():
-            have = sum(s in m.shingles(x, n) for n, s in want)
+            have = len(want & own)
             if have >= t * len(want) - 1e-9:
                 out.add((d, i, len(want), have))
     return out
