@@ -166,9 +166,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     """
     feats = features(docs, id_col=id_col, text_col=text_col, stratum_col=stratum_col)
     levels = _small(certified_levels(stored(feats, "quality_features"), labels))
-    # The same expressions over the rows themselves: no text is moved or joined by id.
+    # The same expressions over the rows themselves: no text is moved or joined by id.  The row
+    # number keeps the optimizer from pushing the filter below the features, which would compute
+    # them once more for each mention.
     wide = docs.select(F.struct(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("key"), F.col(text_col).alias("text"), F.col(stratum_col).alias("lang"))
-    return _verdicts(features(wide, id_col="key"), levels).filter("kept").select("id.row.*")
+    rows = features(wide, id_col="key").withColumn("row_number", F.monotonically_increasing_id())
+    return _verdicts(rows, levels).filter(F.col("kept") & (F.col("row_number") >= 0)).select("id.row.*")
 
 
 def oracle(limit: float = LIMIT, risk: float = RISK) -> str:
