@@ -18,7 +18,7 @@ one row per file.
 
 Encoding goes word by word for tokenizers that drop white space and split on it
 (see ``splits_at_space``): the pieces of a word do not depend on its neighbours, so
-each distinct word is encoded by the library once and remembered, up to
+each distinct word is encoded by the library once and remembered, up to twice
 ``REMEMBERED`` words.  Other tokenizers get whole texts.
 
 Defined cases: null text counts as empty (the end id only); null ids come first;
@@ -32,6 +32,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,8 @@ from ..plans.scratch import scratch_path, ship_package
 
 END_ID = 2
 FRAME_BYTES = 1 << 20
-REMEMBERED = 600_000
+REMEMBERED = 400_000
+MARKS = b".,;:!?%&*#$"
 # Fixed values of the public Zstandard formats.
 SKIPPABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E
 SEEK_FOOTER = 0x8F92EAB1
@@ -65,7 +67,8 @@ def splits_at_space(description: dict) -> bool:
 
     That holds if the first pre-tokenizer keeps only what its pattern matches, the
     pattern matches no white space, and the normalizers look at single characters
-    or at white space (a canonical composition never reaches over a space).
+    or at white space (a canonical composition never reaches over a space).  Texts in
+    ASCII may be lowered beforehand then.
     """
     pre = description.get("pre_tokenizer") or {}
     steps = pre.get("pretokenizers", [pre])
@@ -74,7 +77,7 @@ def splits_at_space(description: dict) -> bool:
     kept = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
     blind = pattern.replace(r"[^\s\p{L}\p{N}]+", "") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|"
     norm = description.get("normalizer") or {"type": "Sequence", "normalizers": []}
-    known = all(n["type"] in ("NFC", "Lowercase") or (n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"}) for n in norm.get("normalizers", [norm]))
+    known = any(n["type"] == "Lowercase" for n in norm.get("normalizers", [norm])) and all(n["type"] in ("NFC", "Lowercase") or (n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"}) for n in norm.get("normalizers", [norm]))
     plain = all(not t.get("lstrip") and not t.get("rstrip") and not t.get("single_word") and not any(c.isspace() for c in t["content"]) for t in description.get("added_tokens", []))
     return kept and blind and known and plain and not description.get("truncation") and not description.get("padding")
 
@@ -89,22 +92,45 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             self.by_word = splits_at_space(json.load(f))
         self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.earlier: dict[bytes, bytes] = {}
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Each word's ids; many words share one call, and offsets tell whose a token is."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 500):
+            part = words[at : at + 500]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            starts = np.cumsum([0, *[len(w) + 1 for w in part]])
+            cuts = (np.searchsorted([o[0] for o in found.offsets], starts) * 4).tolist()
+            out += [ids[s:e] for s, e in zip(cuts, cuts[1:])]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
-            return self._encode(texts)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        words = [t.encode().split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            known.update(zip(part, self._encode([w.decode() for w in part])))
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        if len(self.known) > REMEMBERED:  # words in use move back in from the earlier half
+            self.known, self.earlier = {}, self.known
+        known, earlier = self.known, self.earlier
+        words = [(t.lower() if t.isascii() and "<|" not in t else t).encode().split() for t in texts]
+        new, pairs = set(), []
+        for w in set().union(*words).difference(known):
+            ids = earlier.get(w)
+            if ids is not None:
+                known[w] = ids
+                continue
+            # Marks behind a letter are a piece of their own: the word's ids are those of both parts.
+            core = w.rstrip(MARKS)
+            if len(core) < len(w) and core and core.decode()[-1].isalpha():
+                tail = w[len(core) :]
+                pairs.append((w, core, tail))
+                new.update(x for x in (core, tail) if x not in known)
+            else:
+                new.add(w)
+        listed = list(new)
+        known.update(zip(listed, self._words([w.decode() for w in listed])))
+        known.update((w, known[core] + known[tail]) for w, core, tail in pairs)
+        return [b"".join(itemgetter(*ws)(known)) if len(ws) > 1 else b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -121,7 +147,7 @@ class TokenFileWriter:
     """Writes one file; documents are appended one by one."""
 
     def __init__(self, sink):
-        self.sink, self.pack = sink, zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
+        self.sink, self.pack = sink, zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True)
         self.table, self.held, self.size = [], [], 0
         self.ids, self.counts, self.per_frame = [], [], []
 

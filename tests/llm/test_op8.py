@@ -18,7 +18,7 @@ def tokenizer():
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(max_size=60) | st.text(" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0 　aA1'sİßΣ̧́.<|>é", max_size=40) | st.sampled_from(["<|endoftext|>", "a<|startoftext|> b", "we'll 's 12ab"]))
+@given(st.text(max_size=60) | st.text(" aéñ.,;:!?%&*#$'-1»\u0301", max_size=40) | st.text(" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0 　aA1'sİßΣ̧́.<|>é", max_size=40) | st.sampled_from(["<|endoftext|>", "a<|startoftext|> b", "we'll 's 12ab"]))
 def test_words_are_encoded_like_whole_texts(text):
     encode = m.encoder(m.default_tokenizer())
     assert encode.by_word
