@@ -185,12 +185,12 @@ def _exponential(y: np.ndarray, periods: int, alpha: float | None = None) -> np.
 def _holt_winters(y: np.ndarray, periods: int, period: int = 12, alpha: float = 0.3, beta: float = 0.1, gamma: float = 0.2) -> np.ndarray:
     """Additive trend and season (only trend if there are fewer than two seasons)."""
     m = period if len(y) >= 2 * period and period > 1 else 1
-    season = y[:m] - y[:m].mean() if m > 1 else np.zeros(1)
-    level = y[:m].mean()
-    trend = (y[m : 2 * m].mean() - y[:m].mean()) / m if len(y) >= 2 * m and m > 1 else (y[1] - y[0] if len(y) > 1 else 0.0)
-    season = season.astype(float).copy()
-    for i, v in enumerate(y[m:] if m > 1 else y[1:]):
-        j = (i + (0 if m > 1 else 1)) % m
+    trend = (y[m : 2 * m].mean() - y[:m].mean()) / m if len(y) >= 2 * m else 0.0
+    middle = np.arange(m) - (m - 1) / 2
+    season = y[:m] - y[:m].mean() - trend * middle
+    level = y[:m].mean() + trend * middle[-1]
+    for i, v in enumerate(y[m:]):
+        j = i % m
         old = level
         level = alpha * (v - season[j]) + (1 - alpha) * (level + trend)
         trend = beta * (level - old) + (1 - beta) * trend

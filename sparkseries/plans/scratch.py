@@ -11,6 +11,7 @@ import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK = "/tmp/checkpoints/sparkseries"
@@ -34,9 +35,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` now and cut its lineage with a reliable checkpoint."""
+    """Compute ``df`` now and cut its lineage with a reliable checkpoint.
+
+    Spark cannot carry the statistics of some plans over to a checkpoint and says so
+    before it computes anything; those are written as a table instead.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    try:
+        return df.checkpoint(eager=True)
+    except Py4JJavaError as e:
+        if "NoSuchElementException: key not found" not in str(e):
+            raise
+    return stored(df, "cut")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -157,12 +157,12 @@ def _pagerank_sql(rounds: int) -> str:
     steps = [f"k AS (SELECT src, count(*) AS k FROM sparse GROUP BY 1), n AS (SELECT count(*) AS n FROM nodes), r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM nodes, n)"]
     for i in range(rounds):
         steps.append(f"g{i} AS (SELECT dst, sum(rank / k) AS got FROM sparse JOIN k USING (src) JOIN r{i} ON r{i}.id = src GROUP BY 1), r{i + 1} AS (SELECT id, 0.15::DOUBLE / n + 0.85::DOUBLE * (1 - (SELECT sum(got) FROM g{i})) / n + 0.85::DOUBLE * coalesce(got, 0) AS rank FROM nodes LEFT JOIN g{i} ON dst = id, n)")
-    return f"WITH {_SPARSE}, {_NODES}, {', '.join(steps)} SELECT id, round(rank, 6) AS rank FROM r{rounds}"
+    return f"WITH {_SPARSE}, {_NODES}, {', '.join(steps)} SELECT id, round(rank, 8) AS rank FROM r{rounds}"
 
 
 @query(_pagerank_sql(8))
 def graph_pagerank(spark, sf):
-    return sparse(spark, sf).pagerank(iterations=8).withColumn("rank", F.round("rank", 6))
+    return sparse(spark, sf).pagerank(iterations=8).withColumn("rank", F.round("rank", 8))
 
 
 @query()

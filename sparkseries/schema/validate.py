@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -162,11 +163,10 @@ def json_schema_holds(v: Column, schema: dict | bool, root: dict | None = None,
         names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
         tests.append(k.isin([x for n in names for x in _JSON_KINDS[n]]))
     canon = F.to_json(v)
-    dumps = __import__("json").dumps
     if "const" in schema:
-        tests.append(canon == dumps(schema["const"], separators=(",", ":"), ensure_ascii=False))
+        tests.append(canon == json.dumps(schema["const"], separators=(",", ":"), ensure_ascii=False))
     if "enum" in schema:
-        tests.append(canon.isin([dumps(x, separators=(",", ":"), ensure_ascii=False) for x in schema["enum"]]))
+        tests.append(canon.isin([json.dumps(x, separators=(",", ":"), ensure_ascii=False) for x in schema["enum"]]))
     if "minLength" in schema:
         tests.append(fine(F.char_length(text) >= schema["minLength"]))
     if "maxLength" in schema:
@@ -196,7 +196,8 @@ def json_schema_holds(v: Column, schema: dict | bool, root: dict | None = None,
         x = _at(v, name)
         tests.append(F.when((k == "map") & kind(x).isNotNull(), sub(x, s)).otherwise(True))
     for pattern, s in schema.get("patternProperties", {}).items():
-        tests.append(fine(F.forall(F.map_entries(entries), lambda e, p=pattern, s=s: ~e["key"].rlike(p) | sub(e["value"], s))))
+        holds = lambda e: ~e["key"].rlike(pattern) | sub(e["value"], s)  # noqa: B023, E731  used at once
+        tests.append(fine(F.forall(F.map_entries(entries), holds)))
     if "additionalProperties" in schema:
         known = F.array(*[F.lit(n) for n in schema.get("properties", {})]).cast("array<string>")
         named = lambda n: F.array_contains(known, n) | F.lit(False)
