@@ -44,11 +44,19 @@ def _accepts(type_: str, k: Column) -> Column:
     return F.lit(True) if allowed is None else k.isin(allowed)
 
 
-def _constraints_hold(v: Column, k: Column, c: dict, lengths: bool) -> Column:
+def _number(v: Column, k: Column) -> Column:
+    return F.when(k.isin("int", "float"), F.try_variant_get(v, "$", "double"))
+
+
+def _shown(v: Column, k: Column) -> Column:
+    """Scalars as text."""
+    return F.when(~k.isin("array", "map", "nil"), F.try_variant_get(v, "$", "string"))
+
+
+def _constraints_hold(v: Column, k: Column, number: Column, shown: Column, c: dict, lengths: bool) -> Column:
     """min, max (numbers), pattern (whole string), enum; with ``lengths`` also the length and item bounds."""
     ok = F.lit(True)
-    number = F.when(k.isin("int", "float"), F.try_variant_get(v, "$", "double"))
-    text = F.when(k == "string", F.try_variant_get(v, "$", "string"))
+    text = F.when(k == "string", shown)
     if "min" in c:
         ok = ok & F.coalesce(number >= float(c["min"]), F.lit(True))
     if "max" in c:
@@ -56,7 +64,7 @@ def _constraints_hold(v: Column, k: Column, c: dict, lengths: bool) -> Column:
     if "pattern" in c:
         ok = ok & F.coalesce(text.rlike(f"^(?:{c['pattern']})$"), F.lit(True))
     if "enum" in c:
-        ok = ok & F.coalesce(F.try_variant_get(v, "$", "string").isin([str(x) for x in c["enum"]]), F.lit(False))
+        ok = ok & F.coalesce(shown.isin([str(x) for x in c["enum"]]), F.lit(False))
     if lengths:
         n = F.when(k == "string", F.char_length(text)).when(k == "array", F.size(F.try_variant_get(v, "$", "array<variant>")))
         for low, high in (("minLength", "maxLength"), ("minItems", "maxItems")):
@@ -67,16 +75,10 @@ def _constraints_hold(v: Column, k: Column, c: dict, lengths: bool) -> Column:
     return ok
 
 
-def errors(v: Column, schema: Schema, check_optional: bool = False, lengths: bool = False) -> Column:
-    """Messages of what is wrong with a record, an empty array if nothing.
-
-    Optional fields are checked only if ``check_optional``; unknown fields are an
-    error under the STRICT strategy.
-    """
+def _messages(v: Column, schema: Schema, parts: list[tuple], check_optional: bool, lengths: bool) -> Column:
+    """``parts``: per field its value, kind, number and text."""
     tests = []
-    for f in schema.fields:
-        x = _at(v, f.name)
-        k = kind(x)
+    for f, (x, k, number, shown) in zip(schema.fields, parts):
         there = k.isNotNull()
         if f.required:
             tests.append(F.when(~there, F.lit(f"Missing required field: {f.name}")))
@@ -84,7 +86,7 @@ def errors(v: Column, schema: Schema, check_optional: bool = False, lengths: boo
             fits = _accepts(f.type, k)
             tests.append(F.when(there & ~fits, F.lit(f"Invalid type for field '{f.name}': expected {f.type}")))
             if f.constraints:
-                tests.append(F.when(there & fits & ~_constraints_hold(x, k, f.constraints, lengths), F.lit(f"Constraint violation for field: {f.name}")))
+                tests.append(F.when(there & fits & ~_constraints_hold(x, k, number, shown, f.constraints, lengths), F.lit(f"Constraint violation for field: {f.name}")))
     out = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
     if schema.strategy == "STRICT":
         keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
@@ -93,9 +95,34 @@ def errors(v: Column, schema: Schema, check_optional: bool = False, lengths: boo
     return F.when(kind(v) == "map", out).otherwise(F.array(F.lit("not a map")))
 
 
-def validate(df: DataFrame, column: str, schema: Schema, **options) -> DataFrame:
-    """``df`` with ``errors`` and ``valid``."""
-    return df.withColumn("errors", errors(F.col(column), schema, **options)).withColumn("valid", F.size("errors") == 0)
+def errors(v: Column, schema: Schema, check_optional: bool = False, lengths: bool = False) -> Column:
+    """Messages of what is wrong with a record, an empty array if nothing.
+
+    Optional fields are checked only if ``check_optional``; unknown fields are an
+    error under the STRICT strategy.
+    """
+    parts = []
+    for f in schema.fields:
+        x = _at(v, f.name)
+        k = kind(x)
+        parts.append((x, k, _number(x, k), _shown(x, k)))
+    return _messages(v, schema, parts, check_optional, lengths)
+
+
+def validate(df: DataFrame, column: str, schema: Schema, check_optional: bool = False, lengths: bool = False) -> DataFrame:
+    """``df`` with ``errors`` and ``valid``.
+
+    The fields' values, kinds and texts are columns of their own on the way, so each
+    is taken out of the record once, however many tests look at it.
+    """
+    own, n = df.columns, len(schema.fields)
+    staged = df.withColumns({f"_x{i}": _at(F.col(column), f.name) for i, f in enumerate(schema.fields)})
+    staged = staged.withColumns({f"_k{i}": kind(F.col(f"_x{i}")) for i in range(n)})
+    needed = [i for i, f in enumerate(schema.fields) if f.constraints]
+    staged = staged.withColumns({f"_n{i}": _number(F.col(f"_x{i}"), F.col(f"_k{i}")) for i in needed} | {f"_s{i}": _shown(F.col(f"_x{i}"), F.col(f"_k{i}")) for i in needed})
+    parts = [tuple(F.col(f"_{p}{i}") if i in needed or p in "xk" else None for p in "xkns") for i in range(n)]
+    found = staged.withColumn("errors", _messages(F.col(column), schema, parts, check_optional, lengths))
+    return found.select(*[F.col(f"`{c}`") for c in own if c not in ("errors", "valid")], "errors", (F.size("errors") == 0).alias("valid"))
 
 
 def validation_stats(df: DataFrame) -> DataFrame:
