@@ -37,8 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from ..plans.scratch import cut, ship_package, stored
-from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints in a bucket beyond which it is dealt again.
