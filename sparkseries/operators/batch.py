@@ -48,7 +48,7 @@ def map_reduce_any(df: DataFrame, key: Column, value: Column, reducer: Callable[
     return df.select(key.alias("k"), value.alias("v")).groupBy("k").applyInPandas(run, schema)
 
 
-def map_rows(df: DataFrame, f: Callable[[dict], object], result: str, batch: int | None = None) -> DataFrame:
+def map_rows(df: DataFrame, f: Callable[[dict], object], result: str) -> DataFrame:
     """Any Python function per row with isolated errors: the row with ``result`` and ``error`` (null if it went well)."""
     names, schema = df.columns, ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
 
