@@ -17,12 +17,13 @@ How it is spread over a cluster
 3. Anchors are counted with map-side combining; those seen once are done with.
    Contexts that are equal byte for byte (same anchor, same digest) are one
    context with a weight.
-4. Contexts under one anchor are joined to their bytes and concatenated into
-   blocks of bounded size.  For each block a Burrows-Wheeler transform is built
-   and intervals are expanded breadth first by backward extension: level l marks
-   the rank boundaries whose common prefix is exactly l, in increasing order,
-   and the expansion stops at ``length``.  Ranks not separated by then share at
-   least ``length`` bytes.
+4. Contexts under one anchor that agree on one half of a window (a digest of the
+   bytes left or right of the anchor) are joined to their bytes and concatenated
+   into blocks of bounded size.  For each block a Burrows-Wheeler transform is
+   built and intervals are expanded breadth first by backward extension: level l
+   marks the rank boundaries whose common prefix is exactly l, in increasing
+   order, and the expansion stops at ``length``.  Ranks not separated by then
+   share at least ``length`` bytes.
 5. An anchor with too many different contexts for one block (a very common
    line) is not expanded in one task: its windows are dealt by their own digest
    and counted, which is exact and has no hot key left but equal windows, which
@@ -65,12 +66,11 @@ def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         up, down = np.empty(n, np.uint64), np.empty(n, np.uint64)
         for arr, m in ((up, _MULT), (down, inverse)):
             arr[0] = 1
-            filled, step = 1, m
+            filled = 1
             while filled < n:  # doubling: the next stretch is the last one times m ** filled
                 more = min(filled, n - filled)
                 arr[filled : filled + more] = arr[:more] * np.uint64(pow(m, filled, 1 << 64))
                 filled += more
-            del step
         byte = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
         _tables.update(up=up, down=down, byte=byte)
     return _tables["up"], _tables["down"], _tables["byte"]
@@ -90,8 +90,8 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, number of windows) for each run of windows with one anchor."""
+def anchors(data: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first window, number of windows, place of the anchor) for each run of windows with one anchor."""
     h = gram_hashes(data, k)
     w = length - k + 1
     n_windows = len(data) - length + 1
@@ -107,7 +107,20 @@ def anchors(data: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np
     at = (low - (best & low)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     count = np.diff(np.append(first, n_windows))
-    return h[at[first]].view(np.int64), first, count
+    return h[at[first]].view(np.int64), first, count, at[first]
+
+
+def side_digests(body: bytes, first: int, n: int, place: int, length: int = LENGTH, k: int = ANCHOR) -> int:
+    """32-bit digests of the bytes to the left and right of an anchor, packed into one number.
+
+    A window holds at least half of the bytes besides its anchor on one side of it,
+    so contexts that share a window agree on that half.  0 where no window of the
+    context has that much on a side.
+    """
+    half = (length - k + 1) // 2
+    left = xxhash.xxh32_intdigest(body[place - half : place]) | 1 if place - first >= half else 0
+    right = xxhash.xxh32_intdigest(body[place + k : place + k + half]) | 1 if first + n - 1 + length - place - k >= half else 0
+    return (left << 32 | right) - (1 << 64 if left >> 31 else 0)
 
 
 def _pieces(size: int, length: int) -> Iterator[tuple[int, int]]:
@@ -120,7 +133,7 @@ def _anchor_rows(length: int, detail: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts, copies = (batch.column(c) for c in ("tk", "body", "copies"))
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[] for _ in range(7)]
             held = 0
             for i in range(batch.num_rows):
                 body = texts[i].as_py()
@@ -128,7 +141,7 @@ def _anchor_rows(length: int, detail: bool):
                     continue
                 weight = min(2, copies[i].as_py())
                 for lo, hi in _pieces(len(body), length):
-                    a, first, n = anchors(np.frombuffer(body, np.uint8, hi - lo, lo), length)
+                    a, first, n, place = anchors(np.frombuffer(body, np.uint8, hi - lo, lo), length)
                     out[0].append(a)
                     out[5].append(np.full(len(a), weight, np.int8))
                     if detail:
@@ -139,11 +152,13 @@ def _anchor_rows(length: int, detail: bool):
                         out[2].extend([keys[i].as_py()] * len(a))
                         out[3].append(first.astype(np.int32))
                         out[4].append(n.astype(np.int32))
+                        at = zip(first.tolist(), n.tolist(), (place + lo).tolist())
+                        out[6].append(np.array([side_digests(body, f, c, p, length) for f, c, p in at], np.int64))
                     held += len(a)
                 if held > 200_000 or i == batch.num_rows - 1:
                     if held:
                         yield _anchor_batch(out, detail)
-                    out, held = [[], [], [], [], [], []], 0
+                    out, held = [[] for _ in range(7)], 0
             if held:
                 yield _anchor_batch(out, detail)
 
@@ -155,8 +170,8 @@ def _anchor_batch(out: list[list], detail: bool) -> pa.RecordBatch:
     if not detail:
         return pa.RecordBatch.from_arrays([pa.array(join(out[0])), pa.array(join(out[5]))], ["anchor", "w"])
     return pa.RecordBatch.from_arrays(
-        [pa.array(join(out[0])), pa.array(join(out[1])), pa.array(out[2], pa.binary()), pa.array(join(out[3])), pa.array(join(out[4])), pa.array(join(out[5]))],
-        ["anchor", "ctx", "tk", "at", "n", "w"],
+        [pa.array(join(out[0])), pa.array(join(out[1])), pa.array(out[2], pa.binary()), pa.array(join(out[3])), pa.array(join(out[4])), pa.array(join(out[5])), pa.array(join(out[6]))],
+        ["anchor", "ctx", "tk", "at", "n", "w", "sides"],
     )
 
 
@@ -402,13 +417,19 @@ def remove_repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_
 
     counted = texts.mapInArrow(_anchor_rows(length, False), "anchor long, w tinyint").groupBy("anchor").agg(F.sum("w").alias("seen"))
     twice = stored(counted.filter("seen > 1").select("anchor"), "anchors")
-    occurrences = texts.mapInArrow(_anchor_rows(length, True), "anchor long, ctx long, tk binary, at int, n int, w tinyint")
+    occurrences = texts.mapInArrow(_anchor_rows(length, True), "anchor long, ctx long, tk binary, at int, n int, w tinyint, sides long")
     occurrences = stored(occurrences.join(twice, "anchor"), "occurrences")
 
-    contexts = occurrences.groupBy("anchor", "ctx").agg(F.sum("w").cast("int").alias("w"), F.min(F.struct("tk", "at", "n")).alias("x"))
-    contexts = stored(contexts.select("anchor", "ctx", "w", "x.tk", "x.at", "x.n"), "contexts")
-    crowds = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"), F.sum(F.col("n") + length).alias("size")).filter("different > 1")
-    open_ = contexts.join(crowds, "anchor").select("anchor", "ctx", F.least("w", F.lit(2)).alias("w"), "tk", "at", "n", (F.col("size") > 2 * BLOCK).alias("hot"))
+    contexts = occurrences.groupBy("anchor", "ctx").agg(F.sum("w").cast("int").alias("w"), F.min(F.struct("tk", "at", "n")).alias("x"), F.first("sides").alias("sides"))
+    contexts = stored(contexts.select("anchor", "ctx", "w", "x.tk", "x.at", "x.n", "sides"), "contexts")
+    # Only contexts that agree with another one on half of a window can share one with it.
+    halves = F.array(F.struct(F.lit(0).alias("s"), F.shiftrightunsigned("sides", 32).alias("d")), F.struct(F.lit(1).alias("s"), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)).alias("d")))
+    sides = contexts.select("anchor", "ctx", F.explode(halves).alias("h")).select("anchor", "ctx", "h.s", "h.d").filter("d <> 0")
+    met = stored(sides.groupBy("anchor", "s", "d").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("anchor", "s", "d"), "halves")
+    alike = stored(sides.join(met, ["anchor", "s", "d"], "left_semi").select("anchor", "ctx").distinct(), "alike")
+    alike = stored(contexts.join(alike, ["anchor", "ctx"], "left_semi"), "alike")
+    crowds = stored(alike.groupBy("anchor").agg(F.sum(F.col("n") + length).alias("size")), "crowds")
+    open_ = alike.join(crowds, "anchor").select("anchor", "ctx", F.least("w", F.lit(2)).alias("w"), "tk", "at", "n", (F.col("size") > 2 * BLOCK).alias("hot"))
     wanted = open_.groupBy("tk").agg(F.collect_list(F.struct("anchor", "ctx", "w", "at", "n", "hot")).alias("items"))
     cuts = texts.join(wanted, "tk").select("body", "items").mapInArrow(_slices(length), "anchor long, ctx long, body binary, w int, hot boolean")
     cuts = stored(cuts, "cuts")
