@@ -93,3 +93,14 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, base))
     sc.addPyFile(out)
     _shipped.add(sc.applicationId)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this library has written below the shared folder, and its tables."""
+    where = f"{shared_dir(spark)}/sparkseries"
+    for t in spark.catalog.listTables():
+        if t.name.startswith("texts_") and t.tableType == "EXTERNAL":
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
