@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 64
-#: Rows in a numbering bucket, about.
-BUCKET_ROWS = 20_000
+#: Rows in a numbering bucket, about, and buckets of a source at most (their counts are summed up in one task).
+BUCKET_ROWS, MAX_BUCKETS = 400, 16_384
 #: Slots in one cycle at most; finer weights are rounded to this many parts.
 MAX_CYCLE = 10_000
 #: Sources at most; their names and counts are held by the driver.
@@ -104,7 +104,7 @@ def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[dict]:
 
 def numbered(docs: DataFrame, *, id_col: str, source_col: str, block: int, seed: int, rows: int) -> DataFrame:
     """``docs`` with _source, _block and _in (row within its block); see the module docstring."""
-    buckets = max(1, rows // BUCKET_ROWS)
+    buckets = max(1, min(MAX_BUCKETS, rows // BUCKET_ROWS))
     spot = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
     docs = docs.withColumns({"_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_spot": spot, "_bucket": F.pmod(spot, F.lit(buckets)).cast("int")})
     counts = docs.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
