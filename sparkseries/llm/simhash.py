@@ -259,11 +259,13 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "id long, fp long")
     rows = stored(rows, "fingerprints")
-    prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = link_fingerprints(prints.select("fp"), radius).withColumnsRenamed({"node": "fp"})
-    with_root = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = stored(with_root.select("fp", "root").join(least, "root").select(F.col("fp").alias("fp2"), "component_id"), "classes")
+    prints = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "prints")
+    roots = link_fingerprints(prints.select("fp"), radius)
+    # Most fingerprints have no link and are a class by themselves; the rest meet under their root.
+    linked = stored(prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp"), "linked")
+    least = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    alone = prints.join(linked.select("fp"), "fp", "left_anti").select(F.col("fp").alias("fp2"), F.col("least").alias("component_id"))
+    of_print = stored(linked.join(least, "root").select(F.col("fp").alias("fp2"), "component_id").union(alone), "classes")
     out = rows.join(of_print, F.col("fp") == F.col("fp2"))
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -274,6 +276,6 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Documents with a null id are kept: nothing says which of a class they are.
     """
     classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, radius=radius)
-    kept = classes.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    known = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    kept = classes.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_sparkseries_kept")).distinct()
+    known = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_sparkseries_kept"), "left_semi").dropDuplicates([id_col])
     return known.unionByName(docs.filter(F.col(id_col).isNull()))
