@@ -160,8 +160,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
 
 def drop_leaking(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that leak an item; documents with a null id go if one of them leaks."""
-    leaks = find_leaks(docs, items, id_col=id_col, text_col=text_col, threshold=threshold).select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(leaks, F.col(id_col).eqNullSafe(F.col("_leak")), "left_anti")
+    leaks = find_leaks(docs, items, id_col=id_col, text_col=text_col, threshold=threshold).select(F.col(id_col).alias("_sparkseries_leak")).distinct()
+    return docs.join(leaks, F.col(id_col).eqNullSafe(F.col("_sparkseries_leak")), "left_anti")
 
 
 def oracle(threshold: float = THRESHOLD) -> str:

@@ -166,5 +166,7 @@ def mix_order(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sou
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, block: int = BLOCK, seed: int = 17) -> DataFrame:
     """``docs`` in mixed order: partitions follow each other in position, each sorted by it."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _mixed(docs, id_col=id_col, source_col=source_col, weights=weights, block=block, seed=seed)
-    return rows.repartitionByRange(parts, "_position").sortWithinPartitions("_position").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The row travels as one column, so its own columns may have any names.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"), F.col(id_col).alias("id"), F.col(source_col).alias("src"))
+    rows = _mixed(whole, id_col="id", source_col="src", weights=weights, block=block, seed=seed)
+    return rows.repartitionByRange(parts, "_position").sortWithinPartitions("_position").select("_whole.*")

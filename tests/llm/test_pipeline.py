@@ -50,3 +50,29 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
+
+
+CLASHES = "id fp row key level kept n s src first slots words h tk body _row _kept _leak _source _position _file component_id shard slot".split()
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls in every column, repeated rows, empty texts and columns named like the operators' own."""
+    (tmp_path / "sf").mkdir()
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "sf" / "labels.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "sf" / "benchmark.parquet"))
+    prose = "word%d and then some more of it to read here, so that there are ten words"
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (None, prose % 1, None, None, None), (2, prose % 2, "en", "a", 9), (2, prose % 2, "en", "a", 9), (3, " ".join(prose % i for i in range(30_000)), "de", "b", 1), (4, "x", "en", None, 1)]
+    docs = spark.createDataFrame([r + tuple(None if i % 2 else f"{i}" for i in range(len(CLASHES))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    for source in (docs, docs.limit(0)):
+        df = source
+        for k, (_, f) in enumerate(corpus_pipeline.STAGES):
+            # Each stage sees the odd rows, whatever the one before it dropped.
+            path = str(tmp_path / f"{k}-{source is docs}")
+            df.write.parquet(path)
+            stored = spark.read.parquet(path)
+            out = f(spark, stored, str(tmp_path / "sf"))
+            assert k == 4 or out.columns == docs.columns
+            n = out.count()
+            assert source is docs or n == 0
+            if source is docs:
+                assert n == [3, 6, 7, 7, 7][k], (k, n)
