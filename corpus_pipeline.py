@@ -44,7 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the stored order: files by name, rows by place (by id if ``docs`` is no stored table)."""
     try:
-        placed = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+        placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place"))
     except AnalysisException:
         return token_round_trip(docs)
     return token_round_trip(placed, order=[F.col("_file"), F.col("_place")])
