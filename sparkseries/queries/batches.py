@@ -87,9 +87,7 @@ def codec_xor(spark, sf):
     SELECT user_id, (k - dense)::BIGINT AS run, any_value(event_type) AS event_type, count(*) AS length FROM (SELECT *, 1 - 1 + min(k) OVER (PARTITION BY user_id) AS dense FROM s) GROUP BY user_id, k, dense"""
 )
 def codec_rle(spark, sf):
-    out = codecs.rle_encode(table(spark, sf, "events"), "event_type", "event_id", ("user_id",))
-    first = out.groupBy("user_id").agg(F.min("run").alias("f"))
-    return out.join(first, "user_id").select("user_id", (F.col("run") - F.col("f")).alias("run"), "event_type", "length")
+    return codecs.rle_encode(table(spark, sf, "events"), "event_type", "event_id", ("user_id",)).select("user_id", "run", "event_type", "length")
 
 
 @query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, event_type FROM events")
