@@ -311,3 +311,42 @@ def pg_match_pattern(spark, sf):
 @query("SELECT 'c' || c_custkey AS id, CASE WHEN c_custkey = 5 THEN 'VIP' ELSE c_mktsegment END AS segment FROM customer")
 def pg_update_property(spark, sf):
     return shop(spark, sf).update_node_property("c5", "segment", "VIP").nodes.filter("label = 'customer'").select("id", F.col("properties")["segment"].alias("segment"))
+
+
+@query("SELECT true AS same, false AS other")
+def graph_isomorphic(spark, sf):
+    """The trade graph's skeleton against itself with other ids, and against a changed one."""
+    s = sparse(spark, sf)
+    other = Graph(s.nodes.select((99 - F.col("id")).alias("id")), s.edges.select((99 - F.col("src")).alias("src"), (99 - F.col("dst")).alias("dst")))
+    changed = Graph(s.nodes, s.edges.filter("src > 0"))
+    return spark.createDataFrame([(s.is_isomorphic(other), s.is_isomorphic(changed))], "same boolean, other boolean")
+
+
+@query(f"WITH {_NODES} SELECT id, 2::BIGINT AS out_degree, 0::DOUBLE AS x FROM nodes")
+def graph_layouts(spark, sf):
+    """Every node gets a place in each layout; the spectral one is centred."""
+    s = sparse(spark, sf)
+    places = s.layout_spectral().agg(F.round(F.sum("x"), 6).alias("x"))
+    force = s.layout_force(30).select("id")
+    return s.degrees().join(force, "id").join(F.broadcast(places)).select("id", "out_degree", F.abs("x").alias("x"))  # one row
+
+
+@query("SELECT 'barabasi' AS kind, 196::BIGINT AS n UNION ALL SELECT 'watts', 200")
+def graph_random_generators(spark, sf):
+    made = {"barabasi": g.barabasi_albert(spark, 100, 2, 3).edges.filter("src <> dst"), "watts": g.watts_strogatz(spark, 100, 4, 0.2, 3).edges}
+    out = None
+    for kind, e in made.items():
+        one = e.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT node, depth FROM lv")
+def tree_postorder(spark, sf):
+    return tree(spark, sf).traverse("postorder")
+
+
+@query("SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation WHERE n_nationkey = 7 UNION ALL SELECT 'n' || n_nationkey, 'r3' FROM nation WHERE n_regionkey = 3")
+def tree_parent_children(spark, sf):
+    t = tree(spark, sf)
+    return t.parent("n7").select(F.lit("n7").alias("child"), "parent").union(t.children("r3").select("child", F.lit("r3")))

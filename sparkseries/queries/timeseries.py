@@ -381,3 +381,22 @@ def ts_gorilla_roundtrip(spark, sf):
     df = events(spark, sf).filter("event_type = 'click'")
     back = decompress_series(compress_series(Series(df, ("user_id",), "ts", "value", "event_id")).drop("block"), ("user_id",))
     return back.join(df.select("user_id", "ts", "event_id"), ["user_id", "ts"]).select("event_id", "user_id", "value")
+
+
+@query(f"SELECT {sql_stamp('time_bucket(INTERVAL 6 HOUR, ts)')} AS bucket, round(avg(value), 6) AS value FROM events WHERE event_type = 'view' AND user_id % 2 = 0 AND ts >= TIMESTAMP '2024-01-03' AND ts <= TIMESTAMP '2024-01-10' GROUP BY 1")
+def ts_metric_store(spark, sf):
+    """Two metrics written to a store partitioned by name; one is queried by time and tag."""
+    from ..plans.scratch import scratch_path
+
+    store = series.MetricStore(spark, scratch_path(spark, "metrics"))
+    for kind in ("view", "click"):
+        df = events(spark, sf).filter(F.col("event_type") == kind)
+        store.write(kind, df.select("ts", "value", F.create_map(F.lit("even"), (F.col("user_id") % 2 == 0).cast("string")).alias("tags")))
+    out = store.query_aggregate("view", "2024-01-03", "2024-01-10", "6 hours", "MEAN", {"even": "true"})
+    return out.select(stamp("bucket", "bucket"), r("value", "value"))
+
+
+@query(f"SELECT event_id, value FROM events UNION ALL SELECT event_id, value FROM events WHERE event_type = 'error'")
+def ts_append(spark, sf):
+    s = by_user(spark, sf)
+    return s.append(s.df.filter("event_type = 'error'").select("event_id", "user_id", "ts", "value")).df.select("event_id", "value")
