@@ -77,6 +77,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, quality
+    from . import decontaminate, quality, suffix_dedup
 
-    return {"op2_quality": quality.oracle(), "op3_decontaminate": decontaminate.oracle()}
+    return {"op1_suffix_dedup": suffix_dedup.oracle(), "op2_quality": quality.oracle(), "op3_decontaminate": decontaminate.oracle()}

@@ -449,3 +449,20 @@ def remove_repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_
     shape = "tk binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     solved = texts.join(found, "tk", "left").mapInArrow(_results(length, with_text), shape)
     return rows.select("id", "tk").join(solved, "tk").drop("tk").withColumnRenamed("id", id_col)
+
+
+def oracle(length: int = LENGTH) -> str:
+    """DuckDB SQL for the rows of the operator on documents: every window by its digest (texts as hex digits)."""
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substring(h, 2 * i + 1, {2 * length})) AS k FROM (SELECT doc_id, h, unnest(range(0, n - {length - 1})) AS i FROM d)),
+twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM twice)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {length} THEN 0 ELSE 1 END AS new FROM r)),
+s AS (SELECT doc_id, min(i) AS lo, max(i) + {length} AS hi FROM g GROUP BY doc_id, island),
+gaps AS (SELECT doc_id, coalesce(lag(hi) OVER p, 0) AS a, lo AS b FROM s WINDOW p AS (PARTITION BY doc_id ORDER BY lo) UNION ALL SELECT s.doc_id, max(hi), any_value(n) FROM s JOIN d USING (doc_id) GROUP BY s.doc_id),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+m AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN m USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -4,7 +4,8 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkseries.llm.suffix_dedup import remove_repeated_substrings, repeated_windows
+from sparkseries.llm.suffix_dedup import oracle, remove_repeated_substrings, repeated_windows
+from tests.llm.util import duck, same
 
 
 def brute(texts, length):
@@ -73,3 +74,8 @@ def test_empty_table_and_null_ids(spark):
     assert remove_repeated_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = remove_repeated_substrings(spark.createDataFrame([(None, "b" * 250), (None, "b" * 250)], "doc_id long, text string")).collect()
     assert [(r.doc_id, r.n_removed) for r in rows] == [(None, 250)] * 2
+
+
+def test_against_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    same(remove_repeated_substrings(spark.read.parquet(f"{sf}/documents.parquet")), duck(oracle(), sf))
