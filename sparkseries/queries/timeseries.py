@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sequential, series
 from ..operators.series import Series
-from ..plans.catalog import query, table
+from ..plans.catalog import ORACLES, query, table
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -271,6 +271,34 @@ def ts_macd(spark, sf):
     return few_users(spark, sf).macd().select("event_id", r("macd", "macd"), r("signal", "signal"), r("histogram", "histogram"))
 
 
+def _whole(name: str, cut: str) -> str:
+    """The SQL of a query over a few users, for the same rows over all users."""
+    sql = ORACLES[name]
+    if cut not in sql:
+        raise ValueError(f"{name} has no {cut}")
+    return sql.replace(cut, "")
+
+
+@query(_whole("ts_resample_dense", " WHERE user_id <= 5"))
+def ts_resample_dense_all_users(spark, sf):
+    return by_user(spark, sf).resample("6 hours", "COUNT", fill=True).select("user_id", stamp("bucket", "bucket"), "value")
+
+
+@query(_whole("ts_ema", " WHERE user_id <= 40"))
+def ts_ema_all_users(spark, sf):
+    return by_user(spark, sf).ema(10).select("event_id", r("ema", "v"))
+
+
+@query(_whole("ts_rsi", " WHERE user_id <= 40"))
+def ts_rsi_all_users(spark, sf):
+    return by_user(spark, sf).rsi(14).select("event_id", r("rsi", "v"))
+
+
+@query(_whole("ts_macd", " WHERE user_id <= 40"))
+def ts_macd_all_users(spark, sf):
+    return by_user(spark, sf).macd().select("event_id", r("macd", "macd"), r("signal", "signal"), r("histogram", "histogram"))
+
+
 @query(f"SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 3")
 def ts_latest(spark, sf):
     return by_user(spark, sf).latest(3).df.select("event_id", "user_id")
