@@ -5,8 +5,8 @@ returns is written as Parquet to the shared folder and read again as the next
 one's documents.  All but the last return the columns of documents:
 
 1. quality rules: rejected documents go;
-2. SimHash near-duplicates: the document of least id of each class stays;
-3. benchmark decontamination: documents that leak an item go;
+2. SimHash near-duplicates: the row of least id of each class stays;
+3. benchmark decontamination: rows that leak an item go;
 4. mixing: all documents, stored in the order in which sources take turns;
 5. token files: the documents' token ids, written in that order and read back.
 """

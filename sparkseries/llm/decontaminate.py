@@ -23,9 +23,9 @@ is searched instead, in partitions of the items by size:
 
 Defined cases: null or empty texts hold no shingle and match nothing; repeated
 item ids are one item whose shingles are united; null item ids are ignored;
-repeated document rows (same id) are united too; null document ids are a document
-of their own that is reported with a null id; empty tables give empty results;
-further columns are ignored.
+empty tables give empty results; further columns are ignored.  ``find_leaks``
+unites document rows of the same id, and those of null ids, which it reports with
+a null id; ``drop_leaking`` judges each row by its own text.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import ship_package, stored
+from .rows import row_key
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bits of the Bloom filter at most (8 MB), whatever the number of items.
@@ -129,14 +130,20 @@ def _matches(bloom, sizes: list[int], least: int):
                             ns.append(size)
                             hs.append(h[j])
                             texts.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(texts, pa.binary())], ["id", "size", "h", "shingle"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.array(ns, pa.int32()), pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(texts, pa.binary())], ["id", "size", "h", "shingle"])
 
     return run
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc id, item_id, n_item_shingles, n_found, containment) for every leaking pair."""
-    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return _leaks(texts, items, item_id, item_text, threshold).withColumnRenamed("id", id_col)
+
+
+def _leaks(texts: DataFrame, items: DataFrame, item_id: str, item_text: str, threshold: float) -> DataFrame:
+    """The rows of ``find_leaks`` for documents (id, text); rows of one id, of any type, are one document."""
+    spark = texts.sparkSession
     ship_package(spark)
     own = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
     index = own.mapInArrow(_item_shingles, "item_id long, size int, h long, shingle binary").distinct()
@@ -148,20 +155,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     facts = index.agg(F.count(F.lit(1)), F.collect_set("size"), F.min(F.when(F.col("size") == SHINGLE, F.col("need")))).first()
     bloom = spark.sparkContext.broadcast(bloom_filter(index, facts[0]))
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = texts.mapInArrow(_matches(bloom, sorted(facts[1]) or [SHINGLE], facts[2] or 1), "id long, size int, h long, shingle binary")
+    id_type = texts.schema["id"].dataType.simpleString()
+    found = texts.mapInArrow(_matches(bloom, sorted(facts[1]) or [SHINGLE], facts[2] or 1), f"id {id_type}, size int, h long, shingle binary")
     found = stored(found, "matches").distinct()
     on = ["size", "h", "shingle"]
     pairs = found.join(index.filter("signature").select("item_id", *on), on).select(F.col("id").alias("cand"), F.col("item_id").alias("cand_item")).distinct()
     counted = found.join(index.select("item_id", "q", "need", *on), on).groupBy("id", "item_id", "q", "need").agg(F.count(F.lit(1)).alias("n_found"))
     verified = counted.join(pairs, F.col("id").eqNullSafe(F.col("cand")) & (F.col("item_id") == F.col("cand_item")), "left_semi").filter("n_found >= need")
-    return verified.select(F.col("id").alias(id_col), "item_id", F.col("q").alias("n_item_shingles"), "n_found", (F.col("n_found") / F.col("q")).alias("containment"))
+    return verified.select("id", "item_id", F.col("q").alias("n_item_shingles"), "n_found", (F.col("n_found") / F.col("q")).alias("containment"))
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those that leak an item; documents with a null id go if one of them leaks."""
-    leaks = find_leaks(docs, items, id_col=id_col, text_col=text_col, threshold=threshold).select(F.col(id_col).alias("_sparkseries_leak")).distinct()
-    return docs.join(leaks, F.col(id_col).eqNullSafe(F.col("_sparkseries_leak")), "left_anti")
+    """``docs`` without the rows that leak an item, each judged by its own text, whatever its id."""
+    key = row_key(id_col, text_col)
+    leaks = _leaks(docs.select(key.alias("id"), F.col(text_col).alias("text")), items, "item_id", "text", threshold)
+    return docs.join(leaks.select(F.col("id").alias("_sparkseries_leak")).distinct(), key == F.col("_sparkseries_leak"), "left_anti")
 
 
 def oracle(threshold: float = THRESHOLD) -> str:

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..plans.scratch import cut, ship_package, stored
+from .rows import row_key
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints in a bucket beyond which it is dealt again.
@@ -71,7 +72,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints.view(np.int64))], ["id", "fp"])
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(prints.view(np.int64))], [*kept, "fp"])
 
 
 def gray_rank(prints: np.ndarray) -> np.ndarray:
@@ -253,29 +255,40 @@ def link_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return connected_components(edges)
 
 
-def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id (least id of its class)."""
-    spark = docs.sparkSession
+def _classes(texts: DataFrame, radius: int) -> DataFrame:
+    """The rows of (id, text, ...) without their text, with fp, component_id and ``chosen``, the
+    least fingerprint of the class that the id component_id has in it (null if all ids are)."""
+    spark = texts.sparkSession
     ship_package(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "id long, fp long")
-    rows = stored(rows, "fingerprints")
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "text"]
+    rows = stored(texts.mapInArrow(_fingerprints, ", ".join([*kept, "fp long"])), "fingerprints")
     prints = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "prints")
     roots = link_fingerprints(prints.select("fp"), radius)
     # Most fingerprints have no link and are a class by themselves; the rest meet under their root.
     linked = stored(prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp"), "linked")
-    least = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
-    alone = prints.join(linked.select("fp"), "fp", "left_anti").select(F.col("fp").alias("fp2"), F.col("least").alias("component_id"))
-    of_print = stored(linked.join(least, "root").select(F.col("fp").alias("fp2"), "component_id").union(alone), "classes")
-    out = rows.join(of_print, F.col("fp") == F.col("fp2"))
+    first = F.min(F.when(F.col("least").isNotNull(), F.struct("least", "fp")))
+    least = stored(linked.groupBy("root").agg(first.alias("first")).select("root", F.col("first.least").alias("component_id"), F.col("first.fp").alias("chosen")), "roots")
+    alone = prints.join(linked.select("fp"), "fp", "left_anti").select(F.col("fp").alias("fp2"), F.col("least").alias("component_id"), F.col("fp").alias("chosen"))
+    of_print = stored(linked.join(least, "root").select(F.col("fp").alias("fp2"), "component_id", "chosen").union(alone), "classes")
+    return rows.join(of_print, F.col("fp") == F.col("fp2"))
+
+
+def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id (least id of its class)."""
+    out = _classes(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), radius)
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with the document of least id of each class; a row that repeats a kept id stays once.
+    """``docs`` with the row of least id of each class; of those with that id, the one of least
+    fingerprint and text digest.  Rows of one id are judged by their own texts.
 
-    Documents with a null id are kept: nothing says which of a class they are.
+    Rows with a null id are kept: nothing says which of a class they are.
     """
-    classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, radius=radius)
-    kept = classes.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_sparkseries_kept")).distinct()
-    known = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_sparkseries_kept"), "left_semi").dropDuplicates([id_col])
-    return known.unionByName(docs.filter(F.col(id_col).isNull()))
+    key = row_key(id_col, text_col)
+    known = docs.filter(F.col(id_col).isNotNull())
+    rows = _classes(docs.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(id_col).isNotNull(), key).alias("key"), F.col(text_col).alias("text")), radius)
+    first = rows.filter((F.col("id") == F.col("component_id")) & (F.col("fp") == F.col("chosen")))
+    kept = first.groupBy("component_id", "chosen").agg(F.min("key").alias("_sparkseries_kept")).select("_sparkseries_kept")
+    known = known.withColumn("_sparkseries_key", key).join(kept, F.col("_sparkseries_key") == F.col("_sparkseries_kept"), "left_semi")
+    return known.dropDuplicates(["_sparkseries_key"]).drop("_sparkseries_key").unionByName(docs.filter(F.col(id_col).isNull()))
