@@ -9,7 +9,9 @@ are article text.
 
 One streaming pass, no shuffle; a page is all that is held at once.
 
-Defined cases: null or empty html gives empty text; unclosed tags, comments and
+Defined cases: null or empty html gives empty text; elements that the attributes
+hidden, aria-hidden or style hide are dropped; a head, and hidden paragraphs, items
+and cells, may lack their end tag as HTML allows; other unclosed tags, comments and
 truncated pages end with the page; character references are decoded as browsers
 do, also without semicolon; repeated rows each get a row; null ids and urls stay
 null; an empty table gives an empty result; further columns are ignored.
@@ -41,10 +43,19 @@ BOILER_WORDS = frozenset(
 )
 ARTICLE_WORDS = frozenset("article articlebody content post entry story main".split())
 
+# What may stand in a head, and whose end tag may be left out before which start tag.
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title html head".split())
+TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
+_CELLS, _ROWS = frozenset(["td", "th"]), frozenset("thead tbody tfoot tr td th".split())
+IMPLIED_ENDS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": _CELLS, "th": _CELLS, "tr": _CELLS | {"tr"}, "thead": _ROWS, "tbody": _ROWS, "tfoot": _ROWS}
+
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:\s|^)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_HEAD_GAP = re.compile(r"(?:\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z))*+", re.S)
+_ANY_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -62,6 +73,16 @@ def _role(tag: str, attrs: str) -> int:
     return 2 if tag in ARTICLE_TAGS or words & ARTICLE_WORDS else 0
 
 
+def _hides(attrs: str) -> bool:
+    """Whether the attributes hidden, aria-hidden or style hide an element; of a repeated one the first counts."""
+    if not _MAY_HIDE.search(attrs):
+        return False
+    found: dict[str, str] = {}
+    for name, a, b, c in _ANY_ATTR.findall(attrs):
+        found.setdefault(name.lower(), html_lib.unescape(a or b or c))
+    return "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(found.get("style", "")))
+
+
 def blocks(page: str) -> list[dict]:
     """The flat text blocks of a page, in order: text, words, linked words, tag, where it stands."""
     out: list[dict] = []
@@ -113,10 +134,19 @@ def blocks(page: str) -> list[dict]:
         if not name:
             continue
         closing, attrs = bool(m.group(1)), m.group(3) or ""
-        if name in DROPPED_TAGS or (not closing and name not in VOID_TAGS and _HIDDEN.search(attrs)):
+        if name in DROPPED_TAGS:
             if not closing and not attrs.endswith("/"):
                 flush()
-                at = _end_of(page, name, at)
+                at = _end_of_head(page, at) if name == "head" else _end_of(page, name, at)
+            continue
+        if not closing and name not in VOID_TAGS and _hides(attrs):
+            if not attrs.endswith("/"):
+                flush()
+                while name in BLOCK_TAGS and stack and _implied(stack[-1][0], name):
+                    stack.pop()
+                    state["a"] = 0
+                state["tag"] = stack[-1][0] if stack else "body"
+                at = _end_of_hidden(page, name, at, [t for t, _ in stack])
             continue
         if name == "a":
             state["a"] = 0 if closing else 1
@@ -155,6 +185,77 @@ def _end_of(page: str, name: str, at: int) -> int:
     return len(page)
 
 
+def _implied(open_: str, name: str) -> bool:
+    """Whether the start of a block-level element ends an open one whose end tag was left out."""
+    return open_ == "p" or open_ in IMPLIED_ENDS.get(name, ())
+
+
+def _tags(page: str, at: int):
+    """(start, end, closing, name, attributes) of the tags from ``at``; dropped elements count as one tag, heads and comments as none."""
+    while (lt := page.find("<", at)) >= 0:
+        m = _MARKUP.match(page, lt) or _LOOSE.match(page, lt)
+        at = m.end() if m else lt + 1
+        name = ((m and m.group(2)) or "").lower()
+        if not name:
+            continue
+        closing, attrs = bool(m.group(1)), m.group(3) or ""
+        if name in DROPPED_TAGS and name != "head" and not closing and not attrs.endswith("/"):
+            at = _end_of(page, name, at)
+        yield lt, at, closing, name, attrs
+
+
+def _end_of_head(page: str, at: int) -> int:
+    """Where a head ends: at its end tag, or where the first thing stands that no head holds."""
+    for start, end, closing, name, _ in _tags(page, at):
+        text = _HEAD_GAP.match(page, at, start).end()
+        if text < start:
+            return text
+        if closing and name == "head":
+            return end
+        if (name in ("body", "html", "br")) if closing else (name not in HEAD_TAGS):
+            return start
+        at = end
+    return _HEAD_GAP.match(page, at).end()
+
+
+def _end_of_hidden(page: str, name: str, at: int, outer: list[str]) -> int:
+    """Where a hidden element ends: at its end tag, or where one that was left out is implied.
+
+    ``outer`` are the block-level elements around it; the end of one of them ends it too.
+    """
+    around, stack = frozenset(outer), [name]
+    n_blocks = int(name in BLOCK_TAGS)  # of the stack
+    for start, end, closing, tag, attrs in _tags(page, at):
+        if tag != name and tag not in BLOCK_TAGS:
+            continue
+        if closing:
+            if tag in stack:
+                while True:
+                    top = stack.pop()
+                    n_blocks -= top in BLOCK_TAGS
+                    if top == tag:
+                        break
+                if not stack:
+                    return end
+            elif tag in around:
+                fence = {"table"} if tag in TABLE_PARTS else TABLE_PARTS | {"ul", "ol"} if tag == "li" else TABLE_PARTS
+                if fence.isdisjoint(stack):
+                    return start
+            continue
+        if tag in BLOCK_TAGS:
+            if not n_blocks and outer and _implied(outer[-1], tag):
+                return start
+            while stack and stack[-1] in BLOCK_TAGS and _implied(stack[-1], tag):
+                stack.pop()
+                n_blocks -= 1
+            if not stack:
+                return start
+        if tag not in VOID_TAGS and not attrs.endswith("/"):
+            stack.append(tag)
+            n_blocks += tag in BLOCK_TAGS
+    return len(page)
+
+
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "boiler", "article", "heading", "item")
 
 
