@@ -1,4 +1,4 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search.
+"""Benchmark decontamination: exact containment by an inverted index of the items' shingles.
 
 A document leaks a benchmark item when it holds at least ``threshold`` of the
 item's distinct 5-word shingles (ASCII letters in lower case, words split at
@@ -18,8 +18,9 @@ is searched instead, in partitions of the items by size:
 * Each document's shingles are hashed once in a streaming pass; a Bloom filter of
   bounded size over the items' shingles drops those that occur in no item, so what
   is shuffled are matches, not the corpus' shingles.
-* Candidates (document, item) are verified by counting the item's shingles in the
-  document, compared as strings.
+* The item's shingles in the document are counted, compared as strings, for every
+  pair that shares any; the signatures' candidates are a filter on these counts that
+  removes no pair with enough of them.
 
 Defined cases: null or empty texts hold no shingle and match nothing; repeated
 item ids are one item whose shingles are united; null item ids are ignored;
