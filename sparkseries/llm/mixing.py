@@ -46,7 +46,8 @@ def whole_weights(weights: dict[str, float]) -> dict[str, int]:
     """Proportional whole numbers whose sum is at most MAX_CYCLE (every source keeps at least 1)."""
     if any(w <= 0 for w in weights.values()):
         raise ValueError("weights must be positive")
-    exact = {s: Fraction(w).limit_denominator(10_000) or Fraction(1, 10_000) for s, w in weights.items()}
+    whole_sum = sum(Fraction(w) for w in weights.values())
+    exact = {s: (Fraction(w) / whole_sum).limit_denominator(10_000) or Fraction(1, 10_000) for s, w in weights.items()}
     scale = lcm(*(f.denominator for f in exact.values()))
     whole = {s: int(f * scale) for s, f in exact.items()}
     shared = gcd(*whole.values())
