@@ -33,6 +33,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from operator import itemgetter
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ END_ID = 2
 FRAME_BYTES = 1 << 20
 REMEMBERED = 400_000
 MARKS = b".,;:!?%&*#$"
+#: Letters that stay one letter under NFC and lower case: a piece may end behind them.  (U+0130 becomes two characters.)
+ENDS = {c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and normalize("NFC", c) == c}
 # Fixed values of the public Zstandard formats.
 SKIPPABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E
 SEEK_FOOTER = 0x8F92EAB1
@@ -119,9 +122,9 @@ class WordEncoder:
             if ids is not None:
                 known[w] = ids
                 continue
-            # Marks behind a letter are a piece of their own: the word's ids are those of both parts.
+            # Marks behind such a letter are a piece of their own: the word's ids are those of both parts.
             core = w.rstrip(MARKS)
-            if len(core) < len(w) and core and core.decode()[-1].isalpha():
+            if len(core) < len(w) and core and core.decode()[-1] in ENDS:
                 tail = w[len(core) :]
                 pairs.append((w, core, tail))
                 new.update(x for x in (core, tail) if x not in known)

@@ -25,6 +25,19 @@ def test_words_are_encoded_like_whole_texts(text):
     assert np.frombuffer(encode([text])[0], "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_many_random_texts_and_letters_that_change():
+    """Marks behind letters that lower case or composition turns into something else, and 30,000 random texts."""
+    encode = m.encoder(m.default_tokenizer())
+    rng = np.random.default_rng(8)
+    odd = [chr(c) for c in [*range(0x21, 0x250), *range(0x300, 0x320), 0x345, 0x3A3, 0x3C2, 0x958, 0x1E9E, 0x212A, 0x2126, 0xFB1D, 0x1100, 0x1161, 0xAC00, 0x10400, 0x1F600]]
+    texts = [c + mark for c in odd for mark in (".", "*", ",;", "̇!")] + ["İ*", "aİ.", "İİ, b", "<|endoftext|>.", " <|endoftext|>", "A<|startoftext|>B."]
+    common = list("aeinorst AEIO .,;:!?%&*#$'-10<|>\n\t") + odd
+    texts += ["".join(rng.choice(common, rng.integers(1, 30))) for _ in range(30_000)]
+    want = encode.tokenizer.encode_batch(texts, add_special_tokens=False)
+    got = encode(texts)
+    assert [t for t, g, w in zip(texts, got, want) if g != np.array(w.ids, "<u4").tobytes()] == []
+
+
 def test_file_round_trip_and_selective_reading(tmp_path, monkeypatch):
     monkeypatch.setattr(m, "FRAME_BYTES", 64)
     rng = np.random.default_rng(0)
