@@ -2,12 +2,14 @@
 
 Layout of a file (the public seekable format of Zstandard, so any decoder reads it)::
 
-    frame 0 .. frame n-1   independent frames; token ids as little-endian uint32, whole documents only
-    document index         skippable frame: compressed (document ids, null flags, token counts, documents per frame)
+    frame 0 .. frame n-1   independent frames; token ids as little-endian uint32; a document of up to PART_BYTES is in one frame
+    document index         skippable frame: compressed (document ids, flags, token counts, entries per frame)
     seek table             skippable frame: per frame (compressed size, size, checksum), footer 0x8F92EAB1
 
-The checksum is the low half of XXH64 over the frame's uncompressed bytes.  A
-reader loads the seek table and the index from the end of the file and then
+The checksum is the low half of XXH64 over the frame's uncompressed bytes.  The
+index has an entry per document and, for a longer document, one per frame that holds
+a part of it (flag 2: goes on from the entry before; flag 1: the id
+is null).  A reader loads the seek table and the index from the end of the file and then
 decompresses only the frames that hold the documents asked for.
 
 Writing: documents are dealt by ranges of the order columns, sorted within a
@@ -18,8 +20,8 @@ one row per file.
 
 Encoding goes word by word for tokenizers that drop white space and split on it
 (see ``splits_at_space``): the pieces of a word do not depend on its neighbours, so
-each distinct word is encoded by the library once and remembered, up to twice
-``REMEMBERED`` words.  Other tokenizers get whole texts.
+the library encodes each distinct word once; when more than ``REMEMBERED`` are held,
+all are forgotten.  Other tokenizers get whole texts.
 
 Defined cases: null text counts as empty (the end id only); null ids come first;
 repeated rows are written each; an empty table writes no file and reads back
@@ -31,12 +33,15 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterator
-from operator import itemgetter
+from array import array
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import islice
 from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -47,11 +52,14 @@ from pyspark.sql import functions as F
 from ..plans.scratch import scratch_path, ship_package
 
 END_ID = 2
-FRAME_BYTES = 1 << 20
+FRAME_BYTES = 1 << 20  # a frame is closed at this size
+PART_BYTES = 64 << 20  # what of one document a frame holds at most; a multiple of 4
+BATCH_BYTES = 4 << 20
 REMEMBERED = 400_000
-MARKS = b".,;:!?%&*#$"
-#: Letters that stay one letter under NFC and lower case: a piece may end behind them.  (U+0130 becomes two characters.)
-ENDS = {c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and normalize("NFC", c) == c}
+#: Letters that stay one letter under NFC and lower case.  (U+0130 becomes two characters.)
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and normalize("NFC", c) == c)
+#: Words whose letters and marks are pieces of their own.
+WORD = f"^(?P<core>[{LETTERS}]+)(?P<marks>[.,;:!?%&*#$]*)$"
 # Fixed values of the public Zstandard formats.
 SKIPPABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E
 SEEK_FOOTER = 0x8F92EAB1
@@ -85,55 +93,96 @@ def splits_at_space(description: dict) -> bool:
     return kept and blind and known and plain and not description.get("truncation") and not description.get("padding")
 
 
+def closes_words(description: dict) -> bool:
+    """Whether the last token of every piece of letters ends in the word suffix and no other token does.
+
+    The alphabet is that of single bytes, written as the library writes them, each with and without the suffix.
+    """
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    model, steps = description["model"], (description.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    suffix, vocab = model.get("end_of_word_suffix"), model.get("vocab", {})
+    alone = bool(suffix) and all(c in vocab and c + suffix in vocab for c in ByteLevel.alphabet())
+    last = len(steps) == 2 and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    return alone and last and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "fuse_unk", "ignore_merges"))
+
+
 class WordEncoder:
-    """Texts to token ids (bytes of little-endian uint32)."""
+    """Texts to token ids (bytes of little-endian uint32).
+
+    Arrow tells a batch's words apart and cuts each distinct one into its letters
+    and the marks behind them; any other word stays whole.  The ids of all parts
+    met so far lie one after the other in ``pool``.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_word = splits_at_space(json.load(f))
-        self.known: dict[bytes, bytes] = {}
-        self.earlier: dict[bytes, bytes] = {}
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Each word's ids; many words share one call, and offsets tell whose a token is."""
-        out: list[bytes] = []
-        for at in range(0, len(words), 500):
-            part = words[at : at + 500]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            starts = np.cumsum([0, *[len(w) + 1 for w in part]])
-            cuts = (np.searchsorted([o[0] for o in found.offsets], starts) * 4).tolist()
-            out += [ids[s:e] for s, e in zip(cuts, cuts[1:])]
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+            description = json.load(f)
+        self.by_word = splits_at_space(description)
+        self.closing = None
+        if self.by_word and closes_words(description):
+            # Words of LETTERS: lower case is all there is to normalise, and each is one piece.
+            self.letters = Tokenizer.from_file(path)
+            self.letters.normalizer = None
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            suffix, vocab = description["model"]["end_of_word_suffix"], description["model"]["vocab"]
+            self.closing = np.zeros(max(vocab.values()) + 1, bool)
+            self.closing[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {"": 0}
+        self.pool, self.bounds = np.zeros(0, "<u4"), np.zeros(2, np.int64)  # ids of place p: pool[bounds[p] : bounds[p + 1]]
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word); many words share one call, and offsets tell whose a token is."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        starts = np.cumsum([0, *[len(w) + 1 for w in words]])
+        return np.array(found.ids, "<u4"), np.diff(np.searchsorted([o[0] for o in found.offsets], starts))
+
+    def _ids_of_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of ``LETTERS``; the last token of a word, and no other, is a closing one."""
+        ids = np.array(self.letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        return ids, np.diff(np.flatnonzero(self.closing[ids]), prepend=-1)
+
+    def _places(self, parts: pa.Array, ids_of) -> np.ndarray:
+        """The place of each part; null has place 0, where nothing is."""
+        coded = parts.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known = self.places
+        new = [w for w in distinct if w not in known]
+        blocks = [ids_of(new[at : at + 500]) for at in range(0, len(new), 500)]
+        known.update(zip(new, range(len(known), len(known) + len(new))))
+        if new:
+            self.pool = np.concatenate([self.pool, *[ids for ids, _ in blocks]])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate([n for _, n in blocks]))])
+        place = np.array([*[known[w] for w in distinct], 0], np.int64)
+        return place[pc.fill_null(coded.indices, len(distinct)).to_numpy()]
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
         if not self.by_word:
+            texts = texts if isinstance(texts, list) else texts.to_pylist()
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        if len(self.known) > REMEMBERED:  # words in use move back in from the earlier half
-            self.known, self.earlier = {}, self.known
-        known, earlier = self.known, self.earlier
-        words = [(t.lower() if t.isascii() and "<|" not in t else t).encode().split() for t in texts]
-        new, pairs = set(), []
-        for w in set().union(*words).difference(known):
-            ids = earlier.get(w)
-            if ids is not None:
-                known[w] = ids
-                continue
-            # Marks behind such a letter are a piece of their own: the word's ids are those of both parts.
-            core = w.rstrip(MARKS)
-            if len(core) < len(w) and core and core.decode()[-1] in ENDS:
-                tail = w[len(core) :]
-                pairs.append((w, core, tail))
-                new.update(x for x in (core, tail) if x not in known)
-            else:
-                new.add(w)
-        listed = list(new)
-        known.update(zip(listed, self._words([w.decode() for w in listed])))
-        known.update((w, known[core] + known[tail]) for w, core, tail in pairs)
-        return [b"".join(itemgetter(*ws)(known)) if len(ws) > 1 else b"".join(map(known.__getitem__, ws)) for ws in words]
+        if len(self.places) > REMEMBERED:
+            self._forget()
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        if self.closing is None:
+            parts = self._places(coded.dictionary, self._ids)[:, None]
+        else:
+            halves = pc.extract_regex(coded.dictionary, WORD)
+            core, marks = pc.utf8_lower(pc.struct_field(halves, "core")), pc.struct_field(halves, "marks")
+            parts = np.stack([self._places(core, self._ids_of_letters), self._places(pc.coalesce(marks, coded.dictionary), self._ids)], axis=1)
+        place = parts[coded.indices.to_numpy()].ravel()
+        first = self.bounds[place]
+        size = self.bounds[place + 1] - first
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        cuts = (ends[parts.shape[1] * words.offsets.to_numpy()] * 4).tolist()
+        return [ids[s:e] for s, e in zip(cuts, cuts[1:])]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -152,15 +201,20 @@ class TokenFileWriter:
     def __init__(self, sink):
         self.sink, self.pack = sink, zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True)
         self.table, self.held, self.size = [], [], 0
-        self.ids, self.counts, self.per_frame = [], [], []
+        self.ids, self.flags, self.counts, self.per_frame = array("q"), array("B"), array("I"), array("I")
 
     def add(self, doc_id: int | None, tokens: bytes) -> None:
         if self.held and self.size + len(tokens) > FRAME_BYTES:
             self._frame()
-        self.held.append(tokens)
-        self.size += len(tokens)
-        self.ids.append(doc_id)
-        self.counts.append(len(tokens) // 4)
+        for at in range(0, len(tokens) or 1, PART_BYTES):
+            if at:
+                self._frame()
+            part = tokens[at : at + PART_BYTES]
+            self.held.append(part)
+            self.size += len(part)
+            self.ids.append(doc_id or 0)
+            self.flags.append((doc_id is None) + 2 * (at > 0))
+            self.counts.append(len(part) // 4)
 
     def _frame(self) -> None:
         raw = b"".join(self.held)
@@ -173,10 +227,9 @@ class TokenFileWriter:
     def close(self) -> None:
         if self.held:
             self._frame()
-        nulls = np.array([i is None for i in self.ids], np.uint8)
-        ids = np.array([i or 0 for i in self.ids], "<i8")
-        head = struct.pack("<II", len(ids), len(self.per_frame))
-        index = self.pack.compress(head + ids.tobytes() + nulls.tobytes() + np.array(self.counts, "<u4").tobytes() + np.array(self.per_frame, "<u4").tobytes())
+        head = struct.pack("<II", len(self.ids), len(self.per_frame))
+        columns = [np.array(c, t).tobytes() for c, t in ((self.ids, "<i8"), (self.flags, "u1"), (self.counts, "<u4"), (self.per_frame, "<u4"))]
+        index = self.pack.compress(head + b"".join(columns))
         self.sink.write(struct.pack("<II", SKIPPABLE, len(index)) + index)
         self.table.append((len(index) + 8, 0, 0))
         rows = b"".join(struct.pack("<III", *t) for t in self.table)
@@ -203,45 +256,71 @@ class TokenFileReader:
         o = 8
         ids = np.frombuffer(index, "<i8", docs, o)
         o += 8 * docs
-        nulls = np.frombuffer(index, np.uint8, docs, o)
+        self.flags = np.frombuffer(index, np.uint8, docs, o)
         o += docs
         self.counts = np.frombuffer(index, "<u4", docs, o).astype(np.int64)
         o += 4 * docs
-        self.first_doc = np.concatenate([[0], np.cumsum(np.frombuffer(index, "<u4", frames, o).astype(np.int64))])
-        self.ids = [None if z else int(i) for i, z in zip(ids, nulls)]
+        self.first = np.concatenate([[0], np.cumsum(np.frombuffer(index, "<u4", frames, o).astype(np.int64))])
+        self.ids = [None if f & 1 else i for i, f in zip(ids.tolist(), self.flags.tolist())]
         self.decompressed = 0
 
     def _at(self, at: int, n: int) -> bytes:
         self.file.seek(at)
         return self.file.read(n)
 
-    def frame(self, k: int) -> Iterator[tuple[int | None, bytes]]:
-        """(document id, token bytes) of the documents of frame ``k``."""
+    def frame(self, k: int) -> Iterator[tuple[int, bytes]]:
+        """(entry of the index, token bytes) of what frame ``k`` holds."""
         at, packed, size, checksum = self.frames[k]
         raw = zstandard.ZstdDecompressor().decompress(self._at(at, packed), max_output_size=size)
         self.decompressed += 1
         if len(raw) != size or xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != checksum:
             raise ValueError(f"frame {k}: checksum differs")
         o = 0
-        for d in range(int(self.first_doc[k]), int(self.first_doc[k + 1])):
+        for d in range(int(self.first[k]), int(self.first[k + 1])):
             n = int(self.counts[d]) * 4
-            yield self.ids[d], raw[o : o + n]
+            yield d, raw[o : o + n]
             o += n
 
+    def documents(self, frames: Iterable[int]) -> Iterator[tuple[int, list[bytes]]]:
+        """(first entry, parts) of the documents that begin in these frames; all frames of a wanted one must be among them."""
+        begun, parts, last = None, [], -1
+        for k in frames:
+            for d, tokens in self.frame(k):
+                if not self.flags[d] & 2:
+                    if begun is not None:
+                        yield begun, parts
+                    begun, parts = d, []
+                elif d != last + 1:  # goes on from a frame that was not asked for
+                    continue
+                parts.append(tokens)
+                last = d
+        if begun is not None:
+            yield begun, parts
+
     def __iter__(self) -> Iterator[tuple[int | None, bytes]]:
-        for k in range(len(self.frames)):
-            yield from self.frame(k)
+        for d, parts in self.documents(range(len(self.frames))):
+            yield self.ids[d], b"".join(parts)
 
     def read(self, wanted: set[int | None]) -> list[tuple[int | None, np.ndarray]]:
-        """The documents with these ids, decompressing no other frames."""
+        """The documents with these ids, decompressing no frames without them."""
         hits = [d for d, i in enumerate(self.ids) if i in wanted]
-        frames = sorted({int(np.searchsorted(self.first_doc, d, side="right")) - 1 for d in hits})
-        return [(i, np.frombuffer(t, "<u4")) for k in frames for i, t in self.frame(k) if i in wanted]
+        frames = sorted({int(np.searchsorted(self.first, d, side="right")) - 1 for d in hits})
+        return [(self.ids[d], np.frombuffer(b"".join(parts), "<u4")) for d, parts in self.documents(frames) if self.ids[d] in wanted]
 
     def close(self) -> None:
         self.file.close()
 
 
+def in_bytes(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` in which ``column`` has up to ``limit`` bytes, or one row."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(total):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _write(folder: str, tokenizer: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer or default_tokenizer())
@@ -252,20 +331,20 @@ def _write(folder: str, tokenizer: str | None, end_id: int):
         writer, total, docs = None, 0, 0
         temporary = f"{path}.{context.taskAttemptId()}.tmp"
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [t or "" for t in part.column("text").to_pylist()]
+            for part in in_bytes(batch, "text", BATCH_BYTES):
                 if writer is None:
                     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
                     sink = fs.open_output_stream(temporary)
                     writer = TokenFileWriter(sink)
-                for i, tokens in zip(part.column("id").to_pylist(), encode(texts)):
+                for i, tokens in zip(part.column("id").to_pylist(), encode(part.column("text").fill_null(""))):
                     writer.add(i, tokens + end)
                     total += len(tokens) // 4 + 1
                     docs += 1
         if writer is not None:
             writer.close()
             sink.close()
+            if fs.get_file_info(path).type != pafs.FileType.NotFound:  # left by an attempt whose executor was lost
+                fs.delete_file(path)
             fs.move(temporary, path)
             yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()], pa.int32()), pa.array([name]), pa.array([docs], pa.int64()), pa.array([total], pa.int64())], ["part", "file", "n_docs", "n_tokens"])
 
@@ -276,12 +355,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):
             reader = TokenFileReader(name)
-            for k in range(len(reader.frames)):
-                rows = []
-                for i, tokens in reader.frame(k):
-                    rows.append((i, start, len(tokens) // 4, zlib.crc32(tokens)))
-                    start += len(tokens) // 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["id", "start", "n_tokens", "ids_crc32"])
+            documents = reader.documents(range(len(reader.frames)))
+            while rows := [(reader.ids[d], parts) for d, parts in islice(documents, 2000)]:
+                counts = [sum(map(len, parts)) // 4 for _, parts in rows]
+                starts = [start, *(start + np.cumsum(counts)).tolist()]
+                start = starts.pop()
+                sums = [reduce(lambda crc, part: zlib.crc32(part, crc), parts, 0) for _, parts in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([i for i, _ in rows], starts, counts, sums)], ["id", "start", "n_tokens", "ids_crc32"])
             reader.close()
 
 

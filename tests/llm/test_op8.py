@@ -67,6 +67,32 @@ def test_file_round_trip_and_selective_reading(tmp_path, monkeypatch):
         m.TokenFileReader(path)
 
 
+def test_documents_longer_than_a_frame(tmp_path, monkeypatch):
+    monkeypatch.setattr(m, "FRAME_BYTES", 64)
+    monkeypatch.setattr(m, "PART_BYTES", 64)
+    docs = [(1, b"aaaa"), (None, bytes(range(200)) * 2), (3, b""), (4, b"b" * 64), (5, b"c" * 68)]
+    path = str(tmp_path / "x.zst")
+    with open(path, "wb") as f:
+        w = m.TokenFileWriter(f)
+        for i, t in docs:
+            w.add(i, t)
+        w.close()
+    r = m.TokenFileReader(path)
+    assert list(r) == docs and max(size for _, _, size, _ in r.frames) == 64
+    for i, t in docs:
+        assert [(j, x.tobytes()) for j, x in r.read({i})] == [(i, t)]
+
+
+def test_a_long_text(spark, tokenizer):
+    """Workers cut at the size of the module; a text of more than two frames."""
+    text = " ".join(f"word{i} naïve, {i * 37 % 9973}" for i in range(200_000))
+    df = spark.createDataFrame([(1, text), (2, "b")], "doc_id long, text string")
+    ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4")
+    assert len(ids) * 4 > 2 * m.FRAME_BYTES
+    got = sorted(tuple(r) for r in m.token_round_trip(df).collect())
+    assert got[0] == (1, 0, len(ids), zlib.crc32(ids.tobytes())) and got[1][1] == len(ids)
+
+
 def test_table(spark, tokenizer):
     path = "/root/testdata/sf0.01/documents.parquet"
     texts = {r["doc_id"]: r["text"] for r in pq.read_table(path).to_pylist()}
