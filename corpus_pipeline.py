@@ -7,7 +7,7 @@ one's documents.  All but the last return the columns of documents:
 1. quality rules: rejected documents go;
 2. SimHash near-duplicates: the row of least id of each class stays;
 3. benchmark decontamination: rows that leak an item go;
-4. mixing: all documents, stored in the order in which sources take turns;
+4. mixing: all documents, stored in the order in which sources take turns by their target weights;
 5. token files: the documents' token ids, written in that order and read back.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from sparkseries.llm.decontaminate import drop_leaking
 from sparkseries.llm.mixing import mixed
 from sparkseries.llm.quality import keep_good
+from sparkseries.llm.queries import TARGET_WEIGHTS
 from sparkseries.llm.simhash import keep_one_of_each
 from sparkseries.llm.token_files import token_round_trip
 from sparkseries.plans.scratch import stored
@@ -38,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed(docs)
+    return mixed(docs, weights=TARGET_WEIGHTS)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,169 +5,205 @@ Each source's documents are cut into blocks of ``block`` rows.  With weight w
 released at slot floor(i / w) and due at slot ceil((i + 1) / w); in every slot the
 released block with the earliest deadline goes next.  On one processor with total
 share 1 this meets every deadline, so at any slot t each source has been given
-w * t blocks, give or take less than one.
-
-The weights are whole numbers after scaling, so the schedule repeats after
-``cycle`` = sum of them slots.  One cycle is simulated on the driver (its length is
-bounded by MAX_CYCLE); the slot of every block then follows by arithmetic:
-block i sits in cycle i // w', at the slot of its (i mod w')-th block.  When a
-source runs out the others go on with their weights rescaled, in a new phase;
-there are no more phases than sources, and no row is dropped or repeated.
+w * t blocks, give or take less than one.  When a source runs out the others go on
+with their weights rescaled, in a new phase; there are no more phases than sources,
+and no row is dropped or repeated.
+
+Weights are whole numbers or fractions and are never rounded (a float stands for the
+simplest fraction that it can be told from by 1 part in 2^48).  Scaled to whole
+numbers they sum to a cycle after which the schedule repeats.  One task reads the
+table of sources and walks through one cycle a phase, or to the phase's end if that
+comes first; it holds a few numbers per source and writes, for each block of the
+cycle, its first slot and how often it comes back.  Its time grows with the blocks
+walked through and with phases times sources.  All else is arithmetic, spread out.
 
 Rows are numbered within a source without collecting or sorting it in one task:
 rows fall into hash buckets (a shuffled order that depends on id and seed only),
-bucket counts are summed up, and rows are numbered within each (source, bucket).
-
-Defined cases: null sources are a source of their own; sources without a weight
-get the mean of the given weights (1 where none is given); weights <= 0 are an
-error; repeated rows each get a position; null ids are rows like any other; an
-empty table gives an empty result; further columns are ignored or kept.
+bucket counts are summed up in two levels, and rows are numbered within each
+(source, bucket) together with the slots of the bucket's blocks.
+
+Defined cases: null sources are a source of their own, apart from empty ones;
+sources without a weight get the mean of the given weights (1 where none is given);
+weights <= 0 are an error; repeated rows each get a position; null ids are rows like
+any other, and a bucket holds as many of them as a source has; an empty table gives
+an empty result; further columns are ignored or kept.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
-from math import ceil, gcd, lcm
+from itertools import islice
+from math import gcd, lcm
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
+
+from ..plans.scratch import ship_package, stored
 
 BLOCK = 64
-#: Rows in a numbering bucket, about, and buckets of a source at most (their counts are summed up in one task).
-BUCKET_ROWS, MAX_BUCKETS = 400, 16_384
-#: Slots in one cycle at most; finer weights are rounded to this many parts.
-MAX_CYCLE = 10_000
-#: Sources at most; their names and counts are held by the driver.
-MAX_SOURCES = 1_000
+#: Rows in a numbering bucket, about, and buckets whose counts one task sums up.
+BUCKET_ROWS, BUCKET_GROUP = 400, 4_096
+SCHEDULE = "key string, block long, slot long, times long, blocks long, slots long, lack long"
+
+
+def simplest(low: Fraction, high: Fraction) -> Fraction:
+    """The fraction of least denominator from ``low`` to ``high``, both above 0."""
+    whole = low.numerator // low.denominator
+    if whole == low or whole + 1 <= high:
+        return Fraction(whole if whole == low else whole + 1)
+    return whole + 1 / simplest(1 / (high - whole), 1 / (low - whole))
 
 
-def whole_weights(weights: dict[str, float]) -> dict[str, int]:
-    """Proportional whole numbers whose sum is at most MAX_CYCLE (every source keeps at least 1)."""
+def whole_weights(weights: dict) -> dict:
+    """The least whole numbers in the proportions of ``weights``."""
     if any(w <= 0 for w in weights.values()):
         raise ValueError("weights must be positive")
-    whole_sum = sum(Fraction(w) for w in weights.values())
-    exact = {s: (Fraction(w) / whole_sum).limit_denominator(10_000) or Fraction(1, 10_000) for s, w in weights.items()}
+    total = sum(Fraction(w) for w in weights.values())
+    error = Fraction(1, 2**48)
+    exact = {}
+    for s, w in weights.items():
+        share = Fraction(w) / total
+        exact[s] = simplest(share * (1 - error), share * (1 + error)) if isinstance(w, float) else share
     scale = lcm(*(f.denominator for f in exact.values()))
     whole = {s: int(f * scale) for s, f in exact.items()}
     shared = gcd(*whole.values())
-    whole = {s: n // shared for s, n in whole.items()}
-    total = sum(whole.values())
-    if total > MAX_CYCLE:
-        room = MAX_CYCLE - len(whole)
-        whole = {s: 1 + n * room // total for s, n in whole.items()}
-    return whole
+    return {s: n // shared for s, n in whole.items()}
 
 
-def cycle_slots(whole: dict[str, int]) -> dict[str, list[int]]:
-    """For each source the slots of its blocks within one cycle, by earliest deadline first."""
+def one_cycle(whole: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """(source, its i-th block) for the slots of one cycle: earliest deadline first, then release, then name."""
     cycle = sum(whole.values())
-    slots: dict[str, list[int]] = {s: [] for s in whole}
-    waiting = [(0, s, 0) for s in sorted(whole)]  # (release, source, block)
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, str, int]] = []
+    ready = [(-(-cycle // n), 0, s, 0) for s, n in whole.items()]
+    heapq.heapify(ready)
+    waiting: list[tuple[int, str, int]] = []  # (release, source, block)
     for t in range(cycle):
         while waiting and waiting[0][0] <= t:
             release, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(i + 1) * cycle // whole[s]), release, s, i))
         _, _, s, i = heapq.heappop(ready)
-        slots[s].append(t)
+        yield s, i
         if i + 1 < whole[s]:
             heapq.heappush(waiting, ((i + 1) * cycle // whole[s], s, i + 1))
-    return slots
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[dict]:
-    """The phases until all blocks are placed.
-
-    Each has its first slot, the whole weights, the slots of one cycle, and how
-    many blocks of each source came before it.
-    """
-    left = {s: n for s, n in blocks.items() if n}
-    done = dict.fromkeys(left, 0)
-    out, start = [], 0
+def phases(rows: dict[str, int], weights: dict[str, int], block: int) -> Iterator[tuple]:
+    """Rows of SCHEDULE: the block ``block`` of a source has slot ``slot``; ``times`` times in all the block ``blocks``
+    further on has the slot ``slots`` further on.  ``lack``: what the blocks before are short of full ones, in rows."""
+    left = {s: -(-n // block) for s, n in rows.items() if n}
+    done, start, lack = dict.fromkeys(left, 0), 0, 0
     while left:
-        whole = whole_weights({s: weights[s] for s in left})
-        slots, cycle = cycle_slots(whole), sum(whole.values())
-        # The phase ends right after the slot that takes some source's last block.
-        end = min(((n - 1) // whole[s]) * cycle + slots[s][(n - 1) % whole[s]] for s, n in left.items()) + 1
-        out.append({"start": start, "whole": whole, "slots": slots, "before": dict(done)})
-        full, rest = divmod(end, cycle)
-        for s in list(left):
-            took = full * whole[s] + sum(1 for x in slots[s] if x < rest)
-            done[s] += took
-            left[s] -= took
+        shared = gcd(*(weights[s] for s in left))
+        whole = {s: weights[s] // shared for s in left}
+        cycle = sum(whole.values())
+        # The phase ends behind the slot that takes some source's last block; that may be in the first cycle.
+        end = None
+        for t, (s, i) in enumerate(one_cycle(whole)):
+            if left[s] == i + 1:
+                end = t + 1
+                break
+            if (left[s] - 1) % whole[s] == i:
+                last = (left[s] - 1) // whole[s] * cycle + t + 1
+                end = last if end is None else min(end, last)
+        took = dict.fromkeys(left, 0)
+        for t, (s, i) in enumerate(islice(one_cycle(whole), min(end, cycle))):
+            times = -(-(end - t) // cycle)
+            yield s, done[s] + i, start + t, times, whole[s], cycle, lack
+            took[s] += times
+        start += end
+        for s, n in took.items():
+            done[s] += n
+            left[s] -= n
             if not left[s]:
                 del left[s]
-        start += end
-    return out
+                lack += -rows[s] % block
 
 
-def numbered(docs: DataFrame, *, id_col: str, source_col: str, block: int, seed: int, rows: int) -> DataFrame:
-    """``docs`` with _source, _block and _in (row within its block); see the module docstring."""
-    buckets = max(1, min(MAX_BUCKETS, rows // BUCKET_ROWS))
-    spot = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
-    docs = docs.withColumns({"_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_spot": spot, "_bucket": F.pmod(spot, F.lit(buckets)).cast("int")})
-    counts = docs.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("_source").alias("_s2"), F.col("_bucket").alias("_b2"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("_source", "_bucket").orderBy("_spot", id_col)
-    docs = docs.withColumn("_row", F.row_number().over(within) - 1)
-    docs = docs.join(offsets, (F.col("_source") == F.col("_s2")) & (F.col("_bucket") == F.col("_b2"))).withColumn("_row", F.col("_row") + F.col("_first"))
-    return docs.withColumns({"_block": F.floor(F.col("_row") / block).cast("long"), "_in": (F.col("_row") % block).cast("int")}).drop("_s2", "_b2", "_first", "_row", "_spot", "_bucket")
-
-
-def _mixed(docs: DataFrame, *, id_col: str, source_col: str, weights: dict[str, float] | None, block: int, seed: int) -> DataFrame:
-    """``docs`` with _source, _block, _slot and _position."""
+def _plan(block: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, weights = {}, {}
+        for batch in batches:
+            for s, n, w in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "weight"))):
+                rows[s], weights[s] = n, int(w)
+        planned = phases(rows, weights, block)
+        while part := list(islice(planned, 10_000)):
+            columns = list(zip(*part))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]], ["key", "block", "slot", "times", "blocks", "slots", "lack"])
+
+    return run
+
+
+def source_key(source: Column) -> Column:
+    """Text that tells sources apart, null and empty ones too."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def hashable(kind: DataType) -> bool:
+    """Whether Spark hashes the type: it does not where a map or variant is inside."""
+    return not any(x in kind.simpleString() for x in ("map<", "variant"))
+
+
+def _schedule(docs: DataFrame, source_col: str, weights: dict | None, block: int) -> tuple[DataFrame, int]:
+    """(key, block, slot, lack) of all blocks, and the number of rows."""
     spark = docs.sparkSession
-    totals = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s")).count().limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r["s"]: r["count"] for r in totals}
-    given = weights or {}
-    usual = sum(given.values()) / len(given) if given else 1.0
-    full = {s: given.get(s, usual) for s in sizes}
-    plan = phases({s: ceil(n / block) for s, n in sizes.items()}, full)
-
-    table, short = [], []
-    for k, p in enumerate(plan):
-        cycle = sum(p["whole"].values())
-        for s, n in p["whole"].items():
-            after = plan[k + 1]["before"].get(s, 0) if k + 1 < len(plan) else ceil(sizes[s] / block)
-            if k + 1 < len(plan) and s not in plan[k + 1]["whole"]:
-                after = ceil(sizes[s] / block)
-            table.append((s, p["before"].get(s, 0), after, p["start"], cycle, n, p["slots"][s]))
-    for s, first, after, start, cycle, n, slots in table:
-        last = ceil(sizes[s] / block)
-        if after == last and first < last and sizes[s] % block:
-            i = last - 1 - first
-            short.append((start + i // n * cycle + slots[i % n], block - sizes[s] % block))
-    schema = "s string, first long, after long, start long, cycle long, n long, slots array<int>"
-    schedule = spark.createDataFrame([t for t in table if t[1] < t[2]], schema)
-    rows = numbered(docs, id_col=id_col, source_col=source_col, block=block, seed=seed, rows=sum(sizes.values()))
-    # At most one row per source and phase, each with its slots of a cycle:
-    # 500,000 short rows and 10 million slots at the very most (MAX_SOURCES, MAX_CYCLE).
-    i = F.col("_block") - F.col("first")
-    rows = rows.join(F.broadcast(schedule), (F.col("_source") == F.col("s")) & (F.col("_block") >= F.col("first")) & (F.col("_block") < F.col("after")))
-    slot = F.col("start") + F.floor(i / F.col("n")) * F.col("cycle") + F.element_at("slots", (i % F.col("n") + 1).cast("int"))
-    rows = rows.withColumn("_slot", slot.cast("long")).drop("s", "first", "after", "start", "cycle", "n", "slots")
-    missing = F.lit(0).cast("long")
-    if short:
-        listed = F.array(*[F.struct(F.lit(a).cast("long").alias("slot"), F.lit(b).cast("long").alias("lack")) for a, b in sorted(short)])
-        missing = F.aggregate(F.filter(listed, lambda x: x["slot"] < F.col("_slot")), F.lit(0).cast("long"), lambda acc, x: acc + x["lack"])
-    return rows.withColumn("_position", F.col("_slot") * block + F.col("_in") - missing)
-
-
-def mix_order(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, block: int = BLOCK, seed: int = 17) -> DataFrame:
+    ship_package(spark)
+    sizes = stored(docs.groupBy(source_key(F.col(source_col)).alias("key")).agg(F.count(F.lit(1)).alias("n")), "sources")
+    given = {"" if s is None else f"={s}": w for s, w in (weights or {}).items()}
+    usual = sum(map(Fraction, given.values())) / len(given) if given else Fraction(1)
+    whole = whole_weights({**given, None: float(usual) if any(isinstance(w, float) for w in given.values()) else usual})
+    table = spark.createDataFrame([(s, str(w)) for s, w in whole.items() if s is not None], "key string, weight string")
+    sizes = sizes.join(table, "key", "left").withColumn("weight", F.coalesce("weight", F.lit(str(whole[None]))))
+    # The one task reads a row per source, not per document.
+    plan = stored(sizes.select("key", "n", "weight").repartition(1).mapInArrow(_plan(block), SCHEDULE), "schedule")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    k = F.explode(F.sequence(F.lit(0), F.col("times") - 1))
+    blocks = plan.repartition(parts, "key", "block").select("*", k.alias("k"))
+    blocks = blocks.select("key", (F.col("block") + F.col("k") * F.col("blocks")).alias("block"), (F.col("slot") + F.col("k") * F.col("slots")).alias("slot"), "lack")
+    return blocks, sizes.agg(F.sum("n")).first()[0] or 0
+
+
+def _mixed(docs: DataFrame, *, id_col: str, source_col: str, weights: dict | None, block: int, seed: int) -> tuple[DataFrame, int]:
+    """``docs`` with _block, _slot and _position, and the number of rows."""
+    blocks, total = _schedule(docs, source_col, weights, block)
+    buckets = max(1, total // BUCKET_ROWS)
+    spot = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
+    # Rows that tie in id and in the digest of all they hold are the same row: a task that runs again numbers alike.
+    docs = docs.withColumns({"_key": source_key(F.col(source_col)), "_spot": spot, "_tie": F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if hashable(f.dataType)])})
+    docs = docs.withColumn("_bucket", F.pmod("_spot", F.lit(buckets)))
+    counts = docs.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("group", F.floor(F.col("_bucket") / BUCKET_GROUP))
+    ahead = (Window.unboundedPreceding, -1)
+    groups = counts.groupBy("_key", "group").agg(F.sum("n").alias("n"))
+    groups = groups.select("_key", "group", F.coalesce(F.sum("n").over(Window.partitionBy("_key").orderBy("group").rowsBetween(*ahead)), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("_key", "group").orderBy("_bucket").rowsBetween(*ahead)), F.lit(0))
+    offsets = counts.withColumn("inside", inside).join(groups, ["_key", "group"]).select("_key", "_bucket", "n", (F.col("base") + F.col("inside")).alias("first"))
+    # The slots of the blocks that each bucket's rows belong to, in order.
+    held = offsets.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("n") - 1) / block))))
+    held = held.join(blocks.withColumnRenamed("key", "_key"), ["_key", "block"])
+    held = held.groupBy("_key", "_bucket").agg(F.first("first").alias("first"), F.sort_array(F.collect_list(F.struct("block", "slot", "lack"))).alias("held"))
+    within = Window.partitionBy("_key", "_bucket").orderBy("_spot", id_col, "_tie")
+    docs = docs.withColumn("_row", F.row_number().over(within) - 1).join(held, ["_key", "_bucket"])
+    row = F.col("first") + F.col("_row")
+    docs = docs.withColumns({"_block": F.floor(row / block), "_in": row % block})
+    at = F.element_at("held", (F.col("_block") - F.col("held")[0]["block"] + 1).cast("int"))
+    docs = docs.withColumns({"_slot": at["slot"], "_position": at["slot"] * block - at["lack"] + F.col("_in")})
+    return docs.drop("_key", "_bucket", "_spot", "_tie", "_row", "_in", "first", "held"), total
+
+
+def mix_order(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", weights: dict | None = None, block: int = BLOCK, seed: int = 17) -> DataFrame:
     """One row per row of ``docs``: id, source, block, slot and position (gapless from 0)."""
-    rows = _mixed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src")), id_col="id", source_col="src", weights=weights, block=block, seed=seed)
+    rows, _ = _mixed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src")), id_col="id", source_col="src", weights=weights, block=block, seed=seed)
     return rows.select(F.col("id").alias(id_col), F.col("src").alias(source_col), F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_position").alias("position"))
 
 
-def mixed(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, block: int = BLOCK, seed: int = 17) -> DataFrame:
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", weights: dict | None = None, block: int = BLOCK, seed: int = 17) -> DataFrame:
     """``docs`` in mixed order: partitions follow each other in position, each sorted by it."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The row travels as one column, so its own columns may have any names.
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"), F.col(id_col).alias("id"), F.col(source_col).alias("src"))
-    rows = _mixed(whole, id_col="id", source_col="src", weights=weights, block=block, seed=seed)
-    return rows.repartitionByRange(parts, "_position").sortWithinPartitions("_position").select("_whole.*")
+    rows, total = _mixed(whole, id_col="id", source_col="src", weights=weights, block=block, seed=seed)
+    # Positions are gapless, so equal ranges are equal shares: no sample of them is needed.
+    share = F.floor(F.col("_position") * parts / max(1, total)).cast("int")
+    return rows.repartitionById(parts, share).sortWithinPartitions("_position").select("_whole.*")

@@ -36,10 +36,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+#: Target weights of the sources: src0 about an eighth of the blocks, the others 1 to 5 parts of the rest by their number.
+TARGET_WEIGHTS = {"src0": 8, **{f"src{k}": 1 + k % 5 for k in range(1, 20)}}
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_order
 
-    return mix_order(_table(spark, sf_dir, "documents"))
+    return mix_order(_table(spark, sf_dir, "documents"), weights=TARGET_WEIGHTS)
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
