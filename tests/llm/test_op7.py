@@ -35,9 +35,64 @@ def test_plan_equals_whole_search(seed):
     assert cuts == [int(ends[s]) for s in m.greedy(flat, want)]
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_plan_through_ranges(seed):
+    """Two levels and one read at a time give the same cuts."""
+    r = random.Random(seed)
+    shards = r.randint(1, 8)
+    ranges, inner, flat = [], {}, []
+    for a in range(r.randint(1, 6)):
+        below = []
+        for b in range(r.randint(1, 6)):
+            sizes = [r.choice([1, 2, 3, r.randint(1, 50), r.randint(1, 2000) if r.random() < 0.05 else 4]) for _ in range(r.randint(1, 9))]
+            inner["b", a, b] = sizes
+            below.append((("b", a, b), sum(sizes)))
+            flat += sizes
+        inner["r", a] = below
+        ranges.append((("r", a), sum(x for _, x in below), max(max(inner[k]) for k, _ in below)))
+    cuts = m.plan_cuts(ranges, lambda w: {k: inner[k] for k in w}, shards)
+    ends = np.concatenate([[0], np.cumsum(flat)])
+    assert cuts == [int(ends[s]) for s in m.greedy(np.array(flat), m.smallest_capacity(np.array(flat), shards))]
+
+
+@pytest.mark.parametrize("large", [0.0, 0.01, 0.05, 0.2, 0.5])
+def test_few_groups_reach_the_driver(large):
+    """Of two million groups in 2,000 buckets, however large the largest of them."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 4_000, 2_000_000)
+    hot = [777_777, 1_200_345]
+    for h in hot:
+        sizes[h] = max(1, int(sizes.sum() * large / 2))
+    each = 1_000
+    table = sizes.reshape(-1, each)
+    fetched = []
+
+    def fetch(wanted):
+        fetched.extend(wanted)
+        return {b: table[b].tolist() for b in wanted}
+
+    cuts = m.plan_cuts([(b, int(x.sum()), int(x.max())) for b, x in enumerate(table)], fetch, 16)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    assert cuts == [int(ends[s]) for s in m.greedy(sizes, m.smallest_capacity(sizes, 16))]
+    assert len(fetched) == len(set(fetched)) <= 300
+
+
+def test_copies_without_ids(spark, monkeypatch):
+    """A third of the rows are one text with null ids; they are numbered in many parts."""
+    monkeypatch.setattr(m, "PART_BITS", 4)
+    docs = spark.range(3000).selectExpr("case when id % 3 = 0 then null else id end as doc_id", "case when id % 3 = 0 then 'hot' else concat('t', id) end as text")
+    got = m.shard_by_bytes(docs).collect()
+    place = {}
+    for x in got:
+        place.setdefault(x.shard, []).append(x.slot)
+    assert sum(map(len, place.values())) == 3000 and all(sorted(v) == list(range(len(v))) for v in place.values())
+    assert len({x.shard for x in got if x.doc_id is None}) == 1
+
+
 @pytest.mark.parametrize("bucket_groups", [3, 4096])
 def test_table(spark, monkeypatch, bucket_groups):
     monkeypatch.setattr(m, "BUCKET_GROUPS", bucket_groups)
+    monkeypatch.setattr(m, "RANGE_BITS", 2)
     r = random.Random(4)
     texts = [None, "", "é€"] + ["x" * r.randint(0, 90) + str(i) for i in range(300)]
     texts += [texts[9]] * 60 + [texts[20]] * 3 + [None]
