@@ -40,7 +40,7 @@ BUCKET_GROUPS, RANGE_BITS = 4_096, 10
 #: Stored rows of a task that are numbered together, as bits.
 PART_BITS = 17
 #: Ranges or buckets read at once.
-READS = 64
+READS = 32
 
 
 def greedy(sizes: np.ndarray, capacity: int) -> list[int]:
@@ -171,8 +171,8 @@ def shard_by_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             for r in sums.filter(F.col("range").isin(inner["range"])).select("range", "bucket", "bytes").collect():
                 out.setdefault(("range", r[0]), []).append((("bucket", r[1]), r[2]))
         if inner["bucket"]:
-            for r in groups.filter(F.col("bucket").isin(inner["bucket"])).select("bucket", *key, "bytes").collect():
-                out.setdefault(("bucket", r[0]), []).append((r[1:4], r[4]))
+            for r in groups.filter(F.col("bucket").isin(inner["bucket"])).select("bucket", "bytes_before", "bytes").collect():
+                out.setdefault(("bucket", r[0]), []).append((r[1], r[2]))
         return {k: sorted(v) if k[0] == "range" else [x for _, x in sorted(v)] for k, v in out.items()}
 
     top = [(("range", r["range"]), r["bytes"], r["largest"]) for r in ranges.orderBy("range").collect()]
