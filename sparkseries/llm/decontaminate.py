@@ -1,4 +1,4 @@
-"""Benchmark decontamination: exact containment by an inverted index of the items' shingles.
+"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 A document leaks a benchmark item when it holds at least ``threshold`` of the
 item's distinct 5-word shingles (ASCII letters in lower case, words split at
@@ -7,20 +7,19 @@ white space; an item of fewer words is one shingle of all its words).
 Short items inside long documents have a tiny Jaccard similarity, so containment
 is searched instead, in partitions of the items by size:
 
-* Items are partitioned by their number q of distinct shingles.  Each size has
-  its own signature: the k smallest shingle hashes (bottom-k MinHash) with
-  k = q - ceil(threshold * q) + 1.  A document that holds ceil(threshold * q) of
-  the q shingles cannot miss all k of any fixed k of them, so probing the
-  signatures loses no pair - the signature length that containment asks for is
-  derived per size instead of estimated for all sizes at once.
-* Documents are partitioned by size as well: a document with fewer shingles than
-  ceil(threshold * q) of the smallest size in use is never probed.
+* Items are partitioned by their number q of distinct shingles.  Each size has its
+  own signature: the k smallest shingle hashes (bottom-k MinHash).  Of the q shingles
+  a leaking document holds need = ceil(threshold * q), so it misses q - need at most,
+  and of any k it holds k - (q - need) at least.  With k = q - need + PROBES that is
+  PROBES (need, if that is less): the signature's length follows from size and
+  threshold, and no leak is lost.
 * Each document's shingles are hashed once in a streaming pass; a Bloom filter of
   bounded size over the items' shingles drops those that occur in no item, so what
-  is shuffled are matches, not the corpus' shingles.
-* The item's shingles in the document are counted, compared as strings, for every
-  pair that shares any; the signatures' candidates are a filter on these counts that
-  removes no pair with enough of them.
+  is shuffled are matches, not the corpus' shingles.  A document with fewer shingles
+  than the smallest need is not probed.
+* Candidates are the (document, item) pairs with PROBES matches in the signature.
+* Only for candidates are the item's shingles looked up in the document and counted,
+  compared as strings.
 
 Defined cases: null or empty texts hold no shingle and match nothing; repeated
 item ids are one item whose shingles are united; null item ids are ignored;
@@ -45,6 +44,8 @@ from .rows import row_key
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bits of the Bloom filter at most (8 MB), whatever the number of items.
 BLOOM_BITS = 1 << 26
+#: Matches in its signature that make an item a candidate.
+PROBES = 2
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
@@ -91,21 +92,21 @@ def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def bloom_filter(hashes: DataFrame, count: int) -> np.ndarray:
     """Byte array with two bits per hash; its size follows ``count`` up to BLOOM_BITS.
 
-    Filled per partition and merged by positions: what reaches the driver are set
-    bytes, at most BLOOM_BITS / 8 of them.
+    Filled per partition and merged by positions: what reaches the driver are words
+    of 64 bits, at most BLOOM_BITS / 64 of them (12 bytes each).
     """
     bits = min(BLOOM_BITS, max(1 << 13, 1 << (max(1, count) * 16).bit_length()))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column("h").to_numpy().view(np.uint64)
-            at = np.unique(np.concatenate(_bits(h, bits)))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(3)).astype(np.int32)), pa.array((1 << (at & np.uint64(7)).astype(np.int32)).astype(np.int32))], ["at", "bit"])
+            at = np.unique(np.concatenate(_bits(batch.column("h").to_numpy().view(np.uint64), bits)))
+            bit = np.uint64(1) << (at & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(bit.view(np.int64))], ["at", "bit"])
 
-    rows = hashes.select("h").mapInArrow(fill, "at int, bit int").groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(bits // 8, np.uint8)
-    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.uint8)
-    return out
+    words = hashes.select("h").mapInArrow(fill, "at int, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, "<u8")
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out.view(np.uint8)
 
 
 def _matches(bloom, sizes: list[int], least: int):
@@ -138,32 +139,43 @@ def _matches(bloom, sizes: list[int], least: int):
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc id, item_id, n_item_shingles, n_found, containment) for every leaking pair."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return _leaks(texts, items, item_id, item_text, threshold).withColumnRenamed("id", id_col)
+    key = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit(""))
+    leaks = _leaks(docs.select(key.alias("id"), F.col(text_col).alias("text")), items, item_id, item_text, threshold)
+    return leaks.withColumn("id", F.expr("try_cast(id AS long)")).withColumnRenamed("id", id_col)
 
 
-def _leaks(texts: DataFrame, items: DataFrame, item_id: str, item_text: str, threshold: float) -> DataFrame:
-    """The rows of ``find_leaks`` for documents (id, text); rows of one id, of any type, are one document."""
-    spark = texts.sparkSession
-    ship_package(spark)
+def _index(items: DataFrame, item_id: str, item_text: str, threshold: float) -> DataFrame:
+    """One row per item and distinct shingle, with q, need, probes and whether it is in the signature; stored."""
     own = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
     index = own.mapInArrow(_item_shingles, "item_id long, size int, h long, shingle binary").distinct()
     sizes = index.groupBy("item_id").agg(F.count(F.lit(1)).alias("q"))
     index = index.join(sizes, "item_id").withColumn("need", F.ceil(F.lit(threshold) * F.col("q") - 1e-9).cast("long"))
-    # Bottom-k per size partition: windows per item, none larger than an item.
+    index = index.withColumn("probes", F.least(F.lit(PROBES), "need"))
+    # Windows per item, none larger than an item.
     index = index.withColumn("place", F.expr("row_number() OVER (PARTITION BY item_id ORDER BY h, shingle)"))
-    index = stored(index.withColumn("signature", F.col("place") <= F.col("q") - F.col("need") + 1), "benchmark")
+    return stored(index.withColumn("signature", F.col("place") <= F.col("q") - F.col("need") + F.col("probes")), "benchmark")
+
+
+def _candidates(found: DataFrame, index: DataFrame) -> DataFrame:
+    """(id, item_id) of the pairs with enough matches in the item's signature; ``found``: distinct matches of documents."""
+    on = ["size", "h", "shingle"]
+    hits = found.join(index.filter("signature").select("item_id", "probes", *on), on)
+    return hits.groupBy("id", "item_id", "probes").agg(F.count(F.lit(1)).alias("n")).filter("n >= probes").select("id", "item_id")
+
+
+def _leaks(texts: DataFrame, items: DataFrame, item_id: str, item_text: str, threshold: float) -> DataFrame:
+    """The rows of ``find_leaks`` for documents (id, text); rows of one id are one document."""
+    spark = texts.sparkSession
+    ship_package(spark)
+    index = _index(items, item_id, item_text, threshold)
     facts = index.agg(F.count(F.lit(1)), F.collect_set("size"), F.min(F.when(F.col("size") == SHINGLE, F.col("need")))).first()
     bloom = spark.sparkContext.broadcast(bloom_filter(index, facts[0]))
-
-    id_type = texts.schema["id"].dataType.simpleString()
-    found = texts.mapInArrow(_matches(bloom, sorted(facts[1]) or [SHINGLE], facts[2] or 1), f"id {id_type}, size int, h long, shingle binary")
+    found = texts.mapInArrow(_matches(bloom, sorted(facts[1]) or [SHINGLE], facts[2] or 1), "id string, size int, h long, shingle binary")
     found = stored(found, "matches").distinct()
-    on = ["size", "h", "shingle"]
-    pairs = found.join(index.filter("signature").select("item_id", *on), on).select(F.col("id").alias("cand"), F.col("item_id").alias("cand_item")).distinct()
-    counted = found.join(index.select("item_id", "q", "need", *on), on).groupBy("id", "item_id", "q", "need").agg(F.count(F.lit(1)).alias("n_found"))
-    verified = counted.join(pairs, F.col("id").eqNullSafe(F.col("cand")) & (F.col("item_id") == F.col("cand_item")), "left_semi").filter("n_found >= need")
-    return verified.select("id", "item_id", F.col("q").alias("n_item_shingles"), "n_found", (F.col("n_found") / F.col("q")).alias("containment"))
+    # An item's shingles are joined to its candidates, then looked up in the document by (id, shingle), which no hot item or shingle fills.
+    wanted = _candidates(found, index).join(index.select("item_id", "q", "need", "size", "h", "shingle"), "item_id")
+    counted = wanted.join(found, ["id", "size", "h", "shingle"]).groupBy("id", "item_id", "q", "need").agg(F.count(F.lit(1)).alias("n_found"))
+    return counted.filter("n_found >= need").select("id", "item_id", F.col("q").alias("n_item_shingles"), "n_found", (F.col("n_found") / F.col("q")).alias("containment"))
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

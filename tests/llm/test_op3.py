@@ -45,6 +45,31 @@ def test_against_sql(spark):
     same(m.find_leaks(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")), duck(m.oracle(), SF))
 
 
+def test_candidates_come_from_signatures(spark):
+    """No leak is lost, and far fewer pairs are verified than share a shingle."""
+    r = random.Random(5)
+    common = [" ".join(r.choice("abcdefgh") * 3 for _ in range(9)) for _ in range(6)]
+    words = lambda n: " ".join("".join(r.choice("mnopqrst") for _ in range(5)) for _ in range(n))
+    items = [(i, f"{words(20)} {common[i % 6]} {words(20)}") for i in range(60)]
+    docs = [(i, f"{words(50)} {common[i % 6]} {words(50)} {items[i % 60][1] if i % 4 == 0 else ''}") for i in range(400)]
+    index = m._index(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 0.8)
+    per_item = {}
+    for x in index.collect():
+        per_item.setdefault(x.item_id, []).append(x)
+    for xs in per_item.values():
+        assert sum(x.signature for x in xs) == xs[0].q - xs[0].need + min(2, xs[0].need) < xs[0].q
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    known = {s for xs in per_item.values() for s in (bytes(x.shingle) for x in xs)}
+    rows = [(str(d), 5, m.xxhash.xxh64_intdigest(s) - (1 << 64 if m.xxhash.xxh64_intdigest(s) >> 63 else 0), bytearray(s)) for d, t in docs for s in m.shingles(t) if s in known]
+    found = spark.createDataFrame(rows, "id string, size int, h long, shingle binary")
+    candidates = {(x.id, x.item_id) for x in m._candidates(found, index).collect()}
+    sharing = found.join(index, ["size", "h", "shingle"]).select("id", "item_id").distinct().count()
+    want = brute(docs, items)
+    assert {(str(d), i) for d, i, _, _ in want} <= candidates and len(want) == 100
+    assert len(candidates) < sharing / 3
+    assert {(x.doc_id, x.item_id, x.n_item_shingles, x.n_found) for x in m.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()} == want
+
+
 def test_empty_tables_and_null_ids(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
