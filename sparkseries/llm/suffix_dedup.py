@@ -15,19 +15,24 @@ How it is spread over a cluster
    anchors, so all windows that can match meet under one anchor key.  The bytes
    of the consecutive windows that select one anchor are its *context*.
 3. Anchors are counted with map-side combining; those seen once are done with.
-   Contexts that are equal byte for byte (same anchor, same digest) are one
-   context with a weight.
+   Contexts that are equal byte for byte are one context with a weight.
 4. Contexts under one anchor that agree on one half of a window (a digest of the
-   bytes left or right of the anchor) are joined to their bytes and concatenated
-   into blocks of bounded size.  For each block a Burrows-Wheeler transform is
-   built and intervals are expanded breadth first by backward extension: level l
-   marks the rank boundaries whose common prefix is exactly l, in increasing
-   order, and the expansion stops at ``length``.  Ranks not separated by then
-   share at least ``length`` bytes.
-5. An anchor with too many different contexts for one block (a very common
-   line) is not expanded in one task: its windows are dealt by their own digest
-   and counted, which is exact and has no hot key left but equal windows, which
-   combine map-side.
+   bytes left or right of the anchor) are joined to their bytes, and contexts of one
+   anchor form a group.  Groups are concatenated into blocks of bounded size.  For each
+   block a Burrows-Wheeler transform is built and intervals are expanded breadth first
+   by backward extension: level l marks the rank boundaries whose common prefix is
+   exactly l, in increasing order, and the expansion stops at ``length``.  Ranks not
+   separated by then share at least ``length`` bytes.
+5. A group of more than ``GROUP`` bytes (a very common line) is dealt finer first.  The
+   windows of a context that hold the anchor at neighbouring offsets share all but a
+   few of their bytes, and equal windows hold it at the same offset: so each context
+   is cut into runs of ``WIDTHS[0]`` windows, those of one run of offsets that agree
+   on the shared bytes are a group, equal runs are one run with a weight, and groups
+   are expanded as above, or dealt finer again where they are still too large.  Runs
+   of one window that meet are equal, and only their weights count.  So no task holds
+   more than a block and a group, however many documents share a line.
+
+Texts and contexts count as equal when 128-bit digests of their bytes are.
 
 Defined cases: null text counts as empty; texts shorter than ``length`` keep
 all bytes; repeated rows are copies of each other; extra columns are ignored;
@@ -51,8 +56,10 @@ LENGTH = 200
 ANCHOR = 32
 #: Bytes of a text that are hashed at once; longer texts go piece by piece.
 PIECE = 1 << 20
-#: Bytes of contexts in one transform.
-BLOCK = 1 << 20
+#: Bytes of contexts in one transform, and of one group at most.
+BLOCK, GROUP = 1 << 20, 1 << 17
+#: Windows of a run when groups are dealt finer; the last must be 1.
+WIDTHS = (24, 4, 1)
 
 _POS_BITS = np.uint64(22)
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -129,52 +136,44 @@ def _pieces(size: int, length: int) -> Iterator[tuple[int, int]]:
         yield start, min(size, start + PIECE + length - 1)
 
 
-def _anchor_rows(length: int, detail: bool):
+def _anchor_rows(length: int):
+    """One row per anchor of each text: its context's digest and place, the anchor's place in it, and its sides."""
+    names = ["anchor", "ctx", "tk", "at", "n", "p", "w", "sides"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        out: list[list] = [[] for _ in names]
+        held = 0
+
+        def rows() -> pa.RecordBatch:
+            join = np.concatenate
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) if n in ("ctx", "tk") else pa.array(join(c)) for n, c in zip(names, out)], names)
+
         for batch in batches:
-            keys, texts, copies = (batch.column(c) for c in ("tk", "body", "copies"))
-            out: list[list] = [[] for _ in range(7)]
-            held = 0
-            for i in range(batch.num_rows):
-                body = texts[i].as_py()
-                if len(body) < length:
-                    continue
-                weight = min(2, copies[i].as_py())
+            for key, body, copies in zip(*(batch.column(c) for c in ("tk", "body", "copies"))):
+                key, body, weight = key.as_py(), body.as_py(), min(2, copies.as_py())
                 for lo, hi in _pieces(len(body), length):
                     a, first, n, place = anchors(np.frombuffer(body, np.uint8, hi - lo, lo), length)
+                    first, place = first + lo, place + lo
+                    at, p = first.tolist(), (place - first).tolist()
                     out[0].append(a)
-                    out[5].append(np.full(len(a), weight, np.int8))
-                    if detail:
-                        first = first + lo
-                        ends = (first + n + (length - 1)).tolist()
-                        digest = xxhash.xxh3_64_intdigest
-                        out[1].append(np.array([digest(body[s:e]) for s, e in zip(first.tolist(), ends)], np.uint64).view(np.int64))
-                        out[2].extend([keys[i].as_py()] * len(a))
-                        out[3].append(first.astype(np.int32))
-                        out[4].append(n.astype(np.int32))
-                        at = zip(first.tolist(), n.tolist(), (place + lo).tolist())
-                        out[6].append(np.array([side_digests(body, f, c, p, length) for f, c, p in at], np.int64))
+                    out[1] += [digest(body[s:e], x) for s, e, x in zip(at, (first + n + (length - 1)).tolist(), p)]
+                    out[2] += [key] * len(a)
+                    out[3].append(first.astype(np.int32))
+                    out[4].append(n.astype(np.int32))
+                    out[5].append((place - first).astype(np.int32))
+                    out[6].append(np.full(len(a), weight, np.int8))
+                    out[7].append(np.array([side_digests(body, f, c, f + x, length) for f, c, x in zip(at, n.tolist(), p)], np.int64))
                     held += len(a)
-                if held > 200_000 or i == batch.num_rows - 1:
-                    if held:
-                        yield _anchor_batch(out, detail)
-                    out, held = [[] for _ in range(7)], 0
-            if held:
-                yield _anchor_batch(out, detail)
+                    if held > 100_000:
+                        yield rows()
+                        out, held = [[] for _ in names], 0
+        if held:
+            yield rows()
 
     return run
 
 
-def _anchor_batch(out: list[list], detail: bool) -> pa.RecordBatch:
-    join = np.concatenate
-    if not detail:
-        return pa.RecordBatch.from_arrays([pa.array(join(out[0])), pa.array(join(out[5]))], ["anchor", "w"])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(join(out[0])), pa.array(join(out[1])), pa.array(out[2], pa.binary()), pa.array(join(out[3])), pa.array(join(out[4])), pa.array(join(out[5])), pa.array(join(out[6]))],
-        ["anchor", "ctx", "tk", "at", "n", "w", "sides"],
-    )
-
-
 def truncated_bwt(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, last column) of the suffixes of ``text`` sorted by at least ``depth`` symbols.
 
@@ -272,20 +271,18 @@ def repeated_windows(contexts: list[bytes], weights: list[int], length: int = LE
 
 
 def _expand(length: int):
-    """Groups of one anchor arrive together; several share a block, none is split."""
+    """Masks of the windows that are repeated; rows of one group arrive together, several groups share a block, none is split."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         masks = repeated_windows([r[2] for r in rows], [r[3] for r in rows], length)
-        kept = [(r[0], r[1], np.packbits(m).tobytes()) for r, m in zip(rows, masks) if m.any()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.binary())], ["anchor", "ctx", "mask"]
-        )
+        kept = [(r[1], len(m), np.packbits(m).tobytes()) for r, m in zip(rows, masks) if r[3] == 1 and m.any()]
+        return pa.RecordBatch.from_arrays([pa.array([k[j] for k in kept], t) for j, t in enumerate((pa.binary(), pa.int32(), pa.binary()))], ["sub", "n", "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("anchor", "ctx", "body", "w")]
+            cols = [batch.column(c).to_pylist() for c in ("key", "sub", "body", "w")]
             for row in zip(*cols):
                 if held >= BLOCK and row[0] != rows[-1][0]:
                     yield solve(rows)
@@ -300,6 +297,8 @@ def _expand(length: int):
 
 def _slices(length: int):
     """Cut the contexts out of their texts."""
+    names = ["key", "sub", "body", "p", "w", "big"]
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,59 +308,71 @@ def _slices(length: int):
                 body = body.as_py()
                 for x in items.as_py():
                     piece = body[x["at"] : x["at"] + x["n"] + length - 1]
-                    out.append((x["anchor"], x["ctx"], piece, x["w"], x["hot"]))
+                    out.append((x["anchor"], x["ctx"], piece, x["p"], x["w"], x["big"]))
                     size += len(piece)
-                if size > 8 << 20:
-                    yield _slice_batch(out)
-                    out, size = [], 0
+                    if size > 8 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names)
+                        out, size = [], 0
             if out:
-                yield _slice_batch(out)
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names)
 
     return run
 
 
-def _slice_batch(out: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], ["anchor", "ctx", "body", "w", "hot"])
+def runs(p: int, n: int, width: int, length: int = LENGTH) -> Iterator[tuple[int, int, int, int, int]]:
+    """The runs of a context of ``n`` windows whose anchor is at ``p``: number, first window, windows, and the bytes
+    (start, end) that all windows have which hold the anchor at an offset of the run, here or elsewhere."""
+    for c in range((p - n + 1) // width, p // width + 1):
+        most, least = min(p, c * width + width - 1), max(p - n + 1, c * width)
+        yield c, p - most, most - least + 1, p - c * width, p - c * width - width + 1 + length
 
 
-def _windows(length: int):
-    """Every window of a hot anchor's contexts, by its digest."""
+def _deal(width: int, length: int):
+    """The runs of contexts: whose, from which window on, their group and their own digest."""
+    names = ["owner", "i0", "n", "key", "sub", "body", "p", "w"]
+    types = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        group, digest = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
         for batch in batches:
-            anchor, ctx, win, at, weight = [], [], [], [], []
-            for a, c, body, w in zip(*(batch.column(x).to_pylist() for x in ("anchor", "ctx", "body", "w"))):
-                n = len(body) - length + 1
-                anchor += [a] * n
-                ctx += [c] * n
-                at += range(n)
-                weight += [w] * n
-                win += [digest(body[s : s + length]) for s in range(n)]
-                if len(at) > 100_000:
-                    yield _window_batch(anchor, ctx, win, at, weight)
-                    anchor, ctx, win, at, weight = [], [], [], [], []
-            if at:
-                yield _window_batch(anchor, ctx, win, at, weight)
+            out: list[tuple] = []
+            for owner, body, p, w in zip(*(batch.column(x).to_pylist() for x in ("sub", "body", "p", "w"))):
+                for c, i0, n, lo, hi in runs(p, len(body) - length + 1, width, length):
+                    piece = body[i0 : i0 + n + length - 1]
+                    key = group(body[lo:hi], c)
+                    out.append((owner, i0, n, key - (1 << 64 if key >> 63 else 0), digest(piece, p - i0), piece if width > 1 else b"", p - i0, w))
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names)
 
     return run
 
 
-def _window_batch(anchor: list, ctx: list, win: list, at: list, weight: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(anchor, pa.int64()), pa.array(ctx, pa.int64()), pa.array(np.array(win, np.uint64).view(np.int64)), pa.array(at, pa.int32()), pa.array(weight, pa.int32())], ["anchor", "ctx", "win", "at", "w"]
-    )
+def _repeated(contexts: DataFrame, widths: tuple[int, ...], length: int) -> DataFrame:
+    """(sub, i0, n, mask): of the context ``sub`` the windows of ``n`` from ``i0`` on that are repeated, all where mask is null.
 
-
-def _mask_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        masks = []
-        for ats in batch.column("ats").to_pylist():
-            flags = np.zeros(max(ats) + 1, np.uint8)
-            flags[ats] = 1
-            masks.append(np.packbits(flags).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("ctx"), pa.array(masks, pa.binary())], ["anchor", "ctx", "mask"])
+    ``contexts``: stored rows (key, sub, body, p, w, big) of different contexts; those of one key are a group.
+    """
+    parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = contexts.filter("not big").select("key", "sub", "body", "w").repartition(parts, "key").sortWithinPartitions("key")
+    found = groups.mapInArrow(_expand(length), "sub binary, n int, mask binary").select("sub", F.lit(0).alias("i0"), "n", "mask")
+    big = contexts.filter("big")
+    if big.isEmpty():
+        return found
+    dealt = stored(big.mapInArrow(_deal(widths[0], length), "owner binary, i0 int, n int, key long, sub binary, body binary, p int, w int"), "runs")
+    subs = stored(dealt.groupBy("key", "sub").agg(F.sum("w").alias("w"), F.first("n").alias("n")), "subs")
+    inner = subs.filter("w > 1").select("sub", F.lit(0).alias("i0"), "n", F.lit(None).cast("binary").alias("mask"))
+    if len(widths) > 1:
+        crowds = subs.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") + (length - 1)).alias("size")).filter("k > 1")
+        wanted = subs.join(crowds, "key").select("key", "sub", F.least("w", F.lit(2)).cast("int").alias("w"), (F.col("size") > GROUP).alias("big"))
+        rows = dealt.select("key", "sub", "body", "p").join(wanted, ["key", "sub"])
+        rows = rows.groupBy("key", "sub").agg(*[F.first(c).alias(c) for c in ("body", "p", "w", "big")])
+        inner = inner.unionByName(_repeated(stored(rows, "cuts"), widths[1:], length))
+    inner = inner.select(F.col("sub").alias("s2"), F.col("i0").alias("i2"), F.col("n").alias("n2"), "mask")
+    lifted = dealt.join(inner, F.col("sub") == F.col("s2")).select(F.col("owner").alias("sub"), (F.col("i0") + F.col("i2")).alias("i0"), F.col("n2").alias("n"), "mask")
+    return found.unionByName(lifted)
 
 
 def covered(size: int, found: list[dict], length: int) -> np.ndarray:
@@ -410,41 +421,34 @@ def remove_repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     ship_package(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(body)).alias("tk"), body.alias("body"))
     texts = bucketed(rows.groupBy("tk").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("copies")), "texts", "tk")
 
-    counted = texts.mapInArrow(_anchor_rows(length, False), "anchor long, w tinyint").groupBy("anchor").agg(F.sum("w").alias("seen"))
-    twice = stored(counted.filter("seen > 1").select("anchor"), "anchors")
-    occurrences = texts.mapInArrow(_anchor_rows(length, True), "anchor long, ctx long, tk binary, at int, n int, w tinyint, sides long")
+    occurrences = stored(texts.mapInArrow(_anchor_rows(length), "anchor long, ctx binary, tk binary, at int, n int, p int, w tinyint, sides long"), "anchors")
+    twice = occurrences.groupBy("anchor").agg(F.sum("w").alias("seen")).filter("seen > 1").select("anchor")
     occurrences = stored(occurrences.join(twice, "anchor"), "occurrences")
 
-    contexts = occurrences.groupBy("anchor", "ctx").agg(F.sum("w").cast("int").alias("w"), F.min(F.struct("tk", "at", "n")).alias("x"), F.first("sides").alias("sides"))
-    contexts = stored(contexts.select("anchor", "ctx", "w", "x.tk", "x.at", "x.n", "sides"), "contexts")
+    first = F.min(F.struct("tk", "at")).alias("x")
+    contexts = occurrences.groupBy("ctx").agg(F.sum("w").cast("int").alias("w"), first, *[F.first(c).alias(c) for c in ("anchor", "n", "p", "sides")])
+    contexts = stored(contexts.select("anchor", "ctx", "w", "x.tk", "x.at", "n", "p", "sides"), "contexts")
     # Only contexts that agree with another one on half of a window can share one with it.
     halves = F.array(F.struct(F.lit(0).alias("s"), F.shiftrightunsigned("sides", 32).alias("d")), F.struct(F.lit(1).alias("s"), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)).alias("d")))
     sides = contexts.select("anchor", "ctx", F.explode(halves).alias("h")).select("anchor", "ctx", "h.s", "h.d").filter("d <> 0")
     met = stored(sides.groupBy("anchor", "s", "d").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("anchor", "s", "d"), "halves")
-    alike = stored(sides.join(met, ["anchor", "s", "d"], "left_semi").select("anchor", "ctx").distinct(), "alike")
-    alike = stored(contexts.join(alike, ["anchor", "ctx"], "left_semi"), "alike")
-    crowds = stored(alike.groupBy("anchor").agg(F.sum(F.col("n") + length).alias("size")), "crowds")
-    open_ = alike.join(crowds, "anchor").select("anchor", "ctx", F.least("w", F.lit(2)).alias("w"), "tk", "at", "n", (F.col("size") > 2 * BLOCK).alias("hot"))
-    wanted = open_.groupBy("tk").agg(F.collect_list(F.struct("anchor", "ctx", "w", "at", "n", "hot")).alias("items"))
-    cuts = texts.join(wanted, "tk").select("body", "items").mapInArrow(_slices(length), "anchor long, ctx long, body binary, w int, hot boolean")
+    alike = stored(sides.join(met, ["anchor", "s", "d"], "left_semi").select("ctx").distinct(), "alike")
+    alike = stored(contexts.join(alike, "ctx", "left_semi"), "alike")
+    crowds = stored(alike.groupBy("anchor").agg(F.sum(F.col("n") + (length - 1)).alias("size")), "crowds")
+    open_ = alike.join(crowds, "anchor").select("anchor", "ctx", F.least("w", F.lit(2)).alias("w"), "tk", "at", "n", "p", (F.col("size") > GROUP).alias("big"))
+    wanted = open_.groupBy("tk").agg(F.collect_list(F.struct("anchor", "ctx", "w", "at", "n", "p", "big")).alias("items"))
+    cuts = texts.join(wanted, "tk").select("body", "items").mapInArrow(_slices(length), "key long, sub binary, body binary, p int, w int, big boolean")
     cuts = stored(cuts, "cuts")
 
-    expanded = cuts.filter("not hot").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_expand(length), "anchor long, ctx long, mask binary")
-    windows = cuts.filter("hot").mapInArrow(_windows(length), "anchor long, ctx long, win long, at int, w int")
-    again = windows.groupBy("anchor", "win").agg(F.sum("w").alias("seen")).filter("seen > 1").select("anchor", "win")
-    dealt = windows.join(again, ["anchor", "win"]).groupBy("anchor", "ctx").agg(F.collect_list("at").alias("ats")).mapInArrow(_mask_of, "anchor long, ctx long, mask binary")
-
-    masks = expanded.unionByName(dealt).withColumnsRenamed({"anchor": "a2", "ctx": "c2"})
-    whole = contexts.filter("w > 1").select(F.col("anchor").alias("a2"), F.col("ctx").alias("c2"), F.lit(None).cast("binary").alias("mask"))
-    single = contexts.filter("w = 1").select("anchor", "ctx")
-    masks = masks.join(single, (F.col("a2") == F.col("anchor")) & (F.col("c2") == F.col("ctx")), "left_semi").unionByName(whole)
-    masks = stored(masks, "masks")
-    found = occurrences.join(masks, (F.col("anchor") == F.col("a2")) & (F.col("ctx") == F.col("c2"))).groupBy("tk").agg(F.collect_list(F.struct("at", "n", "mask")).alias("items"))
+    masks = _repeated(cuts, WIDTHS, length)
+    whole = contexts.filter("w > 1").select(F.col("ctx").alias("sub"), F.lit(0).alias("i0"), "n", F.lit(None).cast("binary").alias("mask"))
+    masks = stored(masks.unionByName(whole).withColumnsRenamed({"n": "n2"}), "masks")
+    found = occurrences.join(masks, F.col("ctx") == F.col("sub")).select("tk", (F.col("at") + F.col("i0")).alias("at"), F.col("n2").alias("n"), "mask")
+    found = found.groupBy("tk").agg(F.collect_list(F.struct("at", "n", "mask")).alias("items"))
 
     shape = "tk binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     solved = texts.join(found, "tk", "left").mapInArrow(_results(length, with_text), shape)

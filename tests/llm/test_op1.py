@@ -4,7 +4,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkseries.llm.suffix_dedup import oracle, remove_repeated_substrings, repeated_windows
+from sparkseries.llm.suffix_dedup import oracle, remove_repeated_substrings, repeated_windows, runs
 from tests.llm.util import duck, same
 
 
@@ -40,6 +40,33 @@ def test_interval_expansion_equals_brute_force(texts, length):
         assert g.tolist() == [count[t[s : s + length]] > 1 for s in range(len(t) - length + 1)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 168), st.integers(1, 169), st.sampled_from([24, 4, 1, 169]))
+def test_runs_share_their_bytes(p, n, width):
+    """Runs partition the windows, and each window holds the bytes of its run; they depend on offsets to the anchor only."""
+    n = min(n, p + 1)
+    seen = []
+    for c, i0, k, lo, hi in runs(p, n, width):
+        assert k > 0 and lo == p - c * width and hi - lo == 201 - width
+        for i in range(i0, i0 + k):
+            assert i <= lo < hi <= i + 200 and (p - i) // width == c
+        seen += range(i0, i0 + k)
+    assert sorted(seen) == list(range(n))
+
+
+def test_texts_longer_than_a_piece(spark):
+    """Repeats inside and across pieces of long texts, against windows counted by their bytes."""
+    r = random.Random(9)
+    line = "".join(r.choice("abcdef") for _ in range(230))
+    filler = lambda n: "".join(r.choices("ghijklmnop", k=n))
+    texts = [f"{filler((1 << 20) - 100)}1{line}2{filler(5_000)}3{line}", f"{filler(3_000)}4{line}5{filler(10)}", filler(1_100_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in remove_repeated_substrings(docs).collect()}
+    assert [(got[i].n_removed, got[i].n_spans) for i in range(3)] == [(460, 2), (230, 1), (0, 0)]
+    kept = [t.replace(line, "") for t in texts]
+    assert [got[i].kept_sha256 for i in range(3)] == [hashlib.sha256(t.encode()).hexdigest() for t in kept]
+
+
 def corpus():
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdéß") for _ in range(r.randint(1, 9)))
@@ -64,8 +91,8 @@ def test_whole_operator(spark, monkeypatch):
     texts = corpus()
     docs = spark.createDataFrame([(i, t, i, "x") for i, t in enumerate(texts)], "doc_id long, text string, tk long, body string")
     want = brute(texts, 200)
-    for block in (m.BLOCK, 700):  # a small block sends the common line down the way for hot anchors
-        monkeypatch.setattr(m, "BLOCK", block)
+    for group in (m.GROUP, 700, 0):  # small groups send the common line, or everything, down to finer runs
+        monkeypatch.setattr(m, "GROUP", group)
         got = {r.doc_id: tuple(r)[1:] for r in remove_repeated_substrings(docs).collect()}
         assert [got[i] for i in range(len(texts))] == want
 
