@@ -1,14 +1,18 @@
 """Personal data in texts: base patterns plus a semi-Markov conditional random field.
 
 The base patterns (e-mail, IP address, card, phone) are found exactly, leftmost
-and non-overlapping per kind.  Around digits, at signs and words like "token" that
-no base span covers, the field scores *candidate segments* by features of the whole
-span (digit groups, checksum, shape, words before it, what stands at its edges) for
-each type.  A dynamic program over tokens chooses boundaries and types jointly:
-best(i) is the best labelling of the first i tokens, where the next segment is
-either one token outside of any entity or a candidate of at most ``MAX_TOKENS``
-tokens and ``MAX_CHARS`` characters with a type.  Its spans are added where they
-touch no base span.
+and non-overlapping per kind.  The field scores *candidate segments* by features of
+the whole span (digit groups, checksum, shape, words before it, what stands at its
+edges) for each type.  A dynamic program over tokens chooses boundaries and types
+jointly: best(i) is the best labelling of the first i tokens, where the next segment
+is either one token outside of any entity or a candidate with a type.
+
+Entities are bounded: a candidate has at most ``MAX_TOKENS`` tokens and ``MAX_CHARS``
+characters (one long token: ``MAX_KEY``), and holds a digit or the word "at" (see
+``candidates``).  Texts are read in zones around digits, at signs and that word, wide
+enough to hold every candidate with its surroundings, so zones leave none out; what
+no candidate covers is outside of any entity.  Candidates that touch a base span are
+left out before the program runs, so added and base spans never overlap.
 
 The field is trained by maximum likelihood (forward-backward over segmentations)
 on a small labelled table that ``training_rows`` writes from templates; training is
@@ -25,6 +29,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +39,11 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import ship_package
 
-KINDS = ("email", "ip", "card", "phone", "secret")
-MAX_TOKENS, MAX_CHARS, AROUND = 16, 80, 48
+#: secret: keys, tokens, passwords; id: numbers of persons and bank accounts.
+KINDS = ("email", "ip", "card", "phone", "secret", "id")
+MAX_TOKENS, MAX_CHARS, MAX_KEY = 16, 80, 512
+#: Characters of surroundings that features look at.
+AROUND = 48
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -94,9 +102,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # --- candidate segments and their features -----------------------------------
 
-_TOKEN = re.compile(r"\w+|[^\w\s]|\n")
-_TRIGGER = re.compile(r"[0-9@]|\b(?:at|token|secret|passw|password|key|bearer)\b", re.I)
+# A key with hyphens or underscores is one token: 16 characters or more, with a letter and a digit.
+_KEY = r"(?=[A-Za-z_-]{0,500}[0-9])(?=[0-9_-]{0,500}[A-Za-z])[A-Za-z0-9][A-Za-z0-9_-]{14,510}[A-Za-z0-9](?![A-Za-z0-9_-])"
+_TOKEN = re.compile(rf"(?<![A-Za-z0-9_-]){_KEY}|\w+|[^\w\s]|\n")
+_TRIGGER = re.compile(r"[0-9@]|\bat\b", re.I)
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
+_COLON_HEX = re.compile(r"(?=(?:[^:]*:){3})(?:[0-9a-fA-F]{1,4}(?:::?|\Z)){2,8}\Z")
+_KEY_START = re.compile(r"(?:AKIA|ASIA|eyJ|AIza|xox[a-z]-|[a-z]{2,6}_|(?:sk|pk|rk)-)")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\Z")
 _WORDS_BEFORE = re.compile(r"\w+")
 # Words that hint at a kind when they stand before a span.
 HINTS = {
@@ -105,6 +118,7 @@ HINTS = {
     "card": "card visa mastercard credit amex karte tarjeta carte",
     "email": "mail email contact write",
     "ip": "ip host server address from",
+    "id": "ssn social security iban account konto cuenta compte passport national insurance",
 }
 _HINT_OF = {w: k for k, ws in HINTS.items() for w in ws.split()}
 
@@ -115,6 +129,16 @@ def _shape(s: str) -> str:
     return re.sub(r"\s+", "_", s)[:16]
 
 
+def iban_checks(s: str) -> bool:
+    """Whether the letters and digits of ``s`` are an account number by ISO 13616 (remainder 1 by 97)."""
+    return bool(_IBAN.match(s)) and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def _classes(s: str) -> str:
+    """Which of capitals, small letters, digits and joints a token mixes."""
+    return "".join(name for name, pattern in (("A", "[A-Z]"), ("a", "[a-z]"), ("9", "[0-9]"), ("_", "[_-]")) if re.search(pattern, s))
+
+
 def features(text: str, start: int, end: int, n_tokens: int) -> list[str]:
     """Features of text[start:end] as a whole, in its surroundings."""
     s = text[start:end]
@@ -137,13 +161,20 @@ def features(text: str, start: int, end: int, n_tokens: int) -> list[str]:
     if n_tokens == 1 and _HEX.match(s) and len(s) >= 16:
         mixed = 0 < n < len(s)
         out.append(("hex32" if len(s) >= 32 else "hex16") + ("_mixed" if mixed else "_plain"))
-    elif n_tokens == 1 and len(s) >= 16 and s.isalnum() and n >= 2:
-        out.append("long_mixed")
+    elif n_tokens == 1 and len(s) >= 16 and n and n < len(s):
+        out.append("long_" + _classes(s))
+        out.append("turns" if len(re.findall(r"[0-9]+|[A-Z]+|[a-z]+", s)) >= len(s) / 4 else "words")
+        if _KEY_START.match(s):
+            out.append("key_start")
+    if re.match(r"[A-Z]{2}[0-9]{2}", s) and n >= 10:
+        out.append("iban" if iban_checks(re.sub(r"\s", "", s)) else "iban_like")
     if re.search(r"\w\s+at\s+\w[\w-]*\s+dot\s+\w+\Z", s, re.I) or re.search(r"\w\s*[\[(]\s*at\s*[\])]\s*\w", s, re.I):
         out.append("spoken_mail")
+        if re.search(r"\w\s+dot\s+\Z", before, re.I):
+            out.append("cut")
     elif re.search(r"[^\W\d_]", s) and n_tokens > 1:
         out.append("letters")
-    if re.match(r"(?:[0-9a-fA-F]{1,4}:){3,7}[0-9a-fA-F]{1,4}\Z", s):
+    if _COLON_HEX.match(s) and not (left == ":" or (right == ":" and text[end + 1 : end + 2].isalnum())):
         out.append("colon_hex")
     if left in "\"'" and right in "\"'" and left and right:
         out.append("quoted")
@@ -160,7 +191,7 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]
         for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
             end = tokens[j - 1][1]
             if end - start > MAX_CHARS or text[end - 1] == "\n":
-                if j == i + 1 and text[end - 1] != "\n" and text[start:end].isalnum() and end - start <= 512:
+                if j == i + 1 and MAX_CHARS < end - start <= MAX_KEY and any(c.isdigit() for c in text[start:end]):
                     out.append((i, j))
                 break
             last = text[end - 1]
@@ -169,9 +200,9 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]
             s = text[start:end]
             n = sum(c.isdigit() for c in s)
             if j == i + 1:
-                if (len(s) >= 16 and n >= 2) or n >= 7:
+                if (len(s) >= 16 and n) or n >= 7:
                     out.append((i, j))
-            elif n >= 7 and not re.search(r"[^\W\d_]{3}", s) or s.count(":") >= 3 and n >= 2:
+            elif (n >= 7 and not re.search(r"[^\W\d_]{3}", s)) or (n >= 2 and s.count(":") >= 3) or (n >= 10 and _IBAN.match(re.sub(r"\s", "", s))):
                 out.append((i, j))
             elif re.search(r"\bdot\b|[\[(]\s*at\s*[\])]", s, re.I) and re.search(r"\bat\b", s, re.I):
                 out.append((i, j))
@@ -293,6 +324,14 @@ def training_rows(seed: int = 1, copies: int = 14) -> list[tuple[str, list[tuple
         check = next(c for c in "0123456789" if luhn(body + c))
         return body + (check if good else str((int(check) + r.randint(1, 9)) % 10))
 
+    capitals = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+
+    def iban(country: str, n: int, group: int) -> str:
+        body = digits(n)
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country) + "00") % 97
+        whole = f"{country}{check:02d}{body}"
+        return " ".join(whole[i : i + group] for i in range(0, len(whole), group)) if group else whole
+
     templates = [
         lambda: f'{name()} token = "<secret>{hexes(40)}</>" {name()} {name()}.',
         lambda: f"api key: <secret>{mixed(32)}</> do not share",
@@ -319,6 +358,35 @@ def training_rows(seed: int = 1, copies: int = 14) -> list[tuple[str, list[tuple
         lambda: f"{digits(9)} {name()} {digits(12)} {name()} {digits(7)}",
         lambda: f"{name()}{digits(2)} {digits(4)} {digits(4)} {digits(2)} {name()} {digits(5)}",
         lambda: f"{name()} 3.{digits(20)} {name()}",
+        lambda: f"{name()} <secret>AKIA{capitals(8)}{digits(1)}{capitals(7)}</> {name()}",
+        lambda: f"{name()}: <secret>{r.choice(['ghp', 'glpat', 'hf', 'npm'])}_{mixed(36)}</>",
+        lambda: f"use <secret>sk-{mixed(r.choice([24, 48]))}</> for {name()}",
+        lambda: f"<secret>{mixed(8)}-{mixed(8)}-{mixed(8)}-{mixed(8)}</> {name()}",
+        lambda: f"{r.choice(['SSN', 'ssn:', 'social security number'])} <id>{digits(3)}-{digits(2)}-{digits(4)}</> {name()}",
+        lambda: f"{name()} <id>{digits(3)}-{digits(2)}-{digits(4)}</> {name()} {name()}",
+        lambda: f"IBAN <id>{iban('DE', 18, 4)}</> {name()}",
+        lambda: f"{name()} {name()} <id>{iban(r.choice(['FR', 'ES', 'NL']), r.choice([14, 20, 23]), r.choice([0, 4]))}</> {name()}",
+        lambda: f"{name()} <phone>0{digits(2)} {digits(4)} {digits(4)}</> {name()}",
+        lambda: f"ring <phone>0{digits(4)} {digits(6)}</> {name()}",
+        lambda: f"fax <phone>00{digits(2)} {digits(2)} {digits(3)} {digits(4)}</>",
+        lambda: f"{name()} <phone>({digits(3)}) {digits(3)} {digits(4)}</>, {name()}",
+        lambda: f"{name()} <email>{name()} dot {name()} at {name()} dot com</> {name()}",
+        lambda: f"<email>{name()}{digits(2)} at {name()} dot co dot uk</> {name()}",
+        lambda: f"host <ip>fe80::{hexes(3)}:{hexes(4)}:{hexes(4)}:{hexes(4)}</> {name()}",
+        lambda: f"{name()} <ip>2001:db8::{hexes(2)}:{digits(1)}</> {name()}",
+        lambda: f"{name()} <ip>{':'.join(hexes(r.randint(1, 4)) for _ in range(8))}</> {name()}",
+        lambda: f"{name()} {name()} <ip>{hexes(4)}::{':'.join(hexes(r.randint(1, 4)) for _ in range(r.randint(3, 6)))}</> {name()}",
+        lambda: f"the {digits(1)} {name()} at {digits(1)} dot {name()} {name()}",
+        lambda: f"{name()} is at {digits(1)} dot {digits(1)} {name()}",
+        lambda: f"{name()} at {digits(2)}:{digits(2)}:{digits(2)} and {digits(2)}:{digits(2)}:{digits(2)} {name()}",
+        lambda: f"{name()}-{digits(2)}-{name()}-{name()}-{name()} {name()}",
+        lambda: f"{name()}_{name()}_{name()}{digits(1)}_{name()} = {digits(3)}",
+        lambda: f"{name()} part {digits(4)}-{digits(4)}-{digits(2)} {name()}",
+        lambda: f"between 1 {digits(3)} {digits(3)} and 2 {digits(3)} {digits(3)} {name()}",
+        lambda: f"{name()} {digits(2)}.{digits(2)}.20{digits(2)} {digits(2)}:{digits(2)} {name()} {digits(3)}",
+        lambda: f"dinner at {name()} at {digits(1)} with a dot on the map {name()}",
+        lambda: f"{name()} [{digits(1)}] {name()} ({digits(4)}) {name()} {digits(3)}-{digits(3)}, {digits(4)}",
+        lambda: f"{name()} {digits(2)} {digits(3)} {digits(2)} {digits(1)} {digits(3)} {name()}",
     ]
     rows = []
     for _ in range(copies):
@@ -333,35 +401,51 @@ def training_rows(seed: int = 1, copies: int = 14) -> list[tuple[str, list[tuple
     return rows
 
 
-def added_spans(text: str, base: list[tuple[str, int, int]], field: SemiMarkovField) -> list[tuple[str, int, int]]:
-    """Spans that the field finds away from the base spans."""
-    taken = sorted((s, e) for _, s, e in base)
-    out: list[tuple[str, int, int]] = []
-    zone: list[int] | None = None
+def _zones(text: str) -> list[list[int]]:
+    """Stretches of whole words that hold every candidate and what its features look at."""
+    reach = MAX_CHARS + AROUND
     zones: list[list[int]] = []
-    k = 0
     for m in _TRIGGER.finditer(text):
-        while k < len(taken) and taken[k][1] <= m.start():
-            k += 1
-        if k < len(taken) and taken[k][0] <= m.start():
-            continue
-        lo, hi = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if zone and lo <= zone[1]:
-            zone[1] = hi
+        if zones and m.start() - reach <= zones[-1][1]:
+            zones[-1][1] = m.end() + reach
         else:
-            zone = [lo, hi]
-            zones.append(zone)
+            zones.append([m.start() - reach, m.end() + reach])
+    out: list[list[int]] = []
     for lo, hi in zones:
-        while lo > 0 and text[lo - 1].isalnum() and text[lo].isalnum():  # whole tokens only
+        lo, hi = max(0, lo), min(len(text), hi)
+        # Whole tokens only; a token too long to be a candidate is cut, which keeps it none.
+        least, most = max(0, lo - MAX_KEY - 1), min(len(text), hi + MAX_KEY + 1)
+        while lo > least and not text[lo - 1].isspace():
             lo -= 1
-        while hi < len(text) and text[hi - 1].isalnum() and text[hi].isalnum():
+        while hi < most and not text[hi].isspace():
             hi += 1
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(hi, out[-1][1])
+        else:
+            out.append([lo, hi])
+    return out
+
+
+def added_spans(text: str, base: list[tuple[str, int, int]], field: SemiMarkovField) -> list[tuple[str, int, int]]:
+    """Spans that the field finds away from the base spans."""
+    taken: list[list[int]] = []  # base spans, united where they overlap
+    for s, e in sorted((s, e) for _, s, e in base):
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(e, taken[-1][1])
+        else:
+            taken.append([s, e])
+    ends = [e for _, e in taken]
+
+    def free(s: int, e: int) -> bool:
+        k = bisect_right(ends, s)
+        return k == len(taken) or taken[k][0] >= e
+
+    out: list[tuple[str, int, int]] = []
+    for lo, hi in _zones(text):
         tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
-        spans = [(i, j, field.scores(features(text, tokens[i][0], tokens[j - 1][1], j - i))) for i, j in candidates(text, tokens)]
-        for i, j, kind in field.decode(len(tokens), spans) if spans else ():
-            s, e = tokens[i][0], tokens[j - 1][1]
-            if not any(a < e and s < b for a, b in taken):
-                out.append((kind, s, e))
+        found = [(i, j) for i, j in candidates(text, tokens) if free(tokens[i][0], tokens[j - 1][1])]
+        spans = [(i, j, field.scores(features(text, tokens[i][0], tokens[j - 1][1], j - i))) for i, j in found]
+        out += [(kind, tokens[i][0], tokens[j - 1][1]) for i, j, kind in (field.decode(len(tokens), spans) if spans else ())]
     return out
 
 
