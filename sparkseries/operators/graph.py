@@ -103,22 +103,24 @@ class Graph:
 
     # -- distances and paths ------------------------------------------------------
     def _relax(self, start: DataFrame, arcs: DataFrame, rounds: int | None = None) -> DataFrame:
-        """Least (dist, parent) per (root, id) from start (root, id, dist, parent), by rounds over changed nodes."""
+        """Least (dist, hops) per (root, id) from start (root, id, dist, parent), by rounds over changed nodes.
+
+        A parent has one hop less than its child, so parents form no cycle where weights are 0.
+        """
         arcs = cut(arcs.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-        best = cut(start.select("root", "id", F.struct("dist", "parent").alias("b")))
+        best = cut(start.select("root", "id", F.struct("dist", F.lit(0).alias("hops")).alias("b")))
         front, k = best, 0
         while (rounds is None or k < rounds) and not front.isEmpty():
-            step = front.join(arcs, front["id"] == arcs["src"]).select("root", F.col("dst").alias("id"), F.struct((F.col("b.dist") + F.col("weight")).alias("dist"), F.col("src").alias("parent")).alias("c"))
+            step = front.join(arcs, front["id"] == arcs["src"]).select("root", F.col("dst").alias("id"), F.struct((F.col("b.dist") + F.col("weight")).alias("dist"), (F.col("b.hops") + 1).alias("hops")).alias("c"))
             step = step.groupBy("root", "id").agg(F.min("c").alias("c"))
-            both = cut(best.join(step, ["root", "id"], "full_outer").withColumn("better", F.col("b").isNull() | (F.col("c.dist") < F.col("b.dist"))))
-            better = F.coalesce(F.col("better"), F.lit(False))
-            best = cut(both.select("root", "id", F.when(better, F.col("c")).otherwise(F.col("b")).alias("b")))
-            front = both.filter(better).select("root", "id", F.col("c").alias("b"))
+            both = best.join(step, ["root", "id"], "full_outer").withColumn("better", F.coalesce(F.col("b").isNull() | (F.col("c") < F.col("b")), F.lit(False)))
+            both = cut(both.select("root", "id", F.when(F.col("better"), F.col("c")).otherwise(F.col("b")).alias("b"), "better"))
+            best, front = both.select("root", "id", "b"), both.filter("better").select("root", "id", "b")
             k += 1
-        # The least parent among those on a shortest path, whatever the order of the rounds.
-        d = best.select("root", "id", F.col("b.dist").alias("dist"), F.col("b.parent").isNull().alias("is_root"))
-        via = d.select("root", F.col("id").alias("src"), F.col("dist").alias("d0")).join(arcs, "src").select("root", "src", F.col("dst").alias("id"), (F.col("d0") + F.col("weight")).alias("dist"))
-        parents = via.join(d.filter("not is_root"), ["root", "id", "dist"]).groupBy("root", "id").agg(F.min("src").alias("parent"))
+        # The least parent among those on a shortest path of fewest hops, whatever the order of the rounds.
+        d = best.select("root", "id", "b.dist", "b.hops")
+        via = d.select("root", F.col("id").alias("src"), F.col("dist").alias("d0"), (F.col("hops") + 1).alias("hops")).join(arcs, "src").select("root", "src", F.col("dst").alias("id"), (F.col("d0") + F.col("weight")).alias("dist"), "hops")
+        parents = via.join(d, ["root", "id", "dist", "hops"]).groupBy("root", "id").agg(F.min("src").alias("parent"))
         return cut(d.join(parents, ["root", "id"], "left").select("root", "id", "dist", "parent"))
 
     def _roots(self, ids: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import cut
+from .batch import numbered
 
 
 class Tree:
@@ -63,22 +64,30 @@ class Tree:
         return self.edges.select(F.col("child").alias("node")).join(self.edges.select(F.col("parent").alias("node")), "node", "left_anti").distinct()
 
     def traverse(self, how: str = "preorder") -> DataFrame:
-        """Nodes in preorder, postorder, levelorder or (for binary trees) inorder; children by id."""
+        """(node, depth, position) in preorder, postorder, levelorder or inorder, from 0; children by id.
+
+        Inorder has the first child's subtree before a node and those of the others behind it.
+        Places are counted by ranges of the sort key, so no task holds the whole tree.
+        """
         lv = self.levels()
         if how == "levelorder":
-            return lv.orderBy("depth", "node").select("node", "depth")
-        if how == "preorder":
-            return lv.orderBy("path").select("node", "depth")
-        top = F.lit("~")  # sorts after digits, letters and signs used in keys
-        key = F.transform("path", lambda x: F.lpad(x.cast("string"), 20, "0"))
-        if how == "postorder":  # a node comes after everything that its path begins
-            return lv.orderBy(F.concat(key, F.array(top))).select("node", "depth")
-        if how == "inorder":
-            side = self.edges.join(self.edges.groupBy("parent").agg(F.min("child").alias("first")), "parent").select("child", F.when(F.col("child") == F.col("first"), F.lit("0")).otherwise(F.lit("2")).alias("side"))
-            sides = lv.select("node", "depth", F.posexplode("path").alias("i", "step")).join(side.withColumnRenamed("child", "step"), "step", "left")
-            keys = sides.groupBy("node", "depth").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("side", F.lit("")).alias("side")))).alias("s"))
-            return keys.orderBy(F.concat(F.array_join(F.transform("s", lambda x: x["side"]), ""), F.lit("1"))).select("node", "depth")
-        raise ValueError(how)
+            order = ["depth", "path"]
+        elif how == "preorder":
+            order = ["path"]
+        elif how == "postorder":  # an end mark that sorts after all children
+            steps = F.transform("path", lambda x: F.struct(F.lit(0).alias("end"), x.alias("id")))
+            last = F.struct(F.lit(1).alias("end"), F.col("node").alias("id"))
+            lv, order = lv.withColumn("key", F.concat(steps, F.array(last))), ["key"]
+        elif how == "inorder":  # 0 for the first child, 1 for the node itself, 2 and more for the other children
+            rank = F.row_number().over(Window.partitionBy("parent").orderBy("child")) - 1
+            side = self.edges.select(F.col("child").alias("step"), F.when(rank == 0, 0).otherwise(rank + 1).alias("side"))
+            steps = lv.select("node", "depth", F.posexplode("path").alias("i", "step")).join(side, "step", "left")
+            keys = F.array_sort(F.collect_list(F.when(F.col("side").isNotNull(), F.struct("i", "side"))))
+            lv = steps.groupBy("node", "depth").agg(keys.alias("s")).withColumn("key", F.concat(F.transform("s", lambda x: x["side"]), F.array(F.lit(1))))
+            order = ["key"]
+        else:
+            raise ValueError(how)
+        return numbered(lv, order, (), "position").select("node", "depth", "position")
 
 
 class PropertyGraph:

@@ -1,7 +1,7 @@
 """Shared scratch space: checkpoints and tables that every executor can read.
 
-Intermediate results live below the folder in ``spark.checkpoint.dir``.  Only
-where that setting is missing (tests, a laptop) a folder is chosen here.
+Intermediate results live below the folder in ``spark.checkpoint.dir``.  Only a
+local session without that setting (tests, a laptop) gets a folder of its own.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ _shipped: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, set as checkpoint folder if none is."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{_FALLBACK}"
-    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(where)
     return where.rstrip("/")

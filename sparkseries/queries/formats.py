@@ -56,23 +56,44 @@ def compress_roundtrip(spark, sf):
     return back.select("doc_id", F.md5("data").alias("digest"))
 
 
-@query("SELECT doc_id, octet_length(encode(text)) AS size, CASE WHEN octet_length(encode(text)) < 128 THEN 'NONE' ELSE 'ZSTD' END AS algorithm FROM documents")
+@query(
+    """WITH d AS (SELECT doc_id, octet_length(encode(text)) AS size, hex(encode(text)[1:1024]) AS h FROM documents),
+    b AS (SELECT *, CASE WHEN size < 256 THEN 256 ELSE len(list_distinct(list_transform(range(0, least(size, 1024)), lambda i: h[2 * i + 1:2 * i + 2]))) END AS n FROM d)
+    SELECT doc_id, size, CASE WHEN size < 128 THEN 'NONE' WHEN size < 65536 AND n >= 128 THEN 'LZ4' ELSE 'ZSTD' END AS algorithm FROM b"""
+)
 def compress_profile(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
     return compression.profile_column(df, "data").select("doc_id", F.col("size").cast("long").alias("size"), "algorithm")
 
 
-@query("SELECT count(*) AS total, count(*) AS valid, 0::BIGINT AS invalid FROM supplier")
+@query("SELECT doc_id, algorithm, true AS same FROM documents, (SELECT unnest(['LZ4', 'SNAPPY', 'BROTLI', 'ZLIB', 'ZSTD']) AS algorithm)")
+def compress_all_codecs(spark, sf):
+    """Every text through every codec and back."""
+    df = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
+    out = None
+    for name in ("LZ4", "SNAPPY", "BROTLI", "ZLIB", "ZSTD"):
+        packed = compression.compress_column(df, "data", name, "FAST", "packed")
+        back = compression.decompress_column(packed, "packed", name, "back").select("doc_id", F.lit(name).alias("algorithm"), (F.col("back") == F.col("data")).alias("same"))
+        out = back if out is None else out.union(back)
+    return out
+
+
+@query("SELECT s_suppkey, s_suppkey % 3 = 0 AS valid FROM supplier")
 def wire_validate(spark, sf):
-    data = formats.encode_rows(table(spark, sf, "supplier"))
-    return security.validate_column(data, "data").agg(F.count(F.lit(1)).alias("total"), F.count_if("check.valid").alias("valid"), F.count_if(~F.col("check.valid")).alias("invalid"))
+    """A third of the rows whole, a third cut short, a third with a byte that begins no value."""
+    df = table(spark, sf, "supplier")
+    data = formats.to_wire(F.struct(*df.columns))
+    k = F.col("s_suppkey") % 3
+    short = F.expr("substring(data, 1, octet_length(data) - 1)")
+    df = df.select("s_suppkey", data.alias("data")).withColumn("data", F.when(k == 0, F.col("data")).when(k == 1, short).otherwise(F.concat(F.unhex(F.lit("C1")), "data")))
+    return security.validate_column(df, "data").select("s_suppkey", F.col("check.valid").alias("valid"))
 
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
 def json_roundtrip(spark, sf):
-    df = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    text = df.select(F.to_json(F.struct("*")).alias("j"))
-    return text.select(F.from_json("j", "n_nationkey long, n_name string").alias("r")).select("r.*")
+    path = scratch_path(spark, "json")
+    formats.write(table(spark, sf, "nation").select("n_nationkey", "n_name"), path, "json")
+    return formats.read(spark, path, "json", schema="n_nationkey long, n_name string")
 
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")

@@ -193,7 +193,13 @@ def graph_mst(spark, sf):
     return full(spark, sf).minimum_spanning_forest().agg(F.sum("weight").alias("total"))
 
 
-@query()
+#: An edge is in the least spanning tree if no way of smaller edges joins its ends.
+@query(
+    f"""WITH RECURSIVE {_TRADE}, u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(weight) AS w FROM trade WHERE src <> dst GROUP BY ALL),
+    x AS (SELECT a, b, w, row_number() OVER (ORDER BY w, a, b) AS k FROM u), both_ AS (SELECT a, b, k FROM x UNION ALL SELECT b, a, k FROM x),
+    r AS (SELECT k AS edge, a AS at FROM x UNION SELECT r.edge, both_.b FROM r JOIN both_ ON both_.a = r.at AND both_.k < r.edge)
+    SELECT a AS src, b AS dst, w AS weight FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.edge = x.k AND r.at = x.b)"""
+)
 def graph_prim_mst(spark, sf):
     return full(spark, sf).prim_mst(0)
 
@@ -215,12 +221,18 @@ def graph_layout_circular(spark, sf):
     return sparse(spark, sf).layout_circular().select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("SELECT 'complete' AS kind, 45::BIGINT AS n UNION ALL SELECT 'path', 9 UNION ALL SELECT 'cycle', 10 UNION ALL SELECT 'star', 9 UNION ALL SELECT 'wheel', 18 UNION ALL SELECT 'grid', 22 UNION ALL SELECT 'hypercube', 32")
+@query(
+    """WITH n AS (SELECT unnest(range(0, 16)) AS i), p AS (SELECT a.i AS a, b.i AS b FROM n a, n b), e AS (
+    SELECT 'complete' AS kind, a, b FROM p WHERE a < b AND b < 10 UNION ALL SELECT 'path', a, b FROM p WHERE b = a + 1 AND b < 10 UNION ALL SELECT 'cycle', a, b FROM p WHERE a < 10 AND b = (a + 1) % 10
+    UNION ALL SELECT 'star', a, b FROM p WHERE a = 0 AND b BETWEEN 1 AND 9 UNION ALL SELECT 'wheel', a, b FROM p WHERE (a = 0 AND b BETWEEN 1 AND 9) OR (a BETWEEN 1 AND 9 AND b = a % 9 + 1)
+    UNION ALL SELECT 'grid', a, b FROM p WHERE a < 15 AND b < 15 AND ((a // 5 = b // 5 AND b = a + 1) OR b = a + 5) UNION ALL SELECT 'hypercube', a, b FROM p WHERE a < b AND bit_count(xor(a, b)) = 1)
+    SELECT kind, a::BIGINT AS src, b::BIGINT AS dst FROM e"""
+)
 def graph_generators(spark, sf):
     made = {"complete": g.complete(spark, 10), "path": g.path(spark, 10), "cycle": g.cycle(spark, 10), "star": g.star(spark, 10), "wheel": g.wheel(spark, 10), "grid": g.grid(spark, 3, 5), "hypercube": g.hypercube(spark, 4)}
     out = None
     for kind, x in made.items():
-        one = x.edges.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+        one = x.edges.select(F.lit(kind).alias("kind"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
         out = one if out is None else out.union(one)
     return out
 
@@ -269,12 +281,12 @@ def tree_leaves(spark, sf):
     return tree(spark, sf).leaves()
 
 
-@query(f"WITH RECURSIVE {_TREE} SELECT node, depth FROM lv")
+@query(f"WITH RECURSIVE {_TREE} SELECT node, depth, row_number() OVER (ORDER BY depth, path) - 1 AS position FROM lv")
 def tree_levelorder(spark, sf):
     return tree(spark, sf).traverse("levelorder")
 
 
-@query(f"WITH RECURSIVE {_TREE} SELECT node, depth FROM lv")
+@query(f"WITH RECURSIVE {_TREE} SELECT node, depth, row_number() OVER (ORDER BY path) - 1 AS position FROM lv")
 def tree_preorder(spark, sf):
     return tree(spark, sf).traverse("preorder")
 
@@ -341,11 +353,20 @@ def graph_random_generators(spark, sf):
     return out
 
 
-@query(f"WITH RECURSIVE {_TREE} SELECT node, depth FROM lv")
+@query(f"WITH RECURSIVE {_TREE} SELECT node, depth, row_number() OVER (ORDER BY list_append(path, '~')) - 1 AS position FROM lv")
 def tree_postorder(spark, sf):
     return tree(spark, sf).traverse("postorder")
 
 
+@query(
+    f"""WITH RECURSIVE {_TREE}, side AS (SELECT child, CASE WHEN k = 1 THEN 0 ELSE k END AS s FROM (SELECT child, row_number() OVER (PARTITION BY parent ORDER BY child) AS k FROM edges)),
+    sides AS (SELECT 'world' AS node, 0::BIGINT AS depth, []::BIGINT[] AS k UNION ALL SELECT edges.child, depth + 1, list_append(k, s) FROM sides JOIN edges ON parent = node JOIN side ON side.child = edges.child)
+    SELECT node, depth, row_number() OVER (ORDER BY list_append(k, 1)) - 1 AS position FROM sides"""
+)
+def tree_inorder(spark, sf):
+    return tree(spark, sf).traverse("inorder")
+
+
 @query("SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation WHERE n_nationkey = 7 UNION ALL SELECT 'n' || n_nationkey, 'r3' FROM nation WHERE n_regionkey = 3")
 def tree_parent_children(spark, sf):
     t = tree(spark, sf)

@@ -91,13 +91,12 @@ def ts_query_aggregate_daily(spark, sf):
 
 
 @query(
-    f"""WITH b AS (SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts) AS bucket, count(*) AS n FROM events WHERE user_id <= 5 GROUP BY 1, 2),
+    f"""WITH b AS (SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts) AS bucket, count(*) AS n FROM events GROUP BY 1, 2),
     g AS (SELECT user_id, unnest(generate_series(min(bucket), max(bucket), INTERVAL 6 HOUR)) AS bucket FROM b GROUP BY 1)
     SELECT g.user_id, {sql_stamp('g.bucket')} AS bucket, b.n AS value FROM g LEFT JOIN b ON g.user_id = b.user_id AND g.bucket = b.bucket"""
 )
 def ts_resample_dense(spark, sf):
-    s = by_user(spark, sf)
-    return s.with_df(s.df.filter("user_id <= 5")).resample("6 hours", "COUNT", fill=True).select("user_id", stamp("bucket", "bucket"), "value")
+    return by_user(spark, sf).resample("6 hours", "COUNT", fill=True).select("user_id", stamp("bucket", "bucket"), "value")
 
 
 def _moving(func: str, sql: str):
@@ -226,7 +225,7 @@ def ts_sma(spark, sf):
     return by_user(spark, sf).moving("mean", 10, "m").df.select("event_id", r("m", "v"))
 
 
-_NUMBERED = f"n AS (SELECT event_id, user_id, value, row_number() OVER ({W}) AS i FROM events WHERE user_id <= 40)"
+_NUMBERED = f"n AS (SELECT event_id, user_id, value, row_number() OVER ({W}) AS i FROM events)"
 
 
 def _ema_sql(period: int, source: str = "n", value: str = "value", name: str = "e") -> str:
@@ -234,14 +233,9 @@ def _ema_sql(period: int, source: str = "n", value: str = "value", name: str = "
     return f"{name} AS (SELECT user_id, event_id, i, {value} AS v FROM {source} WHERE i = 1 UNION ALL SELECT n2.user_id, n2.event_id, n2.i, {a} * n2.{value} + (1 - {a}) * {name}.v FROM {name} JOIN {source} n2 ON n2.user_id = {name}.user_id AND n2.i = {name}.i + 1)"
 
 
-def few_users(spark, sf) -> Series:
-    s = by_user(spark, sf)
-    return s.with_df(s.df.filter("user_id <= 40"))
-
-
 @query(f"WITH RECURSIVE {_NUMBERED}, {_ema_sql(10)} SELECT event_id, round(v, 6) AS v FROM e")
 def ts_ema(spark, sf):
-    return few_users(spark, sf).ema(10).select("event_id", r("ema", "v"))
+    return by_user(spark, sf).ema(10).select("event_id", r("ema", "v"))
 
 
 @query(
@@ -260,7 +254,7 @@ def ts_bollinger(spark, sf):
     SELECT n.event_id, round(CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END, 6) AS v FROM n LEFT JOIN f USING (event_id)"""
 )
 def ts_rsi(spark, sf):
-    return few_users(spark, sf).rsi(14).select("event_id", r("rsi", "v"))
+    return by_user(spark, sf).rsi(14).select("event_id", r("rsi", "v"))
 
 
 @query(
@@ -268,34 +262,6 @@ def ts_rsi(spark, sf):
     SELECT m.event_id, round(line, 6) AS macd, round(g.v, 6) AS signal, round(line - g.v, 6) AS histogram FROM m JOIN g USING (event_id)"""
 )
 def ts_macd(spark, sf):
-    return few_users(spark, sf).macd().select("event_id", r("macd", "macd"), r("signal", "signal"), r("histogram", "histogram"))
-
-
-def _whole(name: str, cut: str) -> str:
-    """The SQL of a query over a few users, for the same rows over all users."""
-    sql = ORACLES[name]
-    if cut not in sql:
-        raise ValueError(f"{name} has no {cut}")
-    return sql.replace(cut, "")
-
-
-@query(_whole("ts_resample_dense", " WHERE user_id <= 5"))
-def ts_resample_dense_all_users(spark, sf):
-    return by_user(spark, sf).resample("6 hours", "COUNT", fill=True).select("user_id", stamp("bucket", "bucket"), "value")
-
-
-@query(_whole("ts_ema", " WHERE user_id <= 40"))
-def ts_ema_all_users(spark, sf):
-    return by_user(spark, sf).ema(10).select("event_id", r("ema", "v"))
-
-
-@query(_whole("ts_rsi", " WHERE user_id <= 40"))
-def ts_rsi_all_users(spark, sf):
-    return by_user(spark, sf).rsi(14).select("event_id", r("rsi", "v"))
-
-
-@query(_whole("ts_macd", " WHERE user_id <= 40"))
-def ts_macd_all_users(spark, sf):
     return by_user(spark, sf).macd().select("event_id", r("macd", "macd"), r("signal", "signal"), r("histogram", "histogram"))
 
 

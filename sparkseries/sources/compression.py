@@ -6,6 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ LEVELS = {
     "BROTLI": {"FASTEST": 0, "FAST": 2, "BALANCED": 6, "HIGH": 9, "MAXIMUM": 11},
     "SNAPPY": {},
 }
-# Fixed values: (algorithm, level, least size, adaptive) of the profiles, with the codecs at hand.
-PROFILES = {"realtime": ("ZLIB", 1, 128, True), "network": ("ZSTD", 3, 256, True), "storage": ("ZSTD", 9, 64, False), "streaming": ("ZSTD", 1, 512, True)}
+# Fixed values: (algorithm, level, least size, adaptive) of the profiles.
+PROFILES = {"realtime": ("LZ4", 1, 128, True), "network": ("ZSTD", 3, 256, True), "storage": ("BROTLI", 9, 64, False), "streaming": ("LZ4", 0, 512, True)}
 # Estimated ratio = a + b * distinct bytes / 256.
 ESTIMATES = {"NONE": (1.0, 0.0), "LZ4": (0.7, 0.25), "ZLIB": (0.5, 0.4), "ZSTD": (0.45, 0.45), "BROTLI": (0.4, 0.5), "SNAPPY": (0.75, 0.2)}
 
@@ -39,42 +40,58 @@ def compress_bytes(data: bytes, algorithm: str, level: int | None = None) -> byt
         return zlib.compress(data, 6 if level is None else level)
     if name == "ZSTD":
         return zstandard.ZstdCompressor(level=3 if level is None else level).compress(data)
-    return _other(name).compress(data)
+    return _codec(name, level).compress(data, asbytes=True)
 
 
 def decompress_bytes(data: bytes, algorithm: str, size: int = 1 << 30) -> bytes:
+    """The bytes that ``data`` stands for; more than ``size`` of them, or a torn end, is an error."""
     name = algorithm.upper()
     if name == "NONE":
         return data
     if name == "ZLIB":
         d = zlib.decompressobj()
         out = d.decompress(data, size + 1)
-        return out
-    if name == "ZSTD":
-        return zstandard.ZstdDecompressor().decompress(data, max_output_size=size)
-    return _other(name).decompress(data)
+        if len(out) <= size and not d.eof:
+            raise ValueError("compressed bytes end too early")
+    elif name == "ZSTD":
+        out = zstandard.ZstdDecompressor().decompress(data, max_output_size=size)
+    elif name == "SNAPPY":
+        n = _snappy_length(data)
+        out = pa.decompress(data, n, "snappy", asbytes=True) if n <= size else b" " * (size + 1)
+    else:
+        _codec(name, None)
+        stream = pa.CompressedInputStream(pa.BufferReader(data), name.lower())
+        out = stream.read(size + 1)
+    if len(out) > size:
+        raise ValueError(f"more than {size} bytes")
+    return out
 
 
-def _other(name: str):
-    """Codecs that need a module which may be missing."""
-    module = {"LZ4": "lz4.frame", "BROTLI": "brotli", "SNAPPY": "snappy"}.get(name)
-    if module is None:
+def _codec(name: str, level: int | None) -> pa.Codec:
+    """LZ4 (frames), Brotli and Snappy (raw) come with Arrow."""
+    if name not in ("LZ4", "BROTLI", "SNAPPY"):
         raise ValueError(f"unknown algorithm {name}")
-    from importlib import import_module
+    return pa.Codec(name.lower(), compression_level=level if level and name != "SNAPPY" else None)
+
 
-    try:
-        return import_module(module)
-    except ImportError:
-        raise ValueError(f"{name} needs the Python module {module}") from None
+def _snappy_length(data: bytes) -> int:
+    """The length that stands at the beginning as a varint."""
+    n = shift = 0
+    for x in data[:5]:
+        n |= (x & 0x7F) << shift
+        if x < 0x80:
+            return n
+        shift += 7
+    raise ValueError("no length")
 
 
 def select_best_algorithm(data: bytes, prefer_speed: bool = False) -> str:
-    """NONE below 128 bytes; otherwise the fast or the strong codec at hand."""
+    """NONE below 128 bytes; LZ4 for speed, and below 64 KB where the bytes vary much; else ZSTD."""
     if len(data) < 128:
         return "NONE"
     if prefer_speed:
-        return "ZLIB"
-    return "ZSTD"
+        return "LZ4"
+    return "LZ4" if len(data) < 65_536 and not highly_compressible(data) else "ZSTD"
 
 
 def highly_compressible(data: bytes) -> bool:
@@ -120,7 +137,8 @@ def profile_column(df: DataFrame, column: str) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(head, i * 2 - 1, 2))
     unique = F.when(n == 0, 0).otherwise(F.size(F.array_distinct(pairs)))
     size = F.octet_length(column)
-    algorithm = F.when(size < 128, "NONE").otherwise("ZSTD")
+    varied = (size < 256) | (F.col("distinct_bytes") >= 128)
+    algorithm = F.when(size < 128, "NONE").when((size < 65_536) & varied, "LZ4").otherwise("ZSTD")
     ratio = F.when(size < 64, F.lit(1.0)).otherwise(_estimate(algorithm, F.col("distinct_bytes")))
     return df.withColumns({"size": size, "distinct_bytes": unique}).withColumns({"algorithm": algorithm, "estimated_ratio": ratio})
 

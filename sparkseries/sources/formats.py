@@ -36,7 +36,7 @@ def read(spark: SparkSession, path: str, format: str | None = None, **options) -
         register(spark)
         r = spark.read.format("sparkseries")
     elif format == "json":
-        r = spark.read.format("json").option("multiLine", options.pop("multiLine", True))
+        r = spark.read.format("json").option("multiLine", options.pop("multiLine", None) or not _one_object_a_line(spark, path))
     elif format == "csv":
         r = spark.read.format("csv").option("header", options.pop("header", True)).option("inferSchema", schema is None)
         if path.endswith(".tsv"):
@@ -52,6 +52,15 @@ def read(spark: SparkSession, path: str, format: str | None = None, **options) -
     return (r.schema(schema) if schema else r).options(**options).load(path)
 
 
+def _one_object_a_line(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that is not empty holds a whole JSON object; files that do so are split among tasks."""
+    row = spark.read.text(path).filter(F.trim("value") != "").first()
+    try:
+        return row is not None and isinstance(json.loads(row[0]), dict)
+    except ValueError:
+        return False
+
+
 def _yaml(spark: SparkSession, path: str) -> DataFrame:
     """One JSON text column per document: YAML if a parser is installed, JSON (a subset) otherwise."""
     ship_package(spark)

@@ -38,7 +38,8 @@ def ring_buffer(df: DataFrame, key: str, ts: str, value: str, size: int, thresho
     """(key, ts, value, mean, is_anomaly) per row: state is the last ``size`` values of each key.
 
     mean is that of the buffer before the row; the row is an anomaly if it lies more
-    than ``threshold`` sample deviations from it.
+    than ``threshold`` sample deviations from it.  A null value gets the buffer's mean,
+    is no anomaly, and does not enter the buffer.
     """
     ship_package(df.sparkSession)
     kind = dict(df.dtypes)[key]
@@ -54,8 +55,9 @@ def ring_buffer(df: DataFrame, key: str, ts: str, value: str, size: int, thresho
                 mean = float(a.mean()) if len(a) else None
                 dev = float(a.std(ddof=1)) if len(a) > 1 else 0.0
                 means.append(mean)
-                odd.append(bool(dev > 0 and abs(x - mean) / dev > threshold))
-                held = (held + [x])[-size:]
+                known = x == x
+                odd.append(bool(known and dev > 0 and abs(x - mean) / dev > threshold))
+                held = (held + [x])[-size:] if known else held
             yield pd.DataFrame({key: frame[key], "ts": frame["ts"], "value": frame["value"], "mean": pd.Series(means, index=frame.index, dtype=float), "is_anomaly": odd})
         state.update((held,))
 

@@ -159,3 +159,20 @@ def test_property_graph(spark):
     assert [tuple(r) for r in pg.match([({"label": "p", "n": "x"}, "likes", {}), ({}, "has", {"label": "q"})]).collect()] == [(1, 2, 3)]
     assert pg.update_node_property(2, "n", "z").query_nodes({"n": "z"}).count() == 1 and pg.update_edge_property(2, 3, "k", "v").query_edges({"k": "v"}).count() == 1
     assert pg.add_nodes(nodes.withColumn("id", F.col("id") + 2)).nodes.count() == 5
+
+
+def test_shortest_path_over_weights_of_zero(spark):
+    edges = spark.createDataFrame([(5, 1, 1.0), (1, 2, 0.0), (2, 1, 0.0), (2, 3, 0.0), (3, 3, 0.0)], "src long, dst long, weight double")
+    g = Graph.from_edges(edges)
+    assert g.shortest_path(5, 3) == [5, 1, 2, 3] and g.shortest_path(5, 1) == [5, 1] and g.shortest_path(3, 5) == []
+    assert {r.id: r.dist for r in g.dijkstra(5).collect()} == {5: 0.0, 1: 1.0, 2: 1.0, 3: 1.0}
+
+
+def test_traversals_of_long_names(spark):
+    a1, a2 = "a" * 20 + "1", "a" * 20 + "2"
+    t = Tree(spark.createDataFrame([("root", a1), ("root", a2), (a1, "k1"), (a2, "k2"), ("root", "b")], "parent string, child string"), "root")
+    order = lambda how: [r.node for r in t.traverse(how).orderBy("position").collect()]
+    assert order("postorder") == ["k1", a1, "k2", a2, "b", "root"]
+    assert order("preorder") == ["root", a1, "k1", a2, "k2", "b"]
+    assert order("levelorder") == ["root", a1, a2, "b", "k1", "k2"]
+    assert order("inorder") == ["k1", a1, "root", "k2", a2, "b"]

@@ -92,10 +92,29 @@ def test_choice_of_compression():
     assert compression.numeric_level("ZSTD", "MAXIMUM") == 19 and compression.numeric_level("ZLIB", "FAST") == 3
     assert compression.estimate_ratio(b"a" * 1000, "ZLIB") == pytest.approx(0.5 + 0.4 / 256)
     assert compression.highly_compressible(b"ab" * 500) and not compression.highly_compressible(bytes(range(256)) * 4)
+    assert compression.select_best_algorithm(bytes(range(256)) * 4) == "LZ4" and compression.select_best_algorithm(bytes(range(256)) * 256) == "ZSTD"
+    assert compression.select_best_algorithm(b"a" * 1000, prefer_speed=True) == "LZ4"
     with pytest.raises(ValueError):
         compression.compress_bytes(b"a", "NOPE")
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.binary(max_size=3000) | st.builds(lambda b, n: b * n, st.binary(max_size=40), st.integers(0, 300)), st.sampled_from(["NONE", "ZLIB", "LZ4", "ZSTD", "BROTLI", "SNAPPY"]), st.sampled_from(["FASTEST", "BALANCED", "MAXIMUM"]))
+def test_codecs_round_trip(data, name, preset):
+    packed = compression.compress_bytes(data, name, compression.numeric_level(name, preset))
+    assert compression.decompress_bytes(packed, name) == data
+
+
+@pytest.mark.parametrize("name", ["ZLIB", "LZ4", "ZSTD", "BROTLI", "SNAPPY"])
+def test_too_long_or_torn_is_an_error(name):
+    packed = compression.compress_bytes(b"abc" * 33_333, name)
+    assert len(compression.decompress_bytes(packed, name, 99_999)) == 99_999
+    with pytest.raises(Exception):
+        compression.decompress_bytes(packed, name, 1000)
+    with pytest.raises(Exception):
+        compression.decompress_bytes(packed[:-5], name)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(-(2**45), 2**45), st.floats(allow_nan=False)), max_size=60))
 def test_gorilla(points):
