@@ -352,15 +352,17 @@ def cointegrated(x: np.ndarray, y: np.ndarray, significance: float = 0.05) -> tu
 
 
 def is_cointegrated(a, b, significance: float = 0.05) -> DataFrame:
-    """One row (cointegrated, statistic) over the common times of two series."""
+    """One row (cointegrated, statistic) over the common times of two series: ``cointegrated`` in sums, for any length."""
+    from .batch import numbered
     from .series import align
 
-    both = align([a, b], "inner", ["x", "y"])
-    ship_package(both.sparkSession)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ts")
-        ok, t = cointegrated(frame["x"].to_numpy(float), frame["y"].to_numpy(float), significance)
-        return pd.DataFrame({"cointegrated": [ok], "statistic": [t]})
-
-    return both.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "cointegrated boolean, statistic double")
+    both = align([a, b], "inner", ["x", "y"]).select("ts", "x", "y")
+    line = both.agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("b"))
+    rest = numbered(both, ["ts"]).join(F.broadcast(line)).select("pos", (F.col("y") - F.col("b") - F.col("a") * F.col("x")).alias("e"))  # one row
+    last = rest.select((F.col("pos") + 1).alias("pos"), F.col("e").alias("l"))
+    d = F.col("e") - F.col("l")
+    sums = rest.join(last, "pos").agg(F.sum(F.col("l") * d).alias("ld"), F.sum(F.col("l") * F.col("l")).alias("ll"), F.sum(d * d).alias("dd"), F.count(F.lit(1)).alias("n"))
+    rho = F.col("ld") / F.col("ll")
+    error = F.sqrt((F.col("dd") - rho * F.col("ld")) / F.greatest(F.lit(1), F.col("n") - 1) / F.col("ll"))
+    t = F.when(error > 0, rho / error).otherwise(F.lit(float("-inf")))
+    return sums.select((t < CRITICAL[significance]).alias("cointegrated"), t.alias("statistic"))

@@ -51,14 +51,14 @@ def cut(df: DataFrame) -> DataFrame:
     return stored(df, "cut")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "zstd", **options) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Unlike a checkpoint the copy is columnar, so later readers prune columns.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

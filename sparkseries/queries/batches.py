@@ -136,10 +136,12 @@ def batch_numbered(spark, sf):
     return batch.numbered(table(spark, sf, "events"), ["ts", "event_id"]).select("event_id", "pos")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O')")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders WHERE o_orderstatus IN ('F', 'O')")
 def batch_merge_sorted(spark, sf):
     o = table(spark, sf, "orders")
-    return batch.merge_sorted([o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'O'")], ["o_orderkey"]).select("o_orderkey")
+    merged = batch.merge_sorted([o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'O'")], ["o_orderkey"])
+    placed = merged.select("o_orderkey", F.monotonically_increasing_id().alias("_at"))  # as the rows come out
+    return batch.numbered(placed, ["_at"], (), "position").select("o_orderkey", "position")
 
 
 # -- scalars ------------------------------------------------------------------------------
@@ -172,8 +174,9 @@ def decimal_truncate(spark, sf):
 def timestamp_parts(spark, sf):
     """In UTC, whatever the session's zone: times without zone count from the epoch as they stand."""
     m = F.expr("(unix_date(cast(ts as date)) * 86400L + hour(ts) * 3600 + minute(ts) * 60) * 1000000 + cast(extract(second from ts) * 1000000 as bigint)")
-    df = table(spark, sf, "events").select("event_id", m.alias("m"))
-    return df.select("event_id", F.expr("m div 1000000").alias("seconds"), ((F.col("m") % 1_000_000) * 1000).alias("nanos"), F.expr("m div 1000").alias("millis"))
+    df = table(spark, sf, "events").select("event_id", scalars.from_micros(m).alias("t"))
+    parts = scalars.split_timestamp(F.col("t"))
+    return df.select("event_id", parts["seconds"].alias("seconds"), parts["nanos"].cast("long").alias("nanos"), scalars.to_millis(F.col("t")).alias("millis"))
 
 
 @query("SELECT doc_id, length(text) AS n_chars2, octet_length(encode(text)) AS n_bytes, regexp_matches(text, '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+') AS has_ip, true AS is_utf8 FROM documents")

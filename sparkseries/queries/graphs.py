@@ -165,19 +165,77 @@ def graph_pagerank(spark, sf):
     return sparse(spark, sf).pagerank(iterations=8).withColumn("rank", F.round("rank", 8))
 
 
-@query()
+def _eigenvector_sql(rounds: int) -> str:
+    steps = ["arcs AS MATERIALIZED (SELECT src, dst, weight FROM sparse UNION ALL SELECT dst, src, weight FROM sparse)", "x0 AS (SELECT id, 1::DOUBLE AS x FROM nodes)"]
+    for i in range(rounds):
+        steps.append(f"y{i} AS MATERIALIZED (SELECT id, sum(x) AS x FROM (SELECT id, x FROM x{i} UNION ALL SELECT dst, x * weight FROM x{i} JOIN arcs ON src = id) GROUP BY id)")
+        steps.append(f"x{i + 1} AS MATERIALIZED (SELECT id, x / (SELECT sqrt(sum(x * x)) FROM y{i}) AS x FROM y{i})")
+    return f"WITH {_SPARSE}, {_NODES}, {', '.join(steps)} SELECT id, round(x, 5) AS centrality FROM x{rounds}"
+
+
+@query(_eigenvector_sql(20))
 def graph_eigenvector(spark, sf):
     return sparse(spark, sf, False).eigenvector_centrality(20).withColumn("centrality", F.round("centrality", 5))
 
 
-@query()
+#: Numbers of shortest paths level by level; a node between two others is on n(s, v) * n(v, t) of n(s, t).
+@query(
+    f"""WITH RECURSIVE {_SPARSE}, {_NODES}, {_HOPS.format('id', 'true')},
+    p AS (SELECT id AS s, id AS t, 0 AS d, 1::DOUBLE AS n FROM nodes UNION ALL SELECT p.s, dst, p.d + 1, sum(n) FROM p JOIN sparse ON src = p.t JOIN hops ON hops.root = p.s AND hops.id = dst AND hops.hops = p.d + 1 GROUP BY ALL)
+    SELECT nodes.id, round(coalesce(sum(a.n * b.n / c.n), 0), 6)::DOUBLE AS betweenness FROM nodes LEFT JOIN (p a JOIN p b ON b.s = a.t AND a.d > 0 AND b.d > 0 JOIN p c ON c.s = a.s AND c.t = b.t AND c.d = a.d + b.d) ON a.t = nodes.id GROUP BY nodes.id"""
+)
 def graph_betweenness(spark, sf):
     return sparse(spark, sf).betweenness_centrality().withColumn("betweenness", F.round("betweenness", 6))
 
 
-@query()
+def _communities_sql(rounds: int) -> str:
+    steps = ["b AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM sparse UNION ALL SELECT dst, src FROM sparse))", "l0 AS (SELECT id, id AS label FROM nodes)"]
+    for i in range(rounds):
+        votes = f"SELECT id, label, count(*) AS n FROM (SELECT dst AS id, label FROM b JOIN l{i} ON l{i}.id = src UNION ALL SELECT * FROM l{i}) GROUP BY ALL"
+        steps.append(f"l{i + 1} AS MATERIALIZED (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS k FROM ({votes})) WHERE k = 1)")
+    return f"WITH {_SPARSE}, {_NODES}, {', '.join(steps)} SELECT id, label AS community FROM l{rounds}"
+
+
+@query(_communities_sql(20))
 def graph_communities(spark, sf):
-    return sparse(spark, sf, False).communities(8)
+    return sparse(spark, sf, False).communities()
+
+
+# -- the whole graph of suppliers and parts
+
+_SUPPLY = "e AS MATERIALIZED (SELECT DISTINCT -l_suppkey - 1 AS s, l_partkey AS p FROM lineitem), b AS MATERIALIZED (SELECT s AS src, p AS dst FROM e UNION ALL SELECT p, s FROM e), ids AS MATERIALIZED (SELECT DISTINCT src AS id FROM b)"
+
+
+def _supply_levels(rounds: int) -> str:
+    steps = ["h0 AS (SELECT max(id) AS id, NULL::BIGINT AS parent, 0::BIGINT AS hops FROM ids)"]
+    for k in range(rounds):
+        steps.append(f"h{k + 1} AS MATERIALIZED (SELECT * FROM h{k} UNION ALL SELECT dst, min(src), {k + 1} FROM h{k} JOIN b ON src = id WHERE hops = {k} AND dst NOT IN (SELECT id FROM h{k}) GROUP BY dst)")
+    return f"WITH {_SUPPLY}, {', '.join(steps)} SELECT * FROM h{rounds}"
+
+
+@query(_supply_levels(8))
+def graph_bfs_supply(spark, sf):
+    g = supply(spark, sf)
+    return g.bfs(g.nodes.agg(F.max("id")).first()[0])
+
+
+def _supply_rank(rounds: int) -> str:
+    steps = ["k AS MATERIALIZED (SELECT src, count(*) AS k FROM b GROUP BY 1)", "n AS (SELECT count(*) AS n FROM ids)", "r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM ids, n)"]
+    for i in range(rounds):
+        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT dst AS id, 0.15::DOUBLE / any_value(n) + 0.85::DOUBLE * sum(rank / k) AS rank FROM b JOIN k USING (src) JOIN r{i} ON r{i}.id = src, n GROUP BY dst)")
+    return f"WITH {_SUPPLY}, {', '.join(steps)} SELECT id, round(rank, 8) AS rank FROM r{rounds}"
+
+
+@query(_supply_rank(12))
+def graph_pagerank_supply(spark, sf):
+    """No node of this graph lacks neighbours, so no rank is spread."""
+    return supply(spark, sf).pagerank(iterations=12).withColumn("rank", F.round("rank", 8))
+
+
+@query(f"WITH RECURSIVE {_SUPPLY}, w AS (SELECT (SELECT min(id) FROM ids) AS id UNION SELECT dst FROM w JOIN b ON src = w.id) SELECT ids.id, min(w.id) OVER () AS component FROM ids JOIN w USING (id)")
+def graph_components_supply(spark, sf):
+    """Connected through its lines: one component in these tables, named by its least node."""
+    return supply(spark, sf).components()
 
 
 #: Weights as the order of (weight, ends), so that the forest is one and the same everywhere.
@@ -325,6 +383,26 @@ def pg_update_property(spark, sf):
     return shop(spark, sf).update_node_property("c5", "segment", "VIP").nodes.filter("label = 'customer'").select("id", F.col("properties")["segment"].alias("segment"))
 
 
+@query("SELECT 'o' || o_orderkey AS id, CASE WHEN o_orderkey = 1 THEN 'FIRST' ELSE o_orderpriority END AS priority FROM orders")
+def pg_update_edge_property(spark, sf):
+    shop_ = shop(spark, sf)
+    src = shop_.edges.filter("dst = 'o1' AND type = 'placed'").first()["src"]
+    return shop_.update_edge_property(src, "o1", "priority", "FIRST").edges.filter("type = 'placed'").select(F.col("dst").alias("id"), F.col("properties")["priority"].alias("priority"))
+
+
+_DOUBLED = [s.replace("weight", "(1000.0::DOUBLE / weight)") for s in _UNROLLED]
+
+
+@query(f"WITH {_SPARSE}, {', '.join(_DOUBLED)} SELECT round(max(dist), 6) AS dist FROM d12 WHERE id = (SELECT max(id) FROM d12)")
+def graph_weighted_path(spark, sf):
+    """The length of the path by a weight computed from the edge: heavy trade is near."""
+    s = sparse(spark, sf)
+    near = 1000.0 / F.col("weight")
+    path = s.shortest_path(0, s.dijkstra(0).agg(F.max("id")).first()[0], weight=near)
+    steps = spark.createDataFrame(list(zip(path, path[1:])) or [(-1, -1)], "src long, dst long")
+    return s.edges.join(steps, ["src", "dst"]).agg(F.round(F.sum(near), 6).alias("dist"))
+
+
 @query("SELECT true AS same, false AS other")
 def graph_isomorphic(spark, sf):
     """The trade graph's skeleton against itself with other ids, and against a changed one."""
@@ -334,13 +412,28 @@ def graph_isomorphic(spark, sf):
     return spark.createDataFrame([(s.is_isomorphic(other), s.is_isomorphic(changed))], "same boolean, other boolean")
 
 
-@query(f"WITH {_NODES} SELECT id, 2::BIGINT AS out_degree, 0::DOUBLE AS x FROM nodes")
-def graph_layouts(spark, sf):
-    """Every node gets a place in each layout; the spectral one is centred."""
-    s = sparse(spark, sf)
-    places = s.layout_spectral().agg(F.round(F.sum("x"), 6).alias("x"))
-    force = s.layout_force(30).select("id")
-    return s.degrees().join(force, "id").join(F.broadcast(places)).select("id", "out_degree", F.abs("x").alias("x"))  # one row
+@query(f"WITH RECURSIVE {_SPARSE}, {_NODES}, {_HOPS.format('id', 'id = 0')} SELECT id, (row_number() OVER (PARTITION BY hops ORDER BY id) - 1)::DOUBLE AS x, (0 - hops)::DOUBLE AS y FROM hops")
+def graph_layout_hierarchical(spark, sf):
+    return sparse(spark, sf).layout_hierarchical(0).select("id", "x", (F.lit(0.0) + F.col("y")).alias("y"))
+
+
+@query()
+def graph_layout_force(spark, sf):
+    """Places after 100 rounds; held against a plain loop in tests."""
+    return sparse(spark, sf).layout_force().select("id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+
+
+@query()
+def graph_layout_spectral(spark, sf):
+    """Places; that they are eigenvectors of the Laplacian is held in tests."""
+    return sparse(spark, sf).layout_spectral().select("id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+
+
+@query("WITH p AS (SELECT a.i AS a, b.i AS b FROM (SELECT unnest(range(0, 60)) AS i) a, (SELECT unnest(range(0, 60)) AS i) b WHERE a.i < b.i) SELECT a AS src, b AS dst FROM p")
+def graph_random(spark, sf):
+    """Edges with probability 0.3 and the others, which together are all pairs; no pair is in both."""
+    some = g.random_graph(spark, 60, 0.3, 7).edges.select("src", "dst")
+    return some.unionAll(g.complete(spark, 60).edges.select("src", "dst").exceptAll(some))
 
 
 @query("SELECT 'barabasi' AS kind, 196::BIGINT AS n UNION ALL SELECT 'watts', 200")

@@ -303,7 +303,16 @@ def ts_downsample_m4(spark, sf):
     return by_user(spark, sf).downsample(10, "M4").select("user_id", "tile", "min", "max", r("mean", "mean"), r("median", "median"))
 
 
-@query()
+#: The next chosen point is that of the largest triangle with the last one and the next bucket's mean.
+@query(
+    f"""WITH RECURSIVE p AS MATERIALIZED (SELECT user_id, ts, value AS y, epoch_us(ts)::DOUBLE AS x, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    b AS (SELECT user_id, n, j, j * (n - 2) // 10 + 1 AS lo, (j + 1) * (n - 2) // 10 + 1 AS hi, CASE WHEN j = 9 THEN n ELSE (j + 2) * (n - 2) // 10 + 1 END AS after_ FROM (SELECT DISTINCT user_id, n FROM p WHERE n > 12), (SELECT unnest(range(0, 10)) AS j)),
+    m AS (SELECT b.user_id, b.j, coalesce(avg(p.x), any_value(z.x)) AS mx, coalesce(avg(p.y), any_value(z.y)) AS my FROM b JOIN p z ON z.user_id = b.user_id AND z.i = b.n - 1 LEFT JOIN p ON p.user_id = b.user_id AND p.i >= b.hi AND p.i < b.after_ GROUP BY 1, 2),
+    c AS MATERIALIZED (SELECT b.user_id, b.j, p.i, p.x, p.y, mx, my FROM b JOIN m USING (user_id, j) JOIN p ON p.user_id = b.user_id AND p.i >= b.lo AND p.i < b.hi),
+    s AS (SELECT user_id, -1::BIGINT AS j, i, x, y FROM p WHERE n > 12 AND i = 0
+      UNION ALL SELECT q.user_id, q.j, q.pick.i, q.pick.x, q.pick.y FROM (SELECT c.user_id, c.j, arg_max({{'i': c.i, 'x': c.x, 'y': c.y}}, abs((s.x - mx) * (c.y - s.y) - (s.x - c.x) * (my - s.y))) AS pick FROM s JOIN c ON c.user_id = s.user_id AND c.j = s.j + 1 GROUP BY 1, 2) q)
+    SELECT user_id, {sql_stamp('ts')} AS ts, y AS value FROM p WHERE n <= 12 OR i = n - 1 UNION ALL SELECT user_id, {sql_stamp('p.ts')}, p.y FROM s JOIN p USING (user_id, i)"""
+)
 def ts_downsample_lttb(spark, sf):
     return by_user(spark, sf).downsample(12, "LTTB").select("user_id", stamp("ts", "ts"), "value")
 
@@ -338,8 +347,25 @@ def ts_linear_forecast(spark, sf):
     return daily(spark, sf).forecast_linear(7).select("step", r("forecast", "forecast", 4))
 
 
-def _forecast(model: str, **options):
-    @query(name=f"ts_forecast_{model.lower()}")
+_USER_DAYS = "d AS MATERIALIZED (SELECT user_id, sum(value) AS v, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts)) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events GROUP BY user_id, date_trunc('day', ts))"
+_STEPS = "(SELECT unnest(range(1, 8)) AS step)"
+
+#: Of 19 smoothing factors the one of least squared one-step error.
+_EXPONENTIAL = f"""WITH RECURSIVE {_USER_DAYS}, r AS (SELECT user_id, 0.05::DOUBLE + k * 0.05::DOUBLE AS a, i, n, v AS e, 0::DOUBLE AS cost FROM d, (SELECT unnest(range(0, 19)) AS k) WHERE i = 1
+UNION ALL SELECT r.user_id, a, d.i, d.n, e + a * (d.v - e), cost + (d.v - e) * (d.v - e) FROM r JOIN d ON d.user_id = r.user_id AND d.i = r.i + 1)
+SELECT user_id, step, round(e, 4) AS forecast FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cost, e) AS k FROM r WHERE i = n), {_STEPS} WHERE k = 1"""
+
+#: Seasons of seven days, none for fewer than two of them.
+_HOLT_WINTERS = f"""WITH RECURSIVE {_USER_DAYS}, y AS (SELECT user_id, n, list(v ORDER BY i) AS y, CASE WHEN n >= 14 THEN 7 ELSE 1 END AS m FROM d GROUP BY user_id, n),
+t AS (SELECT *, list_avg(y[1:m]) AS mean, CASE WHEN n >= 2 * m THEN (list_avg(y[m + 1:2 * m]) - list_avg(y[1:m])) / m ELSE 0 END AS trend FROM y),
+w AS (SELECT user_id, y, n, m, m AS i, mean + trend * (m - 1) / 2.0 AS level, trend, list_transform(range(0, m), lambda j: y[j + 1] - mean - trend * (j - (m - 1) / 2.0)) AS season FROM t
+UNION ALL SELECT user_id, y, n, m, i + 1, l, 0.1 * (l - level) + 0.9 * trend, CASE WHEN m > 1 THEN list_concat(list_concat(season[1:i % m], [0.2 * (y[i + 1] - l) + 0.8 * season[i % m + 1]]), season[i % m + 2:m]) ELSE season END
+  FROM (SELECT *, 0.3 * (y[i + 1] - season[i % m + 1]) + 0.7 * (level + trend) AS l FROM w WHERE i < n))
+SELECT user_id, step, round(level + step * trend + CASE WHEN m > 1 THEN season[(n + step - 1) % m + 1] ELSE 0 END, 4) AS forecast FROM w, {_STEPS} WHERE i = n"""
+
+
+def _forecast(model: str, sql: str | None, **options):
+    @query(sql, name=f"ts_forecast_{model.lower()}")
     def run(spark, sf):
         s = Series(by_user(spark, sf).resample("1 day", "SUM").withColumnRenamed("bucket", "ts"), ("user_id",))
         return sequential.forecast(s, 7, model, **options).select("user_id", "step", r("forecast", "forecast", 4))
@@ -347,8 +373,8 @@ def _forecast(model: str, **options):
     return run
 
 
-for _m, _o in {"POLYNOMIAL_REGRESSION": {}, "EXPONENTIAL_SMOOTHING": {}, "HOLT_WINTERS": {"period": 7}, "ARIMA": {}, "NEURAL_NETWORK": {"rounds": 60}}.items():
-    _forecast(_m, **_o)
+for _m, _s, _o in (("POLYNOMIAL_REGRESSION", None, {}), ("EXPONENTIAL_SMOOTHING", _EXPONENTIAL, {}), ("HOLT_WINTERS", _HOLT_WINTERS, {"period": 7}), ("ARIMA", None, {}), ("NEURAL_NETWORK", None, {})):
+    _forecast(_m, _s, **_o)
 
 
 @query()
@@ -356,15 +382,25 @@ def ts_changepoints(spark, sf):
     return sequential.changepoints(Series(by_user(spark, sf).resample("1 day", "MEAN").withColumnRenamed("bucket", "ts"), ("user_id",)), 5.0)
 
 
-@query()
+@query(
+    f"""WITH x AS ({HOURLY.format('click')}), y AS ({HOURLY.format('view')}), j AS (SELECT x.ts, x.value AS x, y.value AS y FROM x JOIN y ON x.ts = y.ts),
+    f AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM j), e AS (SELECT y - b - a * x AS e, lag(y - b - a * x) OVER (ORDER BY ts) AS l FROM j, f),
+    s AS (SELECT sum(l * (e - l)) / sum(l * l) AS rho, sum(l * l) AS ll, count(*) AS n FROM e WHERE l IS NOT NULL),
+    t AS (SELECT any_value(rho) / sqrt(sum((e - l - rho * l) * (e - l - rho * l)) / (any_value(n) - 1) / any_value(ll)) AS t FROM e, s WHERE l IS NOT NULL)
+    SELECT t < -3.34 AS cointegrated, round(t, 6) AS statistic FROM t"""
+)
 def ts_cointegrated(spark, sf):
     return sequential.is_cointegrated(hourly(spark, sf, "click"), hourly(spark, sf, "view")).select("cointegrated", r("statistic", "statistic"))
 
 
-@query("SELECT event_id, value FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 48 HOUR")
+@query("SELECT event_id, value FROM events WHERE event_type = 'view' AND ts >= (SELECT max(ts) FROM events WHERE event_type = 'view') - INTERVAL 48 HOUR")
 def ts_retention(spark, sf):
-    last = events(spark, sf).agg(F.max("ts").alias("_last"))
-    return events(spark, sf).join(F.broadcast(last)).filter(F.col("ts") >= F.col("_last") - F.expr("interval 48 hours")).select("event_id", "value")  # one row
+    """What a metric store keeps of one metric, counted from the metric's last point."""
+    from ..plans.scratch import scratch_path
+
+    store = series.MetricStore(spark, scratch_path(spark, "metrics"))
+    store.write("view", events(spark, sf).filter("event_type = 'view'").select("ts", "value", "event_id"))
+    return store.retain("view", 48).select("event_id", "value")
 
 
 @query("SELECT event_id, user_id, value FROM events WHERE event_type = 'click'")

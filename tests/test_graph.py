@@ -176,3 +176,45 @@ def test_traversals_of_long_names(spark):
     assert order("preorder") == ["root", a1, "k1", a2, "k2", "b"]
     assert order("levelorder") == ["root", a1, a2, "b", "k1", "k2"]
     assert order("inorder") == ["k1", a1, "root", "k2", a2, "b"]
+
+
+def test_force_and_spectral_layouts(spark):
+    import numpy as np
+
+    graph, weights, n = make(spark, 3)
+    got = {r.id: (r.x, r.y) for r in graph.layout_force(12, seed=5).collect()}
+    p = [list(x) for x in np.random.default_rng(5).random((n, 2))]
+    k, heat = (1 / n) ** 0.5, 0.1
+    for _ in range(12):
+        move = [[0.0, 0.0] for _ in range(n)]
+        for i in range(n):
+            for j in range(n):
+                gap = [p[i][c] - p[j][c] for c in (0, 1)]
+                far = max((gap[0] ** 2 + gap[1] ** 2) ** 0.5, 1e-3)
+                for c in (0, 1):
+                    move[i][c] += gap[c] / far * (k * k / far)
+        for a, b in weights:
+            if a != b:
+                gap = [p[a][c] - p[b][c] for c in (0, 1)]
+                far = (gap[0] ** 2 + gap[1] ** 2) ** 0.5
+                for c in (0, 1):
+                    move[a][c] -= gap[c] * far / k
+                    move[b][c] += gap[c] * far / k
+        for i in range(n):
+            size = max((move[i][0] ** 2 + move[i][1] ** 2) ** 0.5, 1e-9)
+            for c in (0, 1):
+                p[i][c] += move[i][c] / size * min(size, heat)
+        heat *= 0.97
+    assert all(abs(got[i][c] - p[i][c]) < 1e-6 for i in range(n) for c in (0, 1))
+    # Spectral places are eigenvectors of the undirected Laplacian with its second and third least values.
+    laplacian = np.zeros((n, n))
+    for a, b in {(min(e), max(e)) for e in weights if e[0] != e[1]}:
+        laplacian[a, a] += 1
+        laplacian[b, b] += 1
+        laplacian[a, b] -= 1
+        laplacian[b, a] -= 1
+    values = np.linalg.eigvalsh(laplacian)
+    places = {r.id: (r.x, r.y) for r in graph.layout_spectral().collect()}
+    for c in (0, 1):
+        v = np.array([places[i][c] for i in range(n)])
+        assert np.allclose(laplacian @ v, values[c + 1] * v, atol=1e-8) and abs(np.linalg.norm(v) - 1) < 1e-9
