@@ -60,6 +60,8 @@ PIECE = 1 << 20
 BLOCK, GROUP = 1 << 20, 1 << 17
 #: Windows of a run when groups are dealt finer; the last must be 1.
 WIDTHS = (24, 4, 1)
+#: How tables of digests are written: nothing in them repeats or compresses much.
+DIGESTS = {"compression": "snappy", "parquet.enable.dictionary": "false"}
 
 _POS_BITS = np.uint64(22)
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -425,9 +427,10 @@ def remove_repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(body)).alias("tk"), body.alias("body"))
     texts = bucketed(rows.groupBy("tk").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("copies")), "texts", "tk")
 
-    occurrences = stored(texts.mapInArrow(_anchor_rows(length), "anchor long, ctx binary, tk binary, at int, n int, p int, w tinyint, sides long"), "anchors")
-    twice = occurrences.groupBy("anchor").agg(F.sum("w").alias("seen")).filter("seen > 1").select("anchor")
-    occurrences = stored(occurrences.join(twice, "anchor"), "occurrences")
+    occurrences = stored(texts.mapInArrow(_anchor_rows(length), "anchor long, ctx binary, tk binary, at int, n int, p int, w tinyint, sides long"), "anchors", **DIGESTS)
+    # Stored, so that both sides of the join come from plain exchanges and Spark can split the rows of a common anchor.
+    twice = stored(occurrences.groupBy("anchor").agg(F.sum("w").alias("seen")).filter("seen > 1").select("anchor"), "twice", **DIGESTS)
+    occurrences = stored(occurrences.join(twice, "anchor"), "occurrences", **DIGESTS)
 
     first = F.min(F.struct("tk", "at")).alias("x")
     contexts = occurrences.groupBy("ctx").agg(F.sum("w").cast("int").alias("w"), first, *[F.first(c).alias(c) for c in ("anchor", "n", "p", "sides")])
