@@ -110,6 +110,8 @@ _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 _COLON_HEX = re.compile(r"(?=(?:[^:]*:){3})(?:[0-9a-fA-F]{1,4}(?:::?|\Z)){2,8}\Z")
 _KEY_START = re.compile(r"(?:AKIA|ASIA|eyJ|AIza|xox[a-z]-|[a-z]{2,6}_|(?:sk|pk|rk)-)")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\Z")
+_ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}")
+_LETTERS = re.compile(r"[^\W\d_]{3}")
 _WORDS_BEFORE = re.compile(r"\w+")
 # Words that hint at a kind when they stand before a span.
 HINTS = {
@@ -182,29 +184,58 @@ def features(text: str, start: int, end: int, n_tokens: int) -> list[str]:
 
 
 def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Token ranges [i, j) that may be an entity: they pass a cheap gate, whatever their type."""
+    """Token ranges [i, j) that may be an entity: they pass a cheap gate, whatever their type.
+
+    One token: 16 characters or more with a digit, or seven digits.  Several: seven
+    digits and no word of three letters, or the form of an address in colons, of an
+    account number, or of a spelled out mail address.  Counts up to each token make
+    a range cost one subtraction.
+    """
+    n = len(tokens)
+    words = [text[s:e] for s, e in tokens]
+    counts = np.zeros((n + 1, 5), np.int32)  # digits, colons, words of three letters, "at", "dot" or an "at" in brackets
+    for k, w in enumerate(words):
+        row = counts[k + 1]
+        if len(w) == 1:
+            row[0], row[1] = w.isdigit(), w == ":"
+            continue
+        if not w.isalpha():
+            row[0] = sum(map(str.isdigit, w))
+        row[2] = bool(_LETTERS.search(w))
+        low = w.lower() if len(w) < 4 else ""
+        if low == "at":
+            row[3] = 1
+            row[4] = 0 < k < n - 1 and words[k - 1] in ("[", "(") and words[k + 1] in ("]", ")")
+        elif low == "dot":
+            row[4] = 1
+    digits, colons, letters, ats, dots = np.cumsum(counts, axis=0).T.tolist()
     out = []
-    for i, (start, _) in enumerate(tokens):
+    for i, (start, first_end) in enumerate(tokens):
+        top = min(n, i + MAX_TOKENS)
+        if digits[top] - digits[i] < 2 and digits[i + 1] == digits[i] and ats[top] == ats[i]:
+            continue  # nothing that begins here passes
         first = text[start]
         if not (first.isalnum() or first in "+("):
             continue
-        for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
+        size = first_end - start
+        d = digits[i + 1] - digits[i]
+        if (d and size >= 16 or d >= 7) and size <= MAX_KEY:
+            out.append((i, i + 1))
+        account = first.isupper() and bool(_ACCOUNT.match(words[i]))
+        for j in range(i + 2, top + 1):
             end = tokens[j - 1][1]
-            if end - start > MAX_CHARS or text[end - 1] == "\n":
-                if j == i + 1 and MAX_CHARS < end - start <= MAX_KEY and any(c.isdigit() for c in text[start:end]):
-                    out.append((i, j))
-                break
             last = text[end - 1]
+            if end - start > MAX_CHARS or last == "\n":
+                break
             if not (last.isalnum() or last == ")"):
                 continue
-            s = text[start:end]
-            n = sum(c.isdigit() for c in s)
-            if j == i + 1:
-                if (len(s) >= 16 and n) or n >= 7:
-                    out.append((i, j))
-            elif (n >= 7 and not re.search(r"[^\W\d_]{3}", s)) or (n >= 2 and s.count(":") >= 3) or (n >= 10 and _IBAN.match(re.sub(r"\s", "", s))):
-                out.append((i, j))
-            elif re.search(r"\bdot\b|[\[(]\s*at\s*[\])]", s, re.I) and re.search(r"\bat\b", s, re.I):
+            d = digits[j] - digits[i]
+            if (
+                (d >= 7 and letters[j] == letters[i])
+                or (d >= 2 and colons[j] - colons[i] >= 3)
+                or (account and d >= 10 and _IBAN.match("".join(text[start:end].split())))
+                or (ats[j] > ats[i] and dots[j] > dots[i])
+            ):
                 out.append((i, j))
     return out
 
