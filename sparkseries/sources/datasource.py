@@ -5,7 +5,9 @@ Register with ``register(spark)``, then ``spark.read.format("sparkseries")``.
 Options: ``path`` (a file or folder), ``framed`` (values behind four-byte lengths),
 ``compress`` (writing), ``tabular`` (writing; off gives plain MessagePack),
 ``rows_per_value`` (rows of a table value when writing).  Column pruning: a read
-schema with fewer columns skips the others' bytes.  One partition per file.
+schema with fewer columns skips the others' bytes.  Files over ``split_bytes`` (64 MB
+by default) are split between values that tell their size: frames, tables, texts and
+binaries; the heads of these values are all that planning reads of them.
 """
 
 from __future__ import annotations
@@ -117,12 +119,57 @@ def infer_type(v) -> T.DataType:
 
 
 class _Part(InputPartition):
-    pass
+    """Bytes [start, end) of a file, all of it where end is None."""
 
+    def __init__(self, uri: str | None, start: int = 0, end: int | None = None):
+        self.value, self.start, self.end = uri, start, end
 
-def _read(uri: str, framed: bool, schema: T.StructType) -> Iterator[tuple]:
+
+SPLIT_BYTES = 64 << 20
+
+
+def _size_by_head(head: bytes, framed: bool) -> int | None:
+    """Bytes of the value or frame that begins with ``head``; None if its head does not say."""
+    if framed:
+        return 4 + int.from_bytes(head[:4], "big") if len(head) >= 4 else None
+    m = head[0]
+    for first, wide, more in ((0xC4, 1, 0), (0xC7, 1, 1), (0xD9, 1, 0)):  # binaries, extensions (with a type byte), texts
+        k = m - first
+        if 0 <= k < 3:
+            wide <<= k
+            return 1 + wide + more + int.from_bytes(head[1 : 1 + wide], "big") if len(head) > wide else None
+    return None
+
+
+def split_file(uri: str, framed: bool, limit: int = SPLIT_BYTES) -> list[_Part]:
+    """Parts of about ``limit`` bytes that begin and end between values; what no head measures stays in one part."""
+    fs, path = _fs(uri)
+    total = fs.get_file_info(path).size
+    if total <= limit:
+        return [_Part(uri)]
+    parts, start, at = [], 0, 0
+    with fs.open_input_file(path) as f:
+        while at < total:
+            f.seek(at)
+            size = _size_by_head(f.read(6), framed)
+            if size is None or at + size > total:
+                break
+            at += size
+            if at - start >= limit:
+                parts.append(_Part(uri, start, at))
+                start = at
+    if start < total:
+        parts.append(_Part(uri, start, total))
+    return parts
+
+
+def _read(part: _Part, framed: bool, schema: T.StructType) -> Iterator[tuple]:
     names = {f.name for f in schema}
-    for row in rows_of(values_of(read_bytes(uri), framed, names)):
+    fs, path = _fs(part.value)
+    with fs.open_input_file(path) as f:
+        f.seek(part.start)
+        data = f.read() if part.end is None else f.read(part.end - part.start)
+    for row in rows_of(values_of(data, framed, names)):
         yield tuple(to_spark(row.get(f.name), f.dataType) for f in schema)
 
 
@@ -131,11 +178,12 @@ class _Reader(DataSourceReader):
         self.schema, self.options = schema, options
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(f) for f in list_files(self.options["path"])] or [_Part(None)]
+        framed, limit = self.options.get("framed", "false") == "true", int(self.options.get("split_bytes", SPLIT_BYTES))
+        return [p for f in list_files(self.options["path"]) for p in split_file(f, framed, limit)] or [_Part(None)]
 
     def read(self, partition) -> Iterator[tuple]:
         if partition.value is not None:
-            yield from _read(partition.value, self.options.get("framed", "false") == "true", self.schema)
+            yield from _read(partition, self.options.get("framed", "false") == "true", self.schema)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -160,7 +208,7 @@ class _StreamReader(DataSourceStreamReader):
         return [_Part(f) for f in self._files()[start["files"] : end["files"]]]
 
     def read(self, partition) -> Iterator[tuple]:
-        yield from _read(partition.value, self.options.get("framed", "false") == "true", self.schema)
+        yield from _read(partition, self.options.get("framed", "false") == "true", self.schema)
 
     def commit(self, end: dict) -> None:
         pass

@@ -14,6 +14,8 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+
 # Fixed values of the format.
 MAGIC = b"\x42\x54\x4f\x4e"
 EXT_TIMESTAMP, EXT_DATE, EXT_DATETIME, EXT_BIGINT, EXT_FLOATS, EXT_DOUBLES, EXT_TABLE = -1, -2, -3, -4, -5, -6, -10
@@ -173,13 +175,103 @@ class Encoder:
             head += struct.pack(">I", len(raw)) + raw
         head += bytes(COLUMN_CODES.get(type(rows[0][n]), 0) for n in names)
         for n in names:
-            cells = Encoder(self.tabular)
-            for r in rows:
-                cells.put(r[n])
-            head += struct.pack(">I", len(cells.out)) + cells.out
+            column = [r[n] for r in rows]
+            cells = column_bytes(column)
+            if cells is None:
+                one = Encoder(self.tabular)
+                for x in column:
+                    one.put(x)
+                cells = one.out
+            head += struct.pack(">I", len(cells)) + cells
         self._ext(EXT_TABLE, bytes(head))
 
 
+# Marks and sizes of integers, and the range that each is the shortest form for.
+_INTS = [("u1", 0xCC, 128, 1 << 8), ("u2", 0xCD, 1 << 8, 1 << 16), ("u4", 0xCE, 1 << 16, 1 << 32), ("u8", 0xCF, 1 << 32, 1 << 63), ("i1", 0xD0, -128, -32), ("i2", 0xD1, -(1 << 15), -128), ("i4", 0xD2, -(1 << 31), -(1 << 15)), ("i8", 0xD3, -(1 << 63), -(1 << 31))]
+
+
+def column_bytes(column: list) -> bytes | None:
+    """The cells of a column of one plain type, encoded together; None for any other column."""
+    kinds = set(map(type, column))
+    if len(kinds) != 1:
+        return None
+    kind = kinds.pop()
+    if kind is float:
+        out = np.empty(len(column), [("mark", "u1"), ("v", ">f8")])
+        out["mark"], out["v"] = 0xCB, column
+        return out.tobytes()
+    if kind is bool:
+        return bytes(0xC3 if x else 0xC2 for x in column)
+    if kind is str:
+        raws = [x.encode("utf-8", "surrogatepass") for x in column]
+        return b"".join([_string_head(len(x)) + x for x in raws])
+    if kind is int and -(1 << 63) <= min(column) and max(column) < 1 << 63:
+        v = np.array(column, np.int64)
+        size = np.ones(len(v), np.int64)
+        found = []
+        for code, mark, low, high in _INTS:
+            hit = np.flatnonzero((v >= low) & (v <= high - 1))
+            if len(hit):
+                size[hit] = 1 + int(code[1])
+                found.append((code, mark, hit))
+        at = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), np.uint8)
+        out[at] = v & 0xFF  # right where the value is its own byte; the others are written now
+        for code, mark, hit in found:
+            out[at[hit]] = mark
+            cells = v[hit].astype(">" + code).view(np.uint8).reshape(len(hit), -1)
+            for b in range(cells.shape[1]):
+                out[at[hit] + 1 + b] = cells[:, b]
+        return out.tobytes()
+    return None
+
+
+def _string_head(n: int) -> bytes:
+    if n < 32:
+        return bytes([0xA0 | n])
+    if n < 1 << 8:
+        return bytes([0xD9, n])
+    return struct.pack(">BH", 0xDA, n) if n < 1 << 16 else struct.pack(">BI", 0xDB, n)
+
+
+def column_values(cells: memoryview, n: int) -> list | None:
+    """The ``n`` values of a column whose cells are all of one form or all strings; None for any other column."""
+    if not n:
+        return None
+    mark = cells[0] if len(cells) else 0xC1
+    raw = np.frombuffer(cells, np.uint8)
+    code = {0xCB: ">f8", 0xCC: ">u1", 0xCD: ">u2", 0xCE: ">u4", 0xCF: ">u8", 0xD0: ">i1", 0xD1: ">i2", 0xD2: ">i4", 0xD3: ">i8"}.get(mark)
+    if code:
+        width = 1 + int(code[2])
+        if len(raw) != n * width or (raw[::width] != mark).any():
+            return None
+        return np.frombuffer(cells, [("mark", "u1"), ("v", code)])["v"].tolist()
+    if len(raw) == n and ((raw < 0x80) | (raw >= 0xE0)).all():
+        return raw.view(np.int8).tolist()
+    if len(raw) == n and ((raw == 0xC2) | (raw == 0xC3)).all():
+        return (raw == 0xC3).tolist()
+    if 0xA0 <= mark < 0xC0 or 0xD9 <= mark <= 0xDB:
+        data, out, at = bytes(cells), [], 0
+        try:
+            for _ in range(n):
+                m = data[at]
+                at += 1
+                if 0xA0 <= m < 0xC0:
+                    size = m & 31
+                elif 0xD9 <= m <= 0xDB:
+                    wide = 1 << (m - 0xD9)
+                    size = int.from_bytes(data[at : at + wide], "big")
+                    at += wide
+                else:
+                    return None
+                out.append(data[at : at + size].decode())
+                at += size
+        except (IndexError, UnicodeDecodeError):
+            return None
+        return out if at == len(data) else None
+    return None
+
+
 class Decoder:
     """Reads values from a buffer; ``columns`` limits what tables are decoded to (others are skipped unread)."""
 
@@ -285,17 +377,20 @@ class Decoder:
         d._take(n_cols)
         if n_cols and n_rows > len(data):
             raise WireError("more rows than bytes")
-        rows: list[dict] = [{} for _ in range(n_rows)]
+        wanted, columns = [], []
         for name in names:
             cell = d._take(d._unpack("I"))
             if self.columns is not None and name not in self.columns:
                 continue
-            c = Decoder(cell, None)
-            for r in rows:
-                r[name] = c.get()
-            if c.at != len(cell):
-                raise WireError("column size differs")
-        return rows
+            values = column_values(cell, n_rows)
+            if values is None:
+                c = Decoder(cell, None)
+                values = [c.get() for _ in range(n_rows)]
+                if c.at != len(cell):
+                    raise WireError("column size differs")
+            wanted.append(name)
+            columns.append(values)
+        return [dict(zip(wanted, row)) for row in zip(*columns)] if columns else [{} for _ in range(n_rows)]
 
 
 def encode(v, *, tabular: bool = True, compress: str | None = None, level: int | None = None, least: int = 256) -> bytes:

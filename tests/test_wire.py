@@ -87,6 +87,38 @@ def test_frames_and_varints():
         assert wire.read_varint(wire.write_varint(n)) == (n, len(wire.write_varint(n)))
 
 
+columns = st.sampled_from(
+    [st.integers(-(2**63), 2**63 - 1), st.integers(0, 300), st.integers(-40, 127), st.integers(2**31, 2**33), st.floats(allow_nan=False), st.booleans(), st.text(), st.text(max_size=300), st.none() | st.integers(), st.integers(0, 2**70)]
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_columns_are_encoded_like_their_cells(data):
+    cells = data.draw(st.lists(data.draw(columns), min_size=2, max_size=40))
+    one = wire.Encoder()
+    for x in cells:
+        one.put(x)
+    whole = wire.column_bytes(cells)
+    assert whole is None or whole == bytes(one.out)
+    back = wire.column_values(memoryview(bytes(one.out)), len(cells))
+    assert back is None or (back == cells and list(map(type, back)) == list(map(type, cells)))
+    assert wire.decode(wire.encode([{"c": x} for x in cells])) == [{"c": x} for x in cells]
+
+
+@pytest.mark.parametrize("framed", ["true", "false"])
+def test_large_files_are_split(spark, tmp_path, framed):
+    datasource.register(spark)
+    path = str(tmp_path / "big")
+    df = spark.range(20_000).selectExpr("id", "concat('row ', id) as name").coalesce(1)
+    df.write.format("sparkseries").option("framed", framed).option("rows_per_value", "500").mode("append").save(path)
+    back = spark.read.format("sparkseries").schema("id long, name string").option("framed", framed).option("split_bytes", "20000").load(path)
+    assert back.rdd.getNumPartitions() > 5
+    assert sorted(r.id for r in back.collect()) == list(range(20_000))
+    whole = spark.read.format("sparkseries").schema("id long, name string").option("framed", framed).load(path)
+    assert whole.rdd.getNumPartitions() == 1 and whole.count() == 20_000
+
+
 def test_choice_of_compression():
     assert compression.select_best_algorithm(b"a" * 100) == "NONE" and compression.select_best_algorithm(b"a" * 1000) == "ZSTD"
     assert compression.numeric_level("ZSTD", "MAXIMUM") == 19 and compression.numeric_level("ZLIB", "FAST") == 3
