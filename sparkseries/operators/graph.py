@@ -19,6 +19,8 @@ from .components import connected_components as _components
 
 #: Nodes at most for operators that hold a whole graph in one task or all its pairs.
 SMALL = 5_000
+#: Arcs at most for those that come to one place.
+SMALL_ARCS = 1_000_000
 
 
 class Graph:
@@ -330,9 +332,9 @@ class Graph:
         spark = self.nodes.sparkSession
         ship_package(spark)
         adjacency: dict = {}
-        for r in self.arcs().select("src", "dst").distinct().collect():
+        for r in self._small_arcs("betweenness").collect():
             adjacency.setdefault(r["src"], []).append(r["dst"])
-        shared = spark.sparkContext.broadcast(adjacency)  # no more than SMALL nodes, as checked
+        shared = spark.sparkContext.broadcast(adjacency)  # no more than SMALL nodes and SMALL_ARCS arcs, as checked
         kind = dict(self.nodes.dtypes)["id"]
         half = 1.0 if self.directed else 0.5
 
@@ -368,10 +370,17 @@ class Graph:
             raise ValueError(f"{what}: {n} nodes, {SMALL} at most")
         return n
 
+    def _small_arcs(self, what: str) -> DataFrame:
+        arcs = cut(self.arcs().select("src", "dst").distinct())
+        m = arcs.count()
+        if m > SMALL_ARCS:
+            raise ValueError(f"{what}: {m} arcs, {SMALL_ARCS} at most")
+        return arcs
+
     def _local(self) -> tuple[list, dict]:
         ids = sorted(r["id"] for r in self.nodes.select("id").collect())
         adjacency: dict = {i: [] for i in ids}
-        for r in self.arcs().select("src", "dst").distinct().collect():
+        for r in self._small_arcs("a whole graph").collect():
             adjacency[r["src"]].append(r["dst"])
         return ids, {k: sorted(v) for k, v in adjacency.items()}
 

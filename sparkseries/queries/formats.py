@@ -118,15 +118,18 @@ def _stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-def _complete(df, mode: str):
-    """Run a stream over all there is and read what it wrote."""
+def _complete(df, mode: str, before=(None,)):
+    """Run a stream over all there is and read what it wrote; once after each function of ``before``, going on from its state."""
     spark = df.sparkSession
-    path = scratch_path(spark, "stream")
+    path, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
 
     def keep(batch, k):
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
 
-    df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    for arrive in before:
+        if arrive:
+            arrive()
+        df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path)
 
 
@@ -136,6 +139,18 @@ def stream_tumbling(spark, sf):
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("n"))
 
 
+@query("SELECT event_type, count(DISTINCT w) AS windows, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND ts < time_bucket(INTERVAL 1 HOUR, (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)) GROUP BY 1")
+def stream_late_rows(spark, sf):
+    """The second half of the month arrives first; the first half is late then and is dropped, and windows that the
+    watermark has not passed are not given out."""
+    path, e = scratch_path(spark, "late"), table(spark, sf, "events")
+    e.limit(0).write.parquet(path)  # the folder must be there
+    halves = [lambda h=h: e.filter(h).write.mode("append").parquet(path) for h in ("ts >= '2024-01-15'", "ts < '2024-01-15'")]
+    source = spark.readStream.schema(e.schema).parquet(path)
+    out = _complete(stateful.tumbling(source, "ts", "1 hour", ("event_type",), F.count(F.lit(1)).alias("n")), "append", halves)
+    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("n"))
+
+
 @query(
     """WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
     SELECT user_id, sum(new)::BIGINT AS sessions, count(*) AS n FROM g GROUP BY user_id"""

@@ -129,3 +129,90 @@ def graphql_execute(spark, sf):
     q = "query($s: String) { customers(segment: $s) { id account { owner: name } orders(first: 1) { key } } }"
     out = export.execute(q, {"customers": nested_customers(spark, sf)}, {"s": "BUILDING"})["customers"]
     return out.select("id", F.col("account.owner").alias("owner"), F.try_element_at("orders", F.lit(1))["key"].alias("first_key"))
+
+
+# -- schemas of the tables themselves, against what DuckDB says of their columns -----------------------
+
+_TABLES = ("customer", "orders", "lineitem", "events", "documents", "embeddings")
+_COLUMNS = " UNION ALL ".join(f"SELECT '{t}' AS tbl, column_name AS name, column_type AS kind FROM (DESCRIBE SELECT * FROM {t})" for t in _TABLES)
+
+
+def _kinds(string: str, int_: str, float_: str, array: str, other: str) -> str:
+    return f"CASE WHEN kind = 'VARCHAR' THEN '{string}' WHEN kind IN ('BIGINT', 'INTEGER') THEN '{int_}' WHEN kind IN ('DOUBLE', 'FLOAT') THEN '{float_}' WHEN kind LIKE '%[%' THEN '{array}' ELSE '{other}' END"
+
+
+def table_schemas(spark, sf) -> dict[str, Schema]:
+    return {t: Schema.from_spark(t, table(spark, sf, t).schema) for t in _TABLES}
+
+
+@query(f"SELECT tbl, name, {_kinds('string', 'int', 'float', 'array', 'any')} AS type, false AS required FROM ({_COLUMNS})")
+def schema_serialise(spark, sf):
+    """Written as JSON, read back, registered, and looked up again."""
+    reg = SchemaRegistry()
+    for s in table_schemas(spark, sf).values():
+        reg.register(Schema.from_json(s.to_json()))
+    rows = [(t, f.name, f.type, f.required) for t in _TABLES for f in reg.get(t).fields]
+    return spark.createDataFrame(rows, "tbl string, name string, type string, required boolean")
+
+
+@query(f"SELECT tbl, name, {_kinds('string', 'integer', 'number', 'array', 'none')} AS type, {_kinds('string', 'int', 'float', 'array', 'any')} AS back FROM ({_COLUMNS})")
+def schema_json_schema_export(spark, sf):
+    """As JSON Schema, and back."""
+    rows = []
+    for t, s in table_schemas(spark, sf).items():
+        made = export.to_json_schema(s)
+        back = export.from_json_schema(made)
+        rows += [(t, k, p.get("type", "none"), back[k].type) for k, p in made["properties"].items()]
+    return spark.createDataFrame(rows, "tbl string, name string, type string, back string")
+
+
+@query(f"SELECT tbl, '  ' || name || ': ' || {_kinds('String', 'Int', 'Float', '[JSON]', 'JSON')} AS line FROM ({_COLUMNS})")
+def schema_graphql_export(spark, sf):
+    rows = [(t, line) for t, s in table_schemas(spark, sf).items() for line in export.to_graphql(s).splitlines() if line.startswith("  ")]
+    return spark.createDataFrame(rows, "tbl string, line string")
+
+
+_CODE = {"typescript": ("'  ' || name || '?: ' || ", ("string", "number", "number", "unknown[]", "unknown"), "';'"), "python": ("'    ' || name || ': ' || ", ("str", "int", "float", "list", "object"), "' | None = None'"), "cpp": ("'  std::optional<' || ", ("std::string", "int64_t", "double", "std::vector<Value>", "Value"), "'> ' || name || ';'")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{lang}' AS language, tbl, {head}{_kinds(*kinds)} || {tail} AS line FROM ({_COLUMNS})" for lang, (head, kinds, tail) in _CODE.items()))
+def schema_generate_code(spark, sf):
+    rows = [(lang, t, line) for lang in _CODE for t, s in table_schemas(spark, sf).items() for line in export.generate(s, lang).splitlines() if line.startswith("  ")]
+    return spark.createDataFrame(rows, "language string, tbl string, line string")
+
+
+@query(
+    f"""WITH c AS ({_COLUMNS}), k AS (SELECT tbl, count(*) AS n FROM c GROUP BY tbl)
+    SELECT c.tbl, c.name AS dropped, strategy, CASE strategy WHEN 'FLEXIBLE' THEN true WHEN 'STRICT' THEN false ELSE c.name = f.name END AS compatible
+    FROM c JOIN (SELECT tbl, min(name) AS name FROM c GROUP BY tbl) f USING (tbl), (SELECT unnest(['STRICT', 'ADDITIVE', 'BACKWARD_COMPATIBLE', 'FLEXIBLE']) AS strategy)"""
+)
+def schema_compatibility(spark, sf):
+    """Every table without one of its columns, read under a schema that requires all but the first by name."""
+    rows = []
+    for t, s in table_schemas(spark, sf).items():
+        first = min(f.name for f in s.fields)
+        for strategy in ("STRICT", "ADDITIVE", "BACKWARD_COMPATIBLE", "FLEXIBLE"):
+            new = Schema(t, Version(2), tuple(Field(f.name, f.type, f.name != first) for f in s.fields), strategy=strategy)
+            rows += [(t, f.name, strategy, new.is_compatible_with(s.without_field(f.name))) for f in s.fields]
+    return spark.createDataFrame(rows, "tbl string, dropped string, strategy string, compatible boolean")
+
+
+@query(
+    """SELECT event_id, event_id % 2 = 0 AS is_date_time, event_id % 300 <= 255 AS is_ipv4, event_id % 3 = 0 AS is_email, event_id % 5 <> 0 AS is_uuid, event_id % 7 <> 0 AS is_date, event_id % 4 <> 0 AS is_pointer, event_id % 6 <> 0 AS is_ipv6 FROM events"""
+)
+def json_schema_formats(spark, sf):
+    """Texts that are of a format by a rule on the id, judged by JSON Schemas."""
+    e, k = table(spark, sf, "events"), F.col("event_id")
+    n = k.cast("string")
+    digest = F.md5(n)
+    texts = {
+        "date-time": F.when(k % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format("ts", "yyyy-MM-dd HH.mm")),
+        "ipv4": F.concat((k % 300).cast("string"), F.lit(".0.0.1")),
+        "email": F.concat(F.lit("u"), n, F.when(k % 3 == 0, F.lit("@example.org")).otherwise(F.lit("@example"))),
+        "uuid": F.concat_ws("-", digest.substr(1, 8), digest.substr(9, 4), digest.substr(13, 4), digest.substr(17, 4), F.when(k % 5 != 0, digest.substr(21, 12)).otherwise(digest.substr(21, 11))),
+        "date": F.when(k % 7 != 0, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "yyyy-MM")),
+        "json-pointer": F.concat(F.when(k % 4 != 0, F.lit("/")).otherwise(F.lit("~")), n),
+        "ipv6": F.concat(F.lit("2001:db8::"), F.hex(k % 65536), F.when(k % 6 != 0, F.lit("")).otherwise(F.lit("::1"))),
+    }
+    judged = [validate.json_schema_holds(F.parse_json(F.to_json(F.struct(t.alias("x")))), {"properties": {"x": {"type": "string", "format": f}}}).alias(f"is_{f.replace('-', '_').replace('json_', '')}") for f, t in texts.items()]
+    return e.select("event_id", *judged)

@@ -18,6 +18,7 @@ class InferenceOptions:
     required_threshold: float = 0.95
     max_enum_values: int = 10
     merge_numeric_types: bool = True
+    max_fields: int = 10_000
 
 
 def field_facts(df: DataFrame, column: str, options: InferenceOptions = InferenceOptions()) -> DataFrame:
@@ -52,9 +53,12 @@ def merged_type(types: list[str], options: InferenceOptions = InferenceOptions()
 
 
 def infer(df: DataFrame, column: str, name: str = "InferredSchema", options: InferenceOptions = InferenceOptions()) -> Schema:
-    """A schema from the facts; one row per field comes to the driver."""
+    """A schema from the facts; one row per field comes to the driver, ``options.max_fields`` at most."""
     fields = []
-    for r in field_facts(df, column, options).orderBy("field").collect():
+    facts = field_facts(df, column, options).orderBy("field").limit(options.max_fields + 1).collect()
+    if len(facts) > options.max_fields:
+        raise ValueError(f"more than {options.max_fields} fields: keys of these records are data, not names")
+    for r in facts:
         c: dict = {}
         type_ = merged_type(list(r["types"]), options)
         if options.infer_constraints:
