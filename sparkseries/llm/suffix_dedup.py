@@ -364,13 +364,12 @@ def _repeated(contexts: DataFrame, widths: tuple[int, ...], length: int) -> Data
     if big.isEmpty():
         return found
     dealt = stored(big.mapInArrow(_deal(widths[0], length), "owner binary, i0 int, n int, key long, sub binary, body binary, p int, w int"), "runs")
-    subs = stored(dealt.groupBy("key", "sub").agg(F.sum("w").alias("w"), F.first("n").alias("n")), "subs")
+    # Equal runs become one before they are shuffled, however many texts hold them.
+    subs = stored(dealt.groupBy("key", "sub").agg(F.sum("w").alias("w"), *[F.first(c).alias(c) for c in ("n", "body", "p")]), "subs")
     inner = subs.filter("w > 1").select("sub", F.lit(0).alias("i0"), "n", F.lit(None).cast("binary").alias("mask"))
     if len(widths) > 1:
-        crowds = subs.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") + (length - 1)).alias("size")).filter("k > 1")
-        wanted = subs.join(crowds, "key").select("key", "sub", F.least("w", F.lit(2)).cast("int").alias("w"), (F.col("size") > GROUP).alias("big"))
-        rows = dealt.select("key", "sub", "body", "p").join(wanted, ["key", "sub"])
-        rows = rows.groupBy("key", "sub").agg(*[F.first(c).alias(c) for c in ("body", "p", "w", "big")])
+        crowds = stored(subs.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") + (length - 1)).alias("size")).filter("k > 1"), "crowds")
+        rows = subs.join(crowds, "key").select("key", "sub", "body", "p", F.least("w", F.lit(2)).cast("int").alias("w"), (F.col("size") > GROUP).alias("big"))
         inner = inner.unionByName(_repeated(stored(rows, "cuts"), widths[1:], length))
     inner = inner.select(F.col("sub").alias("s2"), F.col("i0").alias("i2"), F.col("n").alias("n2"), "mask")
     lifted = dealt.join(inner, F.col("sub") == F.col("s2")).select(F.col("owner").alias("sub"), (F.col("i0") + F.col("i2")).alias("i0"), F.col("n2").alias("n"), "mask")
