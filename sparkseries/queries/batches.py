@@ -179,6 +179,21 @@ def timestamp_parts(spark, sf):
     return df.select("event_id", parts["seconds"].alias("seconds"), parts["nanos"].cast("long").alias("nanos"), scalars.to_millis(F.col("t")).alias("millis"))
 
 
+@query("SELECT event_id, event_id BETWEEN -128 AND 127 AS is_byte, event_id * 1000 BETWEEN -2147483648 AND 2147483647 AS is_int, event_id % 3 <> 0 AS is_float, event_id * 1000000 BETWEEN 0 AND 4102444800 AS is_time FROM events")
+def type_validate(spark, sf):
+    k = F.col("event_id")
+    odd = F.when(k % 6 == 0, F.lit(float("nan"))).when(k % 3 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    return table(spark, sf, "events").select("event_id", scalars.valid_int(k, 8).alias("is_byte"), scalars.valid_int(k * 1000, 32).alias("is_int"), scalars.valid_float(odd).alias("is_float"), scalars.valid_timestamp(k * 1_000_000).alias("is_time"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE text || chr(65533) || 'x' END AS clean, doc_id % 2 = 0 AS is_utf8 FROM documents")
+def utf8_sanitize(spark, sf):
+    """Every other text with a byte that is no UTF-8 behind it."""
+    t = F.col("text").cast("binary")
+    data = F.when(F.col("doc_id") % 2 == 0, t).otherwise(F.concat(t, F.unhex(F.lit("FF")), F.lit("x").cast("binary")))
+    return table(spark, sf, "documents").select("doc_id", scalars.sanitize_utf8(data).alias("clean"), scalars.valid_utf8(data).alias("is_utf8"))
+
+
 @query("SELECT doc_id, length(text) AS n_chars2, octet_length(encode(text)) AS n_bytes, regexp_matches(text, '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+') AS has_ip, true AS is_utf8 FROM documents")
 def text_validate(spark, sf):
     t = F.col("text")

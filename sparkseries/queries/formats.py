@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query, table
-from ..plans.scratch import scratch_path
-from ..sources import compression, datasource, formats
-from ..functions import security
+from ..functions import security, values
+from ..plans.scratch import scratch_path, ship_package
+from ..sources import compression, datasource, formats, wire
 from ..streaming import stateful
 
 
@@ -78,6 +77,92 @@ def compress_all_codecs(spark, sf):
     return out
 
 
+_DISTINCT = "len(list_distinct(list_transform(range(0, least(size, 1024)), lambda i: h[2 * i + 1:2 * i + 2])))"
+_HEADS = "(SELECT doc_id, octet_length(encode(text)) AS size, hex(encode(text)[1:1024]) AS h FROM documents)"
+_BEST = f"CASE WHEN size < 65536 AND (size < 256 OR {_DISTINCT} >= 128) THEN 'LZ4' ELSE 'ZSTD' END"
+
+
+@query(
+    f"""SELECT doc_id, 'realtime' AS profile, CASE WHEN size < 128 THEN 'NONE' ELSE 'LZ4' END AS algorithm, true AS same FROM {_HEADS}
+    UNION ALL SELECT doc_id, 'streaming', CASE WHEN size < 512 THEN 'NONE' ELSE 'LZ4' END, true FROM {_HEADS}
+    UNION ALL SELECT doc_id, 'storage', CASE WHEN size < 64 THEN 'NONE' ELSE 'BROTLI' END, true FROM {_HEADS}
+    UNION ALL SELECT doc_id, 'network', CASE WHEN size < 256 THEN 'NONE' ELSE {_BEST} END, true FROM {_HEADS}"""
+)
+def compress_profiles(spark, sf):
+    """Every text through every profile and back."""
+    df = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
+    out = None
+    for name in compression.PROFILES:
+        packed = compression.compress_by_profile(df, "data", name)
+        back = compression.decompress_by_name(packed, "packed", "algorithm", "back").select("doc_id", F.lit(name).alias("profile"), "algorithm", (F.col("back") == F.col("data")).alias("same"))
+        out = back if out is None else out.union(back)
+    return out
+
+
+@query(f"SELECT doc_id, CASE WHEN size < 64 THEN 1.0 ELSE round(CASE WHEN size < 128 THEN 1.0 WHEN a = 'LZ4' THEN 0.7 + 0.25 * d / 256 ELSE 0.45 + 0.45 * d / 256 END, 10) END::DOUBLE AS ratio FROM (SELECT *, {_DISTINCT} AS d, {_BEST} AS a FROM {_HEADS})")
+def compress_estimate(spark, sf):
+    df = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
+    return compression.profile_column(df, "data").select("doc_id", F.round("estimated_ratio", 10).alias("ratio"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, md5(props) AS digest, event_id * 1.5 AS twice, event_type FROM events")
+def wire_typed_roundtrip(spark, sf):
+    """Timestamps, dates, binaries, lists and maps as typed extensions, encoded by row and read back."""
+    k = F.col("event_id")
+    made = table(spark, sf, "events").select("event_id", F.col("ts"), F.to_date("ts").alias("day"), F.unhex(F.md5("props")).alias("raw"), F.array(k * 0.5, k * 1.0).alias("parts"), F.create_map(F.lit("kind"), "event_type").alias("tags"))
+    back = formats.decode_rows(formats.encode_rows(made), "data", "event_id long, ts timestamp_ntz, day date, raw binary, parts array<double>, tags map<string,string>").filter("error is null")
+    return back.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.col("day").cast("string").alias("day"), F.lower(F.hex("raw")).alias("digest"), (F.col("parts")[0] + F.col("parts")[1]).alias("twice"), F.col("tags")["kind"].alias("event_type"))
+
+
+@query("SELECT event_id, CASE WHEN event_id < 128 THEN 1 WHEN event_id < 16384 THEN 2 ELSE 3 END::BIGINT AS bytes, event_id AS back FROM events")
+def wire_varint(spark, sf):
+    def run(frames):
+        for f in frames:
+            packed = [wire.write_varint(int(x)) for x in f["event_id"]]
+            yield f.assign(bytes=[len(p) for p in packed], back=[wire.read_varint(p)[0] for p in packed])
+
+    ship_package(spark)
+    return table(spark, sf, "events").select("event_id").mapInPandas(run, "event_id long, bytes long, back long")
+
+
+@query("SELECT event_id, event_id % 2000 <= 1000 AS ok FROM events")
+def wire_zip_bombs(spark, sf):
+    """Compression headers that claim 0 to 1,999 bytes for one: above a thousandfold they are bombs; the rest is torn."""
+    head = F.concat(F.lit(wire.MAGIC), F.unhex(F.lit("01000000" + "00000001")), F.unhex(F.lpad(F.hex(F.col("event_id") % 2000), 8, "0")), F.lit(b"x"))
+    checked = security.validate_column(table(spark, sf, "events").select("event_id", head.alias("data")), "data")
+    return checked.select("event_id", (~F.array_contains("check.errors", "zip bomb")).alias("ok"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'json' WHEN 1 THEN 'csv' WHEN 2 THEN 'yaml' WHEN 3 THEN 'msgpack' WHEN 4 THEN 'xml' END AS format FROM nation")
+def format_detect(spark, sf):
+    endings = ["json", "tsv", "yml", "mp", "xml", "unknown"]
+    rows = [(r[0], formats.detect_format(f"{r[1]}.{endings[r[0] % 6]}")) for r in table(spark, sf, "nation").select("n_nationkey", "n_name").collect()]
+    return spark.createDataFrame(rows, "n_nationkey int, format string")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def convert_json_files(spark, sf):
+    """Files of one JSON array each, converted to the binary format file by file, and read."""
+    source, made = scratch_path(spark, "json-files"), scratch_path(spark, "wire-files")
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    lists = n.groupBy("n_regionkey").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("value"))
+    for k in range(5):  # one file per region
+        lists.filter(F.col("n_regionkey") == k).select("value").coalesce(1).write.text(f"{source}/region{k}")
+    done = formats.convert_folder(spark, source, "wire")
+    done = done.filter("error is null").select("output")
+    done.write.parquet(made)
+    return formats.decode_rows(spark.read.parquet(made), "output", "n_nationkey int, n_name string").filter("error is null").drop("error")
+
+
+@query("SELECT event_id, 'map' AS kind, 'int' AS inner_kind, event_id % 2 = 0 AS same, 3 + CASE WHEN k < 128 THEN 1 ELSE 2 END::BIGINT AS size FROM (SELECT *, (props::JSON->>'k')::BIGINT AS k FROM events)")
+def value_facts(spark, sf):
+    """Kind, typed equality and encoded size of dynamic values."""
+    v, k = F.parse_json("props"), F.col("event_id")
+    other = F.parse_json(F.when(k % 2 == 0, F.col("props")).otherwise(F.lit('{"k": "text"}')))
+    df = values.size_of(table(spark, sf, "events"), "props", "size")
+    return df.select("event_id", values.type_of(v).alias("kind"), values.type_of(F.variant_get(v, "$.k", "variant")).alias("inner_kind"), values.equals(v, other).alias("same"), F.col("size"))
+
+
 @query("SELECT s_suppkey, s_suppkey % 3 = 0 AS valid FROM supplier")
 def wire_validate(spark, sf):
     """A third of the rows whole, a third cut short, a third with a byte that begins no value."""

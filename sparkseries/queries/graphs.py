@@ -262,11 +262,36 @@ def graph_prim_mst(spark, sf):
     return full(spark, sf).prim_mst(0)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SPARSE}, adj AS (SELECT src, list(dst ORDER BY dst DESC) AS ds FROM (SELECT DISTINCT src, dst FROM sparse) GROUP BY src),
+    r AS (SELECT [{{'n': 0::BIGINT, 'p': NULL::BIGINT}}] AS stack, []::BIGINT[] AS seen, NULL::BIGINT AS node, NULL::BIGINT AS parent, -1::BIGINT AS position
+      UNION ALL SELECT CASE WHEN known THEN rest ELSE list_concat(rest, list_transform(list_filter(coalesce(ds, []), lambda x: NOT list_contains(seen, x) AND x <> top.n), lambda x: {{'n': x, 'p': top.n}})) END,
+        CASE WHEN known THEN seen ELSE list_append(seen, top.n) END, CASE WHEN known THEN NULL ELSE top.n END, top.p, CASE WHEN known THEN position ELSE position + 1 END
+      FROM (SELECT *, list_contains(seen, top.n) AS known FROM (SELECT *, stack[len(stack)] AS top, stack[1:len(stack) - 1] AS rest FROM r WHERE len(stack) > 0) LEFT JOIN adj ON adj.src = top.n))
+    SELECT node AS id, parent, position FROM r WHERE node IS NOT NULL"""
+)
 def graph_dfs(spark, sf):
     return sparse(spark, sf).dfs(0)
 
 
+@query(f"WITH {_SPARSE}, {_NODES} SELECT id, 0::BIGINT AS n_out, true AS known FROM (SELECT unnest([100, 101]) AS id) UNION ALL SELECT id, (SELECT count(*) FROM sparse WHERE src = id) + CASE WHEN id = 3 THEN 1 ELSE 0 END, true FROM nodes")
+def graph_add(spark, sf):
+    """Two new nodes (one listed twice, one known before) and an edge to one of them; an edge that is there stays one."""
+    s = sparse(spark, sf)
+    old = s.edges.filter("src = 0").select("src", "dst").limit(1)
+    new = s.add_nodes(spark.createDataFrame([(100,), (101,), (101,), (3,)], "id long")).add_edges(spark.createDataFrame([(3, 100, 2.0)], "src long, dst long, weight double")).add_edges(old)
+    known = F.lit(new.has_node(101) and new.has_edge(3, 100) and not new.has_edge(100, 3) and not new.has_node(102))
+    return new.degrees().select("id", F.col("out_degree").alias("n_out"), known.alias("known"))
+
+
+@query(f"WITH {_TRADE} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, count(*) AS n FROM trade WHERE src <> dst GROUP BY ALL")
+def graph_from_edge_list(spark, sf):
+    """A list of edges as a graph, read in both directions, each pair counted once."""
+    rows = [tuple(r) for r in trade(spark, sf).filter("src <> dst").collect()]  # 600 pairs of 25 nations
+    g_ = Graph.from_edge_list(spark, rows, directed=False)
+    return g_.edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {_SPARSE} SELECT src, dst, weight FROM sparse WHERE src <> 3 AND dst <> 3 AND NOT (src = 0 AND dst = (SELECT min(dst) FROM sparse WHERE src = 0))")
 def graph_edit(spark, sf):
     s = sparse(spark, sf)

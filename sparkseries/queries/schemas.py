@@ -106,6 +106,20 @@ def schema_registry_latest(spark, sf):
     return SchemaRegistry.latest(spark.createDataFrame(rows, "name string, version string, schema string")).select("name", "version")
 
 
+@query(f"SELECT id AS o_orderkey, CASE WHEN regexp_full_match(note, '[12]-[A-Z]+') OR note IS NULL THEN '' ELSE 'Constraint violation for field: note' END AS errors FROM {_RECORDS}")
+def schema_validate_pattern(spark, sf):
+    s = SchemaBuilder("order").strategy("FLEXIBLE").field("id", "int").optional_field("note", "string").constraint("note", pattern="[12]-[A-Z]+").build()
+    return validate.validate(order_records(spark, sf), "v", s, check_optional=True).select("o_orderkey", F.array_join("errors", ",").alias("errors"))
+
+
+@query(f"SELECT 'samples' AS fact, count(*) AS n FROM {_RECORDS} UNION ALL SELECT 'fields', 4 UNION ALL SELECT 'optional', 1 UNION ALL SELECT 'enums', 2")
+def schema_infer_statistics(spark, sf):
+    records = order_records(spark, sf)
+    facts = infer.statistics(infer.infer(records, "v"), infer.field_facts(records, "v"))
+    rows = [("samples", facts["samples_analyzed"]), ("fields", facts["fields_discovered"]), ("optional", facts["optional_fields"]), ("enums", facts["enum_fields"])]
+    return spark.createDataFrame(rows, "fact string, n long")
+
+
 @query("SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events")
 def variant_extract(spark, sf):
     v = F.parse_json("props")

@@ -61,8 +61,8 @@ def ts_query_range(spark, sf):
 
 @query("SELECT event_id, value FROM events WHERE ts = (SELECT max(ts) FROM events)")
 def ts_at_time(spark, sf):
-    last = events(spark, sf).agg(F.max("ts").alias("ts"))
-    return events(spark, sf).join(F.broadcast(last), "ts", "left_semi").select("event_id", "value")
+    s = by_user(spark, sf)
+    return s.at_time(s.df.agg(F.max("ts")).first()[0]).df.select("event_id", "value")
 
 
 @query("SELECT event_id, value FROM events WHERE event_type = 'purchase' AND user_id = 7")

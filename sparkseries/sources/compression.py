@@ -127,6 +127,38 @@ def decompress_column(df: DataFrame, column: str, algorithm: str = "ZSTD", out:
     return df.withColumn(out or column, _udf(df.sparkSession, lambda x: decompress_bytes(x, algorithm), "binary")(column))
 
 
+def compress_by_profile(df: DataFrame, column: str, profile: str) -> DataFrame:
+    """``df`` with ``packed`` and ``algorithm`` of a binary column: values below the profile's least size stay as they
+    are, adaptive profiles choose by the bytes, the others take their own codec."""
+    own, level, least, adaptive = PROFILES[profile.lower()]
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf("packed binary, algorithm string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in parts:
+            out = []
+            for x in s:
+                data = b"" if x is None else bytes(x)
+                name = "NONE" if len(data) < least else select_best_algorithm(data, own == "LZ4") if adaptive else own
+                out.append((None if x is None else compress_bytes(data, name, level if name == own else None), name))
+            yield pd.DataFrame(out, columns=["packed", "algorithm"])
+
+    both = df.withColumn("_packed", run(column))
+    return both.withColumns({"packed": F.col("_packed.packed"), "algorithm": F.col("_packed.algorithm")}).drop("_packed")
+
+
+def decompress_by_name(df: DataFrame, column: str, algorithm: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the bytes of ``column``, each by the algorithm named in its row."""
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf("binary")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for data, names in parts:
+            yield pd.Series([None if x is None else decompress_bytes(bytes(x), n) for x, n in zip(data, names)], dtype=object)
+
+    return df.withColumn(out, run(column, algorithm))
+
+
 def profile_column(df: DataFrame, column: str) -> DataFrame:
     """size, different bytes in the first 1024, chosen algorithm and estimated ratio of a binary column - no Python.
 

@@ -419,7 +419,10 @@ def unwrap(data: bytes) -> bytes:
     names = {v: k for k, v in ALGORITHMS.items()}
     if version != 1 or code not in names or len(data) < 16 + packed:
         raise WireError("bad compression header")
-    raw = decompress_bytes(data[16 : 16 + packed], names[code], size)
+    try:
+        raw = decompress_bytes(data[16 : 16 + packed], names[code], size)
+    except Exception as e:  # each codec has its own errors for torn or false bytes
+        raise WireError(f"cannot decompress: {e}") from None
     if len(raw) != size:
         raise WireError("decompressed size differs")
     return raw
