@@ -63,3 +63,20 @@ def test_odd_tables(spark):
     docs = spark.createDataFrame([(None, None, None), (1, "w " * 3, None), (1, "w " * 3, None)], "doc_id long, text string, lang string")
     assert [r.kept for r in quality.judge(docs, labels).collect()] == [False] * 3
     assert quality.keep_good(docs, labels).count() == 0
+
+
+def test_a_long_text(spark):
+    """A text of 60,000 words, half of it repeated, against the plain counts of its parts."""
+    import random
+
+    r = random.Random(2)
+    fresh = [f"w{i}" for i in range(40_000)]
+    text = " ".join(fresh) + "\n" + " ".join(fresh[:20_000]) + "\n" + "same line\n" * 3 + " ".join(r.choice("ab") for _ in range(3))
+    docs = spark.createDataFrame([(1, text, "en"), (2, "short one", "en")], "doc_id long, text string, lang string")
+    got = {x.id: x for x in quality.features(docs).collect()}
+    words = text.split()
+    windows = {}
+    for i in range(len(words) - 4):
+        windows.setdefault(tuple(words[i : i + 5]), []).append(i)
+    hit = {i + k for places in windows.values() if len(places) > 1 for i in places for k in range(5)}
+    assert (got[1].n_words, got[1].n_repeat_words, got[1].n_dup_lines) == (len(words), len(hit), 2)

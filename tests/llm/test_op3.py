@@ -78,3 +78,14 @@ def test_empty_tables_and_null_ids(spark):
     assert [tuple(x) for x in m.find_leaks(docs, bench).collect()] == [(None, 1, 3, 3, 1.0)]
     assert m.find_leaks(docs, bench.limit(0)).count() == 0
     assert [x.doc_id for x in m.drop_leaking(docs, bench).collect()] == [3]
+
+
+def test_a_short_item_in_a_long_text(spark):
+    r = random.Random(3)
+    item = " ".join(f"i{k}" for k in range(30))
+    words = [f"w{r.randrange(50_000)}" for _ in range(300_000)]
+    long = " ".join(words[:200_000] + item.split() + words[200_000:])
+    docs = spark.createDataFrame([(1, long), (2, " ".join(words)), (3, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted((x.doc_id, x.n_found) for x in m.find_leaks(docs, bench).collect()) == [(1, 26), (3, 26)]
+    assert [x.doc_id for x in m.drop_leaking(docs, bench).collect()] == [2]

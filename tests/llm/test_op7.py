@@ -118,3 +118,15 @@ def test_empty(spark):
     assert m.shard_by_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = m.shard_by_bytes(spark.createDataFrame([(7, "a")], "doc_id long, text string")).collect()
     assert [(x.shard, x.slot, x.law, x.grown_shard) for x in one] == [(0, 0, "bytes", None)]
+
+
+def test_a_text_larger_than_a_shard(spark):
+    """One text holds most of the bytes: it has a shard for itself and the others stay near equal."""
+    docs = spark.range(400).selectExpr("id as doc_id", "case when id = 7 then repeat('é', 500000) else concat('text ', id) end as text")
+    got = m.shard_by_bytes(docs).collect()
+    large = next(x for x in got if x.doc_id == 7)
+    assert large.size == 1_000_001 and large.text_crc32 == zlib.crc32(("é" * 500_000).encode())
+    load = {}
+    for x in got:
+        load[x.shard] = load.get(x.shard, 0) + x.size
+    assert max(load.values()) == m.smallest_capacity(np.array([x.size for x in sorted(got, key=lambda x: (x.shard, x.slot))]), 16)
