@@ -17,10 +17,11 @@ import decimal
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..plans.scratch import ship_package
 from . import wire
@@ -50,8 +51,8 @@ def read_bytes(uri: str) -> bytes:
         return f.read()
 
 
-def values_of(data: bytes, framed: bool, columns: set[str] | None) -> Iterator[object]:
-    yield from wire.read_frames(data, columns) if framed else wire.decode_all(data, columns)
+def values_of(data: bytes, framed: bool, columns: set[str] | None, tables: bool = False) -> Iterator[object]:
+    yield from wire.read_frames(data, columns, tables) if framed else wire.decode_all(data, columns, tables)
 
 
 def rows_of(values: Iterator[object]) -> Iterator[dict]:
@@ -163,12 +164,54 @@ def split_file(uri: str, framed: bool, limit: int = SPLIT_BYTES) -> list[_Part]:
     return parts
 
 
-def _read(part: _Part, framed: bool, schema: T.StructType) -> Iterator[tuple]:
+#: Types whose columns pass between Spark and the format as Arrow arrays.
+PLAIN = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.ShortType: pa.int16(), T.ByteType: pa.int8(), T.DoubleType: pa.float64(), T.FloatType: pa.float32(), T.StringType: pa.string(), T.BooleanType: pa.bool_(), T.BinaryType: pa.binary()}
+
+
+def is_plain(schema: T.StructType) -> bool:
+    return len(schema) > 0 and all(type(f.dataType) in PLAIN for f in schema)
+
+
+def _array(values: list, kind: T.DataType) -> pa.Array:
+    try:
+        return pa.array(values, PLAIN[type(kind)])
+    except (pa.ArrowInvalid, pa.ArrowTypeError, OverflowError):  # values of other types than the column's
+        return pa.array([to_spark(v, kind) for v in values], PLAIN[type(kind)])
+
+
+def _batches(values: Iterator[object], schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """Tables column by column; other values are gathered to tables first."""
+    names = [f.name for f in schema]
+    held: list[dict] = []
+
+    def gathered() -> wire.Table:
+        return wire.Table(names, [[r.get(n) for r in held] for n in names], len(held))
+
+    def batch(t: wire.Table) -> pa.RecordBatch:
+        found = dict(zip(t.names, t.columns))
+        return pa.RecordBatch.from_arrays([_array(found[f.name], f.dataType) if f.name in found else pa.nulls(t.n_rows, PLAIN[type(f.dataType)]) for f in schema], names)
+
+    for v in values:
+        if isinstance(v, wire.Table):
+            yield batch(v)
+            continue
+        held.extend(rows_of(iter([v])))
+        if len(held) >= 10_000:
+            yield batch(gathered())
+            held = []
+    if held:
+        yield batch(gathered())
+
+
+def _read(part: _Part, framed: bool, schema: T.StructType) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
     names = {f.name for f in schema}
     fs, path = _fs(part.value)
     with fs.open_input_file(path) as f:
         f.seek(part.start)
         data = f.read() if part.end is None else f.read(part.end - part.start)
+    if is_plain(schema):
+        yield from _batches(values_of(data, framed, names, tables=True), schema)
+        return
     for row in rows_of(values_of(data, framed, names)):
         yield tuple(to_spark(row.get(f.name), f.dataType) for f in schema)
 
@@ -224,29 +267,32 @@ class _Writer(DataSourceWriter):
         self.options, self.overwrite = options, overwrite
 
     def write(self, rows) -> WriterCommitMessage:
+        size = int(self.options.get("rows_per_value", "10000"))
+
+        def values() -> Iterator[list]:
+            held: list = []
+            for row in rows:
+                held.append(from_spark(row))
+                if len(held) >= size:
+                    yield held
+                    held = []
+            if held:
+                yield held
+
+        return self._store(values())
+
+    def _store(self, values: Iterator) -> WriterCommitMessage:
         o = self.options
-        size, framed = int(o.get("rows_per_value", "10000")), o.get("framed", "false") == "true"
-        keep = {"tabular": o.get("tabular", "true") == "true"}
+        framed, keep = o.get("framed", "false") == "true", {"tabular": o.get("tabular", "true") == "true"}
         fs, folder = _fs(o["path"])
         name = uuid.uuid4().hex
         temporary, final = f"{folder}/_tmp-{name}", f"{folder}/part-{name}{SUFFIX}"
         fs.create_dir(folder, recursive=True)
-        held, wrote = [], False
+        wrote = False
         with fs.open_output_stream(temporary) as sink:
-
-            def flush() -> None:
-                if framed:
-                    sink.write(wire.frames([held], compress=o.get("compress"), **keep))
-                else:  # values follow each other; a compressed one would hide where the next begins
-                    sink.write(wire.encode(held, **keep))
-
-            for row in rows:
-                held.append(from_spark(row))
-                if len(held) >= size:
-                    flush()
-                    held, wrote = [], True
-            if held:
-                flush()
+            for v in values:
+                # Unframed values follow each other; a compressed one would hide where the next begins.
+                sink.write(wire.frames([v], compress=o.get("compress"), **keep) if framed else wire.encode(v, **keep))
                 wrote = True
         if not wrote:
             fs.delete_file(temporary)
@@ -270,6 +316,32 @@ class _Writer(DataSourceWriter):
                 fs.delete_file(m.temporary)
 
 
+class _ArrowWriter(_Writer, DataSourceArrowWriter):
+    """The same for tables of plain types, column by column."""
+
+    def write(self, batches) -> WriterCommitMessage:
+        size = int(self.options.get("rows_per_value", "10000"))
+
+        def values() -> Iterator[wire.Table]:
+            held: list[pa.RecordBatch] = []
+            n = 0
+            for b in batches:
+                held.append(b)
+                n += b.num_rows
+                if n >= size:
+                    whole = pa.Table.from_batches(held)
+                    for at in range(0, n - n % size, size):
+                        yield as_table(whole.slice(at, size))
+                    held, n = whole.slice(n - n % size).to_batches(), n % size
+            if n:
+                yield as_table(pa.Table.from_batches(held))
+
+        def as_table(t: pa.Table) -> wire.Table:
+            return wire.Table(t.column_names, [c.to_pylist() for c in t.columns], t.num_rows)
+
+        return self._store(values())
+
+
 class WireSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -295,7 +367,7 @@ class WireSource(DataSource):
         return _StreamReader(schema, dict(self.options))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(dict(self.options), overwrite)
+        return (_ArrowWriter if is_plain(schema) else _Writer)(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:

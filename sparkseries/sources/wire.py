@@ -83,6 +83,18 @@ def is_tabular(v) -> bool:
     return isinstance(v, list) and len(v) >= 2 and all(isinstance(r, dict) for r in v) and bool(v[0]) and all(r.keys() == v[0].keys() for r in v)
 
 
+@dataclass
+class Table:
+    """A list of maps with the same keys, as columns."""
+
+    names: list[str]
+    columns: list[list]
+    n_rows: int
+
+    def rows(self) -> list[dict]:
+        return [dict(zip(self.names, row)) for row in zip(*self.columns)] if self.columns else [{} for _ in range(self.n_rows)]
+
+
 class Encoder:
     def __init__(self, tabular: bool = True):
         self.tabular, self.out = tabular, bytearray()
@@ -117,6 +129,11 @@ class Encoder:
         elif isinstance(v, (bytes, bytearray)):
             self._sized(len(v), None, [(0xC4, "B"), (0xC5, "H"), (0xC6, "I")])
             out += v
+        elif isinstance(v, Table):
+            if self.tabular and v.n_rows > 1 and v.columns:
+                self._table(v.names, v.columns, v.n_rows)
+            else:
+                self.put(v.rows())
         elif isinstance(v, Vector):
             code = "d" if v.double else "f"
             self._ext(EXT_DOUBLES if v.double else EXT_FLOATS, struct.pack(f">{len(v.values)}{code}", *v.values))
@@ -124,7 +141,8 @@ class Encoder:
             self._ext(v.type, v.data)
         elif isinstance(v, (list, tuple)):
             if self.tabular and is_tabular(v):
-                self._table(v)
+                names = list(v[0])
+                self._table(names, [[r[n] for r in v] for n in names], len(v))
             else:
                 self._sized(len(v), (0x90, 16), [(0xDC, "H"), (0xDD, "I")])
                 for x in v:
@@ -167,15 +185,14 @@ class Encoder:
         self.out += struct.pack(">b", kind)
         self.out += data
 
-    def _table(self, rows: list[dict]) -> None:
-        names = sorted(rows[0])
-        head = bytearray(struct.pack(">III", 1, len(names), len(rows)))
-        for n in names:
+    def _table(self, names: list[str], columns: list[list], n_rows: int) -> None:
+        by_name = sorted(zip(names, columns), key=lambda x: x[0])
+        head = bytearray(struct.pack(">III", 1, len(names), n_rows))
+        for n, _ in by_name:
             raw = n.encode()
             head += struct.pack(">I", len(raw)) + raw
-        head += bytes(COLUMN_CODES.get(type(rows[0][n]), 0) for n in names)
-        for n in names:
-            column = [r[n] for r in rows]
+        head += bytes(COLUMN_CODES.get(type(column[0]), 0) for _, column in by_name)
+        for _, column in by_name:
             cells = column_bytes(column)
             if cells is None:
                 one = Encoder(self.tabular)
@@ -273,10 +290,13 @@ def column_values(cells: memoryview, n: int) -> list | None:
 
 
 class Decoder:
-    """Reads values from a buffer; ``columns`` limits what tables are decoded to (others are skipped unread)."""
+    """Reads values from a buffer; ``columns`` limits what tables are decoded to (others are skipped unread).
+
+    With ``tables`` a table that is no part of another value comes as a Table.
+    """
 
-    def __init__(self, data: bytes, columns: set[str] | None = None):
-        self.data, self.at, self.columns = memoryview(data), 0, columns
+    def __init__(self, data: bytes, columns: set[str] | None = None, tables: bool = False):
+        self.data, self.at, self.columns, self.tables = memoryview(data), 0, columns, tables
 
     def _take(self, n: int) -> memoryview:
         if n < 0 or self.at + n > len(self.data):
@@ -365,10 +385,11 @@ class Decoder:
             code, size = ("f", 4) if kind == EXT_FLOATS else ("d", 8)
             return Vector(struct.unpack(f">{n // size}{code}", data), kind == EXT_DOUBLES)
         if kind == EXT_TABLE:
-            return self._rows(data)
+            table = self._columns(data)
+            return table if self.tables and depth == 0 else table.rows()
         return Extension(kind, data)
 
-    def _rows(self, data: bytes) -> list[dict]:
+    def _columns(self, data: bytes) -> Table:
         d = Decoder(data, self.columns)
         version, n_cols, n_rows = d._unpack("I"), d._unpack("I"), d._unpack("I")
         if version != 1:
@@ -390,7 +411,7 @@ class Decoder:
                     raise WireError("column size differs")
             wanted.append(name)
             columns.append(values)
-        return [dict(zip(wanted, row)) for row in zip(*columns)] if columns else [{} for _ in range(n_rows)]
+        return Table(wanted, columns, n_rows)
 
 
 def encode(v, *, tabular: bool = True, compress: str | None = None, level: int | None = None, least: int = 256) -> bytes:
@@ -428,18 +449,18 @@ def unwrap(data: bytes) -> bytes:
     return raw
 
 
-def decode(data: bytes, columns: set[str] | None = None):
+def decode(data: bytes, columns: set[str] | None = None, tables: bool = False):
     """The one value that ``data`` holds."""
-    d = Decoder(unwrap(data), columns)
+    d = Decoder(unwrap(data), columns, tables)
     v = d.get()
     if d.at != len(d.data):
         raise WireError(f"{len(d.data) - d.at} bytes left over")
     return v
 
 
-def decode_all(data: bytes, columns: set[str] | None = None) -> Iterator[object]:
+def decode_all(data: bytes, columns: set[str] | None = None, tables: bool = False) -> Iterator[object]:
     """Values that follow each other without framing."""
-    d = Decoder(unwrap(data), columns)
+    d = Decoder(unwrap(data), columns, tables)
     while d.at < len(d.data):
         yield d.get()
 
@@ -450,7 +471,7 @@ def frames(values, **options) -> bytes:
     return b"".join(struct.pack(">I", len(p)) + p for p in parts)
 
 
-def read_frames(data: bytes, columns: set[str] | None = None) -> Iterator[object]:
+def read_frames(data: bytes, columns: set[str] | None = None, tables: bool = False) -> Iterator[object]:
     at = 0
     while at < len(data):
         if at + 4 > len(data):
@@ -458,7 +479,7 @@ def read_frames(data: bytes, columns: set[str] | None = None) -> Iterator[object
         n = struct.unpack_from(">I", data, at)[0]
         if at + 4 + n > len(data):
             raise WireError("truncated frame")
-        yield decode(data[at + 4 : at + 4 + n], columns)
+        yield decode(data[at + 4 : at + 4 + n], columns, tables)
         at += 4 + n
 
 
