@@ -33,6 +33,31 @@ class Pipeline:
         return df, seen
 
 
+@dataclass(frozen=True)
+class BatchOptions:
+    """Rows a batch has at most, tasks (0: as the table is dealt), and whether rows keep their order.
+
+    Memory, queues and pools are Spark's: see spark.executor.memory and spark.sql.execution.arrow.maxRecordsPerBatch.
+    """
+
+    batch_size: int = 1000
+    worker_tasks: int = 0
+    preserve_order: bool = False
+
+
+def process_batches(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, options: BatchOptions = BatchOptions()) -> DataFrame:
+    """What ``f`` gives of each batch of rows."""
+    if options.worker_tasks:
+        df = df.coalesce(options.worker_tasks) if options.preserve_order else df.repartition(options.worker_tasks)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), options.batch_size):
+                yield f(frame.iloc[at : at + options.batch_size])
+
+    return df.mapInPandas(run, schema)
+
+
 def map_reduce(df: DataFrame, key: Column, value: Column, reducers: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Map each row to (key, value), reduce per key with algebraic reducers (partial and final aggregates)."""
     mapped = df.select(key.alias("key"), value.alias("value"))

@@ -144,6 +144,16 @@ def batch_merge_sorted(spark, sf):
     return batch.numbered(placed, ["_at"], (), "position").select("o_orderkey", "position")
 
 
+@query("SELECT event_id, value * 2 AS twice, true AS small FROM events")
+def batch_process(spark, sf):
+    """In batches of 300 rows at most over four tasks."""
+
+    def twice(frame):
+        return frame[["event_id"]].assign(twice=frame["value"] * 2, small=len(frame) <= 300)
+
+    return batch.process_batches(table(spark, sf, "events").select("event_id", "value"), twice, "event_id long, twice double, small boolean", batch.BatchOptions(300, 4))
+
+
 # -- scalars ------------------------------------------------------------------------------
 
 

@@ -154,6 +154,31 @@ def convert_json_files(spark, sf):
     return formats.decode_rows(spark.read.parquet(made), "output", "n_nationkey int, n_name string").filter("error is null").drop("error")
 
 
+@query("SELECT c_custkey, c_acctbal * 2 AS twice FROM customer")
+def wire_transform_files(spark, sf):
+    """Tables of customers, file by file through a function, and read again."""
+    datasource.register(spark)
+    source, target = scratch_path(spark, "wire"), scratch_path(spark, "wire-twice")
+    table(spark, sf, "customer").select("c_custkey", "c_acctbal").repartition(3, "c_custkey").write.format("sparkseries").option("rows_per_value", "100").mode("append").save(source)
+    done = formats.transform_files(spark, source, target, lambda rows, _: [{"c_custkey": r["c_custkey"], "twice": r["c_acctbal"] * 2} for r in rows], "ZSTD")
+    failed = done.filter("error is not null").count()
+    if failed:
+        raise RuntimeError(f"{failed} files failed")
+    return spark.read.format("sparkseries").option("framed", "true").schema("c_custkey long, twice double").load(target)
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def convert_streaming(spark, sf):
+    """Half of the suppliers arrive as binary files, are streamed to JSON, then the other half."""
+    datasource.register(spark)
+    source, target, state = scratch_path(spark, "wire"), scratch_path(spark, "json"), scratch_path(spark, "stream-state")
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    for half in (0, 1):
+        s.filter(F.col("s_suppkey") % 2 == half).coalesce(1).write.format("sparkseries").mode("append").save(source)
+        formats.convert_stream(spark, source, target, "json", "s_suppkey long, s_name string", state).awaitTermination()
+    return formats.read(spark, target, "json", schema="s_suppkey long, s_name string")
+
+
 @query("SELECT event_id, 'map' AS kind, 'int' AS inner_kind, event_id % 2 = 0 AS same, 3 + CASE WHEN k < 128 THEN 1 ELSE 2 END::BIGINT AS size FROM (SELECT *, (props::JSON->>'k')::BIGINT AS k FROM events)")
 def value_facts(spark, sf):
     """Kind, typed equality and encoded size of dynamic values."""

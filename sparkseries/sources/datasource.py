@@ -33,7 +33,8 @@ def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-def list_files(uri: str) -> list[str]:
+def list_files(uri: str, by_time: bool = False) -> list[str]:
+    """Files below a folder by name, or by the time of their last change."""
     fs, path = _fs(uri)
     info = fs.get_file_info(path)
     if info.type == pafs.FileType.File:
@@ -42,7 +43,8 @@ def list_files(uri: str) -> list[str]:
         raise FileNotFoundError(uri)
     prefix = uri[: len(uri) - len(path)] if uri.endswith(path) else ""
     found = fs.get_file_info(pafs.FileSelector(path, recursive=True))
-    return sorted(prefix + f.path for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(("_", ".")))
+    found = [f for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(("_", "."))]
+    return [prefix + f.path for f in sorted(found, key=lambda f: (f.mtime_ns or 0, f.path) if by_time else (0, f.path))]
 
 
 def read_bytes(uri: str) -> bytes:
@@ -230,14 +232,14 @@ class _Reader(DataSourceReader):
 
 
 class _StreamReader(DataSourceStreamReader):
-    """Offsets count files in name order: files are expected to arrive in that order."""
+    """Offsets count files in the order of their last change: a file must not change once it is there."""
 
     def __init__(self, schema: T.StructType, options: dict):
         self.schema, self.options = schema, options
 
     def _files(self) -> list[str]:
         try:
-            return list_files(self.options["path"])
+            return list_files(self.options["path"], by_time=True)
         except FileNotFoundError:
             return []
 

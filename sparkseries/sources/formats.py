@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.scratch import ship_package
 from . import wire
-from .datasource import from_spark, register, rows_of, values_of
+from .datasource import _fs, from_spark, register, rows_of, values_of
 
 # File endings.
 ENDINGS = {"json": "json", "csv": "csv", "tsv": "csv", "yaml": "yaml", "yml": "yaml", "msgpack": "msgpack", "mp": "msgpack", "xml": "xml", "cbor": "cbor", "parquet": "parquet", "spw": "wire"}
@@ -178,6 +179,45 @@ def convert_folder(spark: SparkSession, source: str, target_format: str) -> Data
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).select("path", "content").mapInPandas(run, "path string, format string, output binary, error string")
 
 
+def transform_files(spark: SparkSession, source: str, target: str, f: Callable[[object, int], object], compress: str | None = None) -> DataFrame:
+    """(path, values, error): every value of every file of ``source`` through ``f(value, index)``, framed, into a file of
+    the same name below ``target``.  A file is written whole or not at all; one bad file fails alone."""
+    ship_package(spark)
+
+    def one(path: str, data: bytes) -> int:
+        made = [f(v, i) for i, v in enumerate(wire.decode_all(data))]
+        fs, folder = _fs(target)
+        fs.create_dir(folder, recursive=True)
+        name = path.rsplit("/", 1)[-1]
+        with fs.open_output_stream(f"{folder}/_{name}.tmp") as sink:
+            sink.write(wire.frames(made, compress=compress))
+        fs.move(f"{folder}/_{name}.tmp", f"{folder}/{name}")
+        return len(made)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for path, content in zip(frame["path"], frame["content"]):
+                try:
+                    out.append((path, one(path, bytes(content)), None))
+                except Exception as e:  # a file's failure is its result
+                    out.append((path, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "values", "error"])
+
+    return spark.read.format("binaryFile").load(source).select("path", "content").mapInPandas(run, "path string, values long, error string")
+
+
+def convert_stream(spark: SparkSession, source: str, target: str, target_format: str, schema: str, checkpoint: str) -> StreamingQuery:
+    """New files of ``source`` in the binary format, appended to ``target`` in another one; goes on from ``checkpoint``."""
+    register(spark)
+
+    def add(batch: DataFrame, _: int) -> None:
+        write(batch, target, target_format, mode="append")
+
+    stream = spark.readStream.format("sparkseries").schema(schema).load(source)
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _convert(data: bytes, kind: str | None, target: str) -> bytes:
     if kind == "json":
         value = json.loads(data)
