@@ -105,7 +105,7 @@ def compress_estimate(spark, sf):
     return compression.profile_column(df, "data").select("doc_id", F.round("estimated_ratio", 10).alias("ratio"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, md5(props) AS digest, event_id * 1.5 AS twice, event_type FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, md5(props) AS digest, event_id * 1.5::DOUBLE AS twice, event_type FROM events")
 def wire_typed_roundtrip(spark, sf):
     """Timestamps, dates, binaries, lists and maps as typed extensions, encoded by row and read back."""
     k = F.col("event_id")
