@@ -364,6 +364,17 @@ UNION ALL SELECT user_id, y, n, m, i + 1, l, 0.1 * (l - level) + 0.9 * trend, CA
 SELECT user_id, step, round(level + step * trend + CASE WHEN m > 1 THEN season[(n + step - 1) % m + 1] ELSE 0 END, 4) AS forecast FROM w, {_STEPS} WHERE i = n"""
 
 
+#: Least squares by the normal equations of degree 2, or less for fewer than three days.
+_POLYNOMIAL = f"""WITH {_USER_DAYS}, x AS (SELECT *, (i - 1) / greatest(1, n - 1)::DOUBLE AS x FROM d),
+s AS (SELECT user_id, n, n::DOUBLE AS s0, sum(x) AS s1, sum(x ** 2) AS s2, sum(x ** 3) AS s3, sum(x ** 4) AS s4, sum(v) AS t0, sum(v * x) AS t1, sum(v * x * x) AS t2 FROM x GROUP BY user_id, n),
+c AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det FROM s),
+k AS (SELECT user_id, n, CASE WHEN n = 1 THEN t0 WHEN n = 2 THEN t0 - t1 ELSE (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / det END AS c0,
+  CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN 2 * t1 - t0 ELSE (s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s2 * s3) + s2 * (s1 * t2 - s2 * t1)) / det END AS c1,
+  CASE WHEN n < 3 THEN 0 ELSE (s0 * (s2 * t2 - s3 * t1) - s1 * (s1 * t2 - s2 * t1) + t0 * (s1 * s3 - s2 * s2)) / det END AS c2 FROM c),
+f AS (SELECT *, (n - 1 + step) / greatest(1, n - 1)::DOUBLE AS x FROM k, {_STEPS})
+SELECT user_id, step, round(c0 + c1 * x + c2 * x * x, 4) AS forecast FROM f"""
+
+
 def _forecast(model: str, sql: str | None, **options):
     @query(sql, name=f"ts_forecast_{model.lower()}")
     def run(spark, sf):
@@ -373,11 +384,21 @@ def _forecast(model: str, sql: str | None, **options):
     return run
 
 
-for _m, _s, _o in (("POLYNOMIAL_REGRESSION", None, {}), ("EXPONENTIAL_SMOOTHING", _EXPONENTIAL, {}), ("HOLT_WINTERS", _HOLT_WINTERS, {"period": 7}), ("ARIMA", None, {}), ("NEURAL_NETWORK", None, {})):
+for _m, _s, _o in (("POLYNOMIAL_REGRESSION", _POLYNOMIAL, {}), ("EXPONENTIAL_SMOOTHING", _EXPONENTIAL, {}), ("HOLT_WINTERS", _HOLT_WINTERS, {"period": 7}), ("ARIMA", None, {}), ("NEURAL_NETWORK", None, {})):
     _forecast(_m, _s, **_o)
 
 
-@query()
+#: Best segmentations of the first b days from those of fewer days; a segment has two days at least.
+_CHANGEPOINTS = """WITH RECURSIVE y AS (SELECT user_id, list(v ORDER BY day) AS y, count(*) AS n, CASE WHEN var_pop(v) > 0 THEN var_pop(v) ELSE 1 END AS scale FROM (SELECT user_id, date_trunc('day', ts) AS day, avg(value) AS v FROM events GROUP BY 1, 2) GROUP BY user_id),
+p AS (SELECT user_id, n, scale, list_transform(range(0, n + 1), lambda k: coalesce(list_sum(y[1:k]), 0)) AS s, list_transform(range(0, n + 1), lambda k: coalesce(list_sum(list_transform(y[1:k], lambda v: v * v)), 0)) AS q FROM y),
+r AS (SELECT *, 1::BIGINT AS b, [-5.0::DOUBLE, 'inf'::DOUBLE] AS best, [0::BIGINT, 0::BIGINT] AS last FROM p
+UNION ALL SELECT user_id, n, scale, s, q, b + 1, list_append(best, list_min(c)), list_append(last, list_position(c, list_min(c)) - 1)
+  FROM (SELECT *, list_transform(range(0, b), lambda a: best[a + 1] + (q[b + 2] - q[a + 1] - (s[b + 2] - s[a + 1]) ** 2 / (b + 1 - a)) / scale + 5.0) AS c FROM r WHERE b < n)),
+t AS (SELECT user_id, last, last[n + 1] AS place FROM r WHERE b = n UNION ALL SELECT user_id, last, last[place + 1] FROM t WHERE place > 0)
+SELECT user_id, place AS index FROM t WHERE place > 0"""
+
+
+@query(_CHANGEPOINTS)
 def ts_changepoints(spark, sf):
     return sequential.changepoints(Series(by_user(spark, sf).resample("1 day", "MEAN").withColumnRenamed("bucket", "ts"), ("user_id",)), 5.0)
 
