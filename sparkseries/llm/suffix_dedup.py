@@ -57,7 +57,7 @@ ANCHOR = 32
 #: Bytes of a text that are hashed at once; longer texts go piece by piece.
 PIECE = 1 << 20
 #: Bytes of contexts in one transform, and of one group at most.
-BLOCK, GROUP = 1 << 20, 1 << 17
+BLOCK, GROUP = 1 << 20, 1 << 15
 #: Windows of a run when groups are dealt finer; the last must be 1.
 WIDTHS = (24, 4, 1)
 #: How tables of digests are written: nothing in them repeats or compresses much.
