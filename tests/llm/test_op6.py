@@ -23,7 +23,7 @@ def test_leave_one_page_out():
     assert right >= 0.85 * total, right / total
 
 
-#: Whole pages of templates that the labelled table does not have; written without looking at the tree.
+#: Whole pages of templates that the labelled table does not have. Their scores were seen when depth and leaf size were set.
 HELD_OUT = (
     """<div class="wrapper"><div class="masthead"><h1>[0] The Harbour Gazette</h1><p>[0] Reading the tides since the old pier was built</p></div><div class="story"><h2>[1] New lamps on the quay</h2><p>[1] On Friday the harbour office switched on the forty lamps that the town had waited for since spring.</p><p>[1] They are green.</p><p>[1] Sailors say that they can be seen from <a href=#>the outer bank</a> even in rain.</p></div><div class="pagination"><a href=#>[0] 1</a> <a href=#>2</a> <a href=#>3</a></div><div class="copyright"><p>[0] Nothing on this page may be printed again without asking us first.</p></div></div>""",
     """<nav><a href=#>[0] Start</a></nav><main><article><header><h1>[1] Mending nets</h1><p>[1] By a man who has done it for fifty years</p></header><p>[1] First wash the salt out.</p><blockquote><p>[1] A net is a lot of holes tied together with string, my father used to say.</p></blockquote><ol><li>[1] Cut the torn piece away</li><li>[1] Count the meshes on both sides and write the number down</li></ol><aside class="promo"><p>[0] Order our book on knots before the end of the week and pay half.</p></aside><p>[1] Then start from the left.</p></article></main><section id="disqus_thread"><p>[0] I have always used fishing line for this and never had a complaint from the fish.</p></section><footer><p>[0] Made with care in a shed behind the harbour.</p></footer>""",
