@@ -272,7 +272,7 @@ def stream_sessions(spark, sf):
 
 @query("SELECT count(*) AS n, count(*) FILTER (a) AS odd FROM (SELECT coalesce(abs(value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) > 1.5, false) AS a FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING))")
 def stream_ring_buffer(spark, sf):
-    out = _complete(stateful.ring_buffer(_stream(spark, sf), "user_id", "ts", "value", 16, 1.5), "append")
+    out = _complete(stateful.ring_buffer(_stream(spark, sf), "user_id", "ts", "value", 16, 1.5, "event_id"), "append")
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("odd"))
 
 

@@ -178,3 +178,24 @@ def test_streams_equal_batches(spark, tmp_path):
     q = stateful.ring_buffer(stream, "k", "ts", "v", 10).writeStream.foreachBatch(lambda b, i: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert len(out) == 60 and [r.value for r in out if r.is_anomaly] == [91.0]
+
+
+def test_ring_buffer_orders_a_key_over_all_frames(spark, tmp_path):
+    from sparkseries.streaming import stateful
+
+    n = 25_000  # more than one Arrow batch, and the last comes first
+    df = spark.range(n - 1, -1, -1, 1).select(F.lit(1).alias("k"), (F.lit(T0) + F.make_dt_interval(secs=F.floor(F.col("id") / 2))).cast("timestamp_ntz").alias("ts"), (F.col("id") % 1009 * (F.col("id") % 7)).cast("double").alias("v"), "id")
+    flat = spark.createDataFrame([(2, T0 + dt.timedelta(minutes=i), v, i) for i, v in enumerate([0.1] * 7 + [5.0])], df.schema)
+    df.union(flat).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    out: list = []
+    q = stateful.ring_buffer(stream, "k", "ts", "v", 16, 1.5, "id").writeStream.foreachBatch(lambda b, i: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    v = [float(i % 1009 * (i % 7)) for i in range(n)]
+    odd = [False] * 2
+    for i in range(2, n):
+        b = np.array(v[max(0, i - 16) : i])
+        odd.append(bool(b.std(ddof=1) > 0 and abs(v[i] - b.mean()) / b.std(ddof=1) > 1.5))
+    got = [r for r in out if r.k == 1]
+    assert [r.value for r in got] == v and [r.is_anomaly for r in got] == odd
+    assert [r.is_anomaly for r in out if r.k == 2] == [False] * 8  # equal values do not deviate
