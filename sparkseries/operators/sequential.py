@@ -264,7 +264,7 @@ def pelt(y: np.ndarray, penalty: float = 1.0, least: int = 2) -> list[int]:
     The cost of a segment is its squared deviation from its mean, scaled by the variance of the whole series.
     """
     n = len(y)
-    scale = y.var() or 1.0
+    scale = (y.var() if n and y.min() < y.max() else 0.0) or 1.0  # rounding leaves equal values a variance
     s, q = np.concatenate([[0], np.cumsum(y)]), np.concatenate([[0], np.cumsum(y * y)])
 
     def cost(a: np.ndarray, b: int) -> np.ndarray:
@@ -273,13 +273,16 @@ def pelt(y: np.ndarray, penalty: float = 1.0, least: int = 2) -> list[int]:
     best, last = np.full(n + 1, np.inf), np.zeros(n + 1, int)
     best[0] = -penalty
     alive = np.array([0])
+    until = np.full(n + 1, n + 1)  # the end from which on a start is out
     for b in range(least, n + 1):
-        ok = alive[alive <= b - least]
+        ok = alive[until[alive] > b]
         total = best[ok] + cost(ok, b) + penalty
         k = int(total.argmin())
         best[b], last[b] = total[k], ok[k]
-        alive = np.concatenate([ok[best[ok] + cost(ok, b) <= best[b]], alive[alive > b - least], [b - least + 1] if b - least + 1 > 0 else []]).astype(int)
-        alive = np.unique(alive)
+        # A start that lost at b loses to a cut at b once a segment fits behind b, not before.  The margin keeps ties.
+        lost = ok[total - penalty > best[b] + 1e-9 * (1.0 + abs(best[b]))]
+        until[lost] = np.minimum(until[lost], b + least)
+        alive = ok if b - least + 1 < least else np.append(ok, b - least + 1)
     cuts, b = [], n
     while b > 0:
         b = int(last[b])

@@ -89,6 +89,31 @@ def test_changepoints_equal_exhaustive_search():
         assert sum(cost(a, b) for a, b in zip((0, *got), (*got, n))) + 0.7 * len(got) <= best[0] + 1e-9
 
 
+def test_changepoints_equal_unpruned_search():
+    """Short segments are not allowed, so a start that lost may still win one day later."""
+
+    def unpruned(y, penalty):
+        n, scale = len(y), y.var() if y.min() < y.max() else 1.0
+        s, q = np.concatenate([[0], np.cumsum(y)]), np.concatenate([[0], np.cumsum(y * y)])
+        best, last = [-penalty, np.inf], [0, 0]
+        for b in range(2, n + 1):
+            c = [best[a] + (q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a)) / scale + penalty for a in range(b - 1)]
+            best.append(min(c))
+            last.append(int(np.argmin(c)))
+        cuts, b = [], n
+        while last[b] > 0:
+            b = last[b]
+            cuts.append(b)
+        return cuts[::-1]
+
+    r = np.random.default_rng(1)
+    for n in (2, 3, 5, 30, 60):
+        for _ in range(60):
+            y = r.exponential(40, n)
+            assert sequential.pelt(y, 0.7) == unpruned(y, 0.7)
+    assert sequential.pelt(np.full(30, 0.1), 5.0) == [] and sequential.pelt(np.full(11, 3.3), 5.0) == []
+
+
 def test_models_on_frames(spark):
     r = random.Random(0)
     rows = [("a", i, 5.0 if i < 30 else 50.0) for i in range(60)] + [("b", i, r.gauss(0, 1) + (40 if i == 7 else 0)) for i in range(200)]
