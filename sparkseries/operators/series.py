@@ -123,8 +123,11 @@ class Series:
         return self.with_df(self.df.withColumn(name, F.col(self.value) - F.lag(self.value, lag).over(self.w())))
 
     def pct_change(self, name: str = "pct_change") -> Series:
+        """Change over the value before as a double; over zero it is infinite, or NaN if there is no change."""
         prev = F.lag(self.value).over(self.w())
-        return self.with_df(self.df.withColumn(name, F.try_divide(F.col(self.value) - prev, prev)))
+        gap = (F.col(self.value) - prev).cast("double")
+        ratio = F.when(prev == 0, gap * F.pow(prev.cast("double"), F.lit(-1.0))).otherwise(F.try_divide(gap, prev.cast("double")))
+        return self.with_df(self.df.withColumn(name, ratio))
 
     def cumsum(self, name: str = "cumsum") -> Series:
         return self.with_df(self.df.withColumn(name, F.sum(self.value).over(self.w().rowsBetween(Window.unboundedPreceding, 0))))

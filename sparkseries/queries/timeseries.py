@@ -16,6 +16,12 @@ def r(c, alias: str | None = None, places: int = 6):
     return c.alias(alias) if alias else c
 
 
+def binary_round(c: str, alias: str, places: int = 6):
+    """Rounded as DuckDB does: the product with a power of ten, not the shortest decimal form, decides on halves."""
+    scaled = F.col(c) * 10.0**places
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 10.0**places).otherwise(F.col(c)).alias(alias)
+
+
 def stamp(c, alias: str):
     return F.date_format(c, STAMP).alias(alias)
 
@@ -120,7 +126,7 @@ def ts_diff(spark, sf):
 
 @query(f"SELECT event_id, round((value - lag(value) OVER ({W})) / lag(value) OVER ({W}), 6) AS v FROM events")
 def ts_pct_change(spark, sf):
-    return by_user(spark, sf).pct_change().df.select("event_id", r("pct_change", "v"))
+    return by_user(spark, sf).pct_change().df.select("event_id", binary_round("pct_change", "v"))
 
 
 @query(f"SELECT event_id, round(sum(value) OVER ({W} ROWS UNBOUNDED PRECEDING), 4) AS v FROM events")

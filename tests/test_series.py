@@ -72,6 +72,23 @@ def test_forecasts():
     assert sequential.MODELS["NEURAL_NETWORK"](wave, 3) == pytest.approx([1, 5, 3], abs=0.6)
 
 
+def test_pct_change_over_zero_and_halves(spark, tmp_path):
+    import duckdb
+
+    from sparkseries.queries import ORACLES, QUERIES
+
+    values = [2.0, 0.0, 0.0, 5.0, 0.0, -1.0, None, 0.0, -0.0, 3.0]
+    values += [x / 100 for i in range(3000) for x in (64 * (1 + i % 50), 577 + i)]  # many halves at the seventh place
+    rows = [(i, T0 + dt.timedelta(seconds=i), 1, v) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = dict(con.execute(ORACLES["ts_pct_change"]).fetchall())
+    got = {r.event_id: r.v for r in QUERIES["ts_pct_change"](spark, str(tmp_path)).collect()}
+    assert [repr(got[i]) for i in range(10)] == ["None", "-1.0", "nan", "inf", "-1.0", "-inf", "None", "None", "nan", "-inf"]
+    assert {k: repr(v) for k, v in got.items()} == {k: repr(v) for k, v in want.items()}
+
+
 def test_changepoints_equal_exhaustive_search():
     import itertools
 
