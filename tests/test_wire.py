@@ -85,6 +85,8 @@ def test_frames_and_varints():
         list(wire.read_frames(wire.frames([1])[:-1]))
     for n in (0, 127, 128, 300, 2**63):
         assert wire.read_varint(wire.write_varint(n)) == (n, len(wire.write_varint(n)))
+    for size in range(1, 9):  # seven bits a byte, beyond three bytes too
+        assert len(wire.write_varint(2 ** (7 * size) - 1)) == size and len(wire.write_varint(2 ** (7 * size))) == size + 1
 
 
 columns = st.sampled_from(
